@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from listloom.functions.text import bind
+
 # Month spellings.
 MONTHS_FR = {
     "janvier": 1, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6,
@@ -46,9 +48,11 @@ def _num(c: Column) -> Column:
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """A date, or null when the three numbers are not one."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    ok = year.isNotNull() & month.between(1, 12) & day.between(1, 31)
-    return F.try_to_date(F.when(ok, text), "yyyy-MM-dd")
+    def read(p: Column) -> Column:
+        ok = p["y"].isNotNull() & p["m"].between(1, 12) & p["d"].between(1, 31)
+        return F.try_to_date(F.when(ok, F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"])), "yyyy-MM-dd")
+
+    return bind(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), read)
 
 
 def _pair(start: Column, end: Column) -> Column:
@@ -93,17 +97,24 @@ def card_range(text: Column, as_of: Column) -> Column:
     mon = lambda c: month_number(F.regexp_replace(F.trim(c), r"\.+$", ""), MONTHS_CARD)
 
     def near(day: Column, month: Column) -> Column:
-        d = _date(F.year(as_of), month, _num(day))
-        nxt = _date(F.year(as_of) + 1, month, _num(day))
-        return F.when(F.date_diff(as_of, d) > 90, F.coalesce(nxt, d)).otherwise(d)
+        this = bind(_date(F.year(as_of), month, _num(day)), lambda d: F.when(F.date_diff(as_of, d) <= 90, d))
+        return F.coalesce(this, _date(F.year(as_of) + 1, month, _num(day)), _date(F.year(as_of), month, _num(day)))
+
+    none = F.lit(None).cast("string")
+    parts = F.struct(mon(g(rng, 2)).alias("m1"), mon(g(rng, 4)).alias("m2"), g(rng, 1).alias("d1"), g(rng, 3).alias("d2"),
+                     mon(g(one, 2)).alias("m"), g(one, 1).alias("d"))
 
-    m1, m2, m = mon(g(rng, 2)), mon(g(rng, 4)), mon(g(one, 2))
-    s, e0 = near(g(rng, 1), m1), near(g(rng, 3), m2)
-    e = F.when(e0 < s, _date(F.year(s) + 1, m2, _num(g(rng, 3)))).otherwise(e0)
-    single = near(g(one, 1), m)
-    return (F.when(text.rlike(rng) & m1.isNotNull() & m2.isNotNull(), _pair(iso(s), iso(e)))
-            .when(text.rlike(one) & m.isNotNull(), _pair(iso(single), iso(single)))
-            .otherwise(_pair(F.lit(""), F.lit(None).cast("string"))))
+    def ranged(p: Column) -> Column:
+        both = F.struct(near(p["d1"], p["m1"]).alias("s"), near(p["d2"], p["m2"]).alias("e"))
+        return bind(both, lambda x: _pair(iso(x["s"]), iso(
+            F.when(x["e"] < x["s"], _date(F.year(x["s"]) + 1, p["m2"], _num(p["d2"]))).otherwise(x["e"]))))
+
+    def read(p: Column) -> Column:
+        return (F.when(p["m1"].isNotNull() & p["m2"].isNotNull(), ranged(p))
+                .when(p["m"].isNotNull(), bind(iso(near(p["d"], p["m"])), lambda x: _pair(x, x)))
+                .otherwise(_pair(F.lit(""), none)))
+
+    return bind(parts, read)
 
 
 def numeric_range(text: Column, roll_back: bool = False) -> Column:
@@ -111,37 +122,43 @@ def numeric_range(text: Column, roll_back: bool = False) -> Column:
 
     ``roll_back`` puts the start of a range that would begin after its end into the year before.
     """
-    t = F.trim(F.coalesce(text, F.lit("")))
     full, short = r"^(\d{2})/(\d{2})/(\d{4})$", r"^(\d{2})/(\d{2})/(\d{2})$"
     months, days = r"^(\d{2})/(\d{2})-(\d{2})/(\d{2})/(\d{2})$", r"^(\d{2})-(\d{2})/(\d{2})/(\d{2})$"
-    g = lambda p, i: _num(F.regexp_extract(t, p, i))
-    # two-digit years: 69-99 belong to the last century for single dates, ranges are always 20xx
-    yy = g(short, 3)
-    s1 = _date(g(full, 3), g(full, 2), g(full, 1))
-    s2 = _date(F.when(yy >= 69, yy + 1900).otherwise(yy + 2000), g(short, 2), g(short, 1))
-    y3, y4 = g(months, 5) + 2000, g(days, 4) + 2000
-    s3, e3 = _date(y3, g(months, 2), g(months, 1)), _date(y3, g(months, 4), g(months, 3))
-    s4, e4 = _date(y4, g(days, 3), g(days, 1)), _date(y4, g(days, 3), g(days, 2))
-    if roll_back:
-        s3 = F.when(s3 > e3, _date(y3 - 1, g(months, 2), g(months, 1))).otherwise(s3)
     none = F.lit(None).cast("string")
-    return (F.when(t.rlike(full), _pair(iso(s1), none)).when(t.rlike(short), _pair(iso(s2), none))
-            .when(t.rlike(months), _pair(iso(s3), iso(e3))).when(t.rlike(days), _pair(iso(s4), iso(e4)))
-            .otherwise(_pair(t, none)))
+
+    def read(t: Column) -> Column:
+        g = lambda p, i: _num(F.regexp_extract(t, p, i))
+        # two-digit years: 69-99 belong to the last century for single dates, ranges are always 20xx
+        yy = g(short, 3)
+        s1 = _date(g(full, 3), g(full, 2), g(full, 1))
+        s2 = _date(F.when(yy >= 69, yy + 1900).otherwise(yy + 2000), g(short, 2), g(short, 1))
+        y3, y4 = g(months, 5) + 2000, g(days, 4) + 2000
+        s3, e3 = _date(y3, g(months, 2), g(months, 1)), _date(y3, g(months, 4), g(months, 3))
+        s4, e4 = _date(y4, g(days, 3), g(days, 1)), _date(y4, g(days, 3), g(days, 2))
+        if roll_back:
+            s3 = F.when(s3 > e3, _date(y3 - 1, g(months, 2), g(months, 1))).otherwise(s3)
+        return (F.when(t.rlike(full), _pair(iso(s1), none)).when(t.rlike(short), _pair(iso(s2), none))
+                .when(t.rlike(months), _pair(iso(s3), iso(e3))).when(t.rlike(days), _pair(iso(s4), iso(e4)))
+                .otherwise(_pair(t, none)))
+
+    return bind(F.trim(F.coalesce(text, F.lit(""))), read)
 
 
 def english_range(text: Column) -> Column:
     """``d-Mon-yyyy`` with an optional ``to d-Mon-yyyy``; empty start when neither is found."""
-    t = F.coalesce(text, F.lit(""))
     d = r"(\d{1,2})-([A-Z][a-z]{2})-(\d{4})"
     both = rf"{d}\s*to\s*{d}"
-    def at(p: str, i: int) -> Column:
-        g = lambda k: F.regexp_extract(t, p, k)
-        return iso(_date(_num(g(i + 2)), month_number(g(i + 1), MONTHS_SHORT), _num(g(i))))
-
     none = F.lit(None).cast("string")
-    return (F.when(t.rlike(both), _pair(at(both, 1), at(both, 4))).when(t.rlike(d), _pair(at(d, 1), none))
-            .otherwise(_pair(F.lit(""), none)))
+
+    def read(t: Column) -> Column:
+        def at(p: str, i: int) -> Column:
+            g = lambda k: F.regexp_extract(t, p, k)
+            return iso(_date(_num(g(i + 2)), month_number(g(i + 1), MONTHS_SHORT), _num(g(i))))
+
+        return (F.when(t.rlike(both), _pair(at(both, 1), at(both, 4))).when(t.rlike(d), _pair(at(d, 1), none))
+                .otherwise(_pair(F.lit(""), none)))
+
+    return bind(F.coalesce(text, F.lit("")), read)
 
 
 def leading_french_date(text: Column) -> Column:
@@ -166,14 +183,14 @@ def dates_in_text(text: Column, as_of: Column | None = None, back: int = 7, ahea
         rf"(?iu)\d{{1,2}}\s+(?:{fr})\s+\d{{4}}": MONTHS_FR_LOOSE,
         rf"(?iu)\d{{1,2}}\s+(?:{sh})[\p{{L}}\p{{N}}_]*\s+\d{{4}}": MONTHS_SHORT,
     }
-    lists = []
-    for pattern, months in day_month_year.items():
+
+    def reader(months: Mapping[str, int]):
         name = rf"(?iu)^\d+\s+({'|'.join(sorted(months, key=len, reverse=True))})"
-        lists.append(F.transform(
-            F.regexp_extract_all(t, F.lit(pattern), 0),
-            lambda m, name=name, months=months: iso(_date(
-                _num(F.regexp_extract(m, r"(\d{4})$", 1)), month_number(F.regexp_extract(m, name, 1), months),
-                _num(F.regexp_extract(m, r"^(\d+)", 1))))))
+        return lambda m: iso(_date(_num(F.regexp_extract(m, r"(\d{4})$", 1)),
+                                   month_number(F.regexp_extract(m, name, 1), months),
+                                   _num(F.regexp_extract(m, r"^(\d+)", 1))))
+
+    lists = [F.transform(F.regexp_extract_all(t, F.lit(p), 0), reader(months)) for p, months in day_month_year.items()]
     slash = F.regexp_extract_all(t, F.lit(r"\d{1,2}/\d{1,2}/\d{4}"), 0)
     lists.append(F.transform(slash, lambda m: iso(_date(
         _num(F.substring_index(m, "/", -1)), _num(F.split(m, "/")[1]), _num(F.substring_index(m, "/", 1))))))

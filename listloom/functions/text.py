@@ -17,6 +17,11 @@ WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
 
 
+def bind(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 # --- presence -----------------------------------------------------------------------------------
 
 def has_value(c: Column | str, kind: str = "string") -> Column:
@@ -74,19 +79,6 @@ def _fold_tables(compat: bool) -> tuple[str, str, dict[str, str]]:
     return "".join(single_from + gone), "".join(single_to), several
 
 
-def _class_of(chars) -> str:
-    """Regex class over a set of characters, written as ranges."""
-    codes = sorted(ord(c) for c in chars)
-    parts, start, prev = [], codes[0], codes[0]
-    for code in codes[1:] + [None]:
-        if code is not None and code == prev + 1:
-            prev = code
-            continue
-        parts.append(f"\\x{{{start:x}}}-\\x{{{prev:x}}}")
-        start = prev = code
-    return "[" + "".join(parts) + "]"
-
-
 def _literal_map(d: Mapping[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
 
@@ -94,13 +86,15 @@ def _literal_map(d: Mapping[str, str]) -> Column:
 def fold(c: Column, compat: bool = True) -> Column:
     """Decompose and drop the marks U+0300-U+036F (NFKD, or NFD when ``compat`` is off)."""
     src, dst, several = _fold_tables(compat)
-    one = F.translate(c, src, dst)
-    if several:
-        table = _literal_map(several)
-        many = F.array_join(
-            F.transform(F.split(one, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-        one = F.when(c.rlike(_class_of(several)), many).otherwise(one)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), one).otherwise(c)
+    table, marked = _literal_map(several), "".join(several)
+
+    def spread(one: Column) -> Column:
+        chars = F.transform(F.split(one, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
+        # a character class over this many ranges is slow to match; deleting them is a table lookup
+        holds = F.length(F.translate(one, marked, "")) < F.length(one)
+        return F.when(holds, F.array_join(chars, "")).otherwise(one)
+
+    return bind(c, lambda v: F.when(v.rlike(r"[^\x00-\x7F]"), bind(F.translate(v, src, dst), spread)).otherwise(v))
 
 
 @lru_cache(maxsize=1)
@@ -125,12 +119,13 @@ def unescape(c: Column) -> Column:
         wide = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code)), 8, "0")), "UTF-32")
         return F.coalesce(wide, F.try_element_at(table, body(e)), e)
 
-    found = F.regexp_extract_all(c, F.lit(pattern), 1)
-    rest = F.split(c, pattern)
-    # every text piece is followed by the entity that ended it; the last piece has none
-    joined = F.array_join(F.zip_with(rest, F.transform(found, decode),
-                                     lambda t, e: F.concat(F.coalesce(t, F.lit("")), F.coalesce(e, F.lit("")))), "")
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+    def joined(v: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(v, F.lit(pattern), 1), decode)
+        # every text piece is followed by the entity that ended it; the last piece has none
+        pairs = F.zip_with(F.split(v, pattern), found, lambda t, e: F.concat(F.coalesce(t, F.lit("")), F.coalesce(e, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    return bind(c, lambda v: F.when(F.contains(v, F.lit("&")), joined(v)).otherwise(v))
 
 
 # --- titles -------------------------------------------------------------------------------------

@@ -55,6 +55,32 @@ def publish(df: DataFrame, root: str, name: str, part: str = "", built_at: str =
     return version
 
 
+def publish_parts(df: DataFrame, root: str, name: str, part_column: str, built_at: str = "",
+                  version: int | None = None) -> DataFrame:
+    """Write a new version of every part (source) the table holds, in one job; returns the manifest rows.
+
+    Parts that already have this version or a later one are left out, so replays change nothing.
+    """
+    spark = df.sparkSession
+    latest = (manifest(spark, root).where(F.col("name") == name).groupBy(F.col("part").alias("_p"))
+              .agg(F.max("version").alias("_v")))
+    if version is None:
+        top = latest.agg(F.max("_v").alias("v")).first()["v"]
+        version = (top if top is not None else -1) + 1
+    path = f"{root.rstrip('/')}/{name}/version={version}-{uuid.uuid4().hex[:8]}"
+    done = latest.where(F.col("_v") >= version)
+    todo = df.withColumn("part", F.col(part_column)).join(done, F.col("part") == F.col("_p"), "left_anti")
+    todo.write.mode("errorifexists").partitionBy("part").parquet(path)
+    # one row per part; the folder is read off a file of the part, so odd names keep their escapes
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*/part=[^/]*)/[^/]*$", 1)
+    written = spark.read.schema(df.schema).parquet(path).select(F.col(part_column).alias("part"), folder.alias("path"))
+    rows = written.groupBy("part").agg(F.first("path").alias("path"), F.count("*").alias("n_rows")).select(
+        F.lit(name).alias("name"), "part", F.lit(version).cast("long").alias("version"), "path", "n_rows",
+        F.lit(built_at).alias("built_at"))
+    rows.coalesce(1).write.mode("append").json(_manifest_path(root))
+    return rows
+
+
 def current_entries(spark: SparkSession, root: str, name: str) -> DataFrame:
     return first_per_key(manifest(spark, root).where(F.col("name") == name), ["part"], [F.col("version").desc()])
 

@@ -10,7 +10,8 @@ from listloom.functions.text import date10, escape_html, summary
 
 def ics_escape(c: Column, newlines: bool = False) -> Column:
     out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(F.replace(out, F.lit(";"), F.lit("\;")), F.lit(","), F.lit("\\,"))
+    for mark in (";", ","):
+        out = F.replace(out, F.lit(mark), F.lit("\\" + mark))
     return F.replace(out, F.lit("\n"), F.lit("\\n")) if newlines else out
 
 

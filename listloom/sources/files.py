@@ -19,8 +19,9 @@ def read_listing_csv(spark: SparkSession, path: str, source: str, confidence: fl
     Cells beyond the ninth are ignored. Texts are trimmed; an empty end or time becomes null.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*CSV_COLUMNS, "_bad")])
-    raw = spark.read.csv(path, schema=schema, comment="#", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad",
-                         quote='"', escape='"', multiLine=False)
+    # without pruning every cell is counted, whichever columns the caller goes on to use
+    raw = spark.read.option("columnPruning", "false").csv(path, schema=schema, comment="#", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad",
+                         quote='"', escape='"')
     cells = F.size(F.split("_bad", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
     text = {c: strip(F.coalesce(F.col(c), F.lit(""))) for c in CSV_COLUMNS}
     out = raw.where(F.col("_bad").isNull() | (cells >= len(CSV_COLUMNS)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from listloom.operators.gate import apply_quota, validate_submission
-from listloom.operators.store import _exists, publish, read_current
+from listloom.operators.store import _exists, publish_parts, read_current
 from listloom.operators.upsert import durable_upsert
 
 OPEN_CONFIDENCE = 0.55
@@ -81,14 +81,14 @@ def start_upserts(spark: SparkSession, source: str, schema: str, root: str, tabl
         s = batch.sparkSession
         # the number of distinct sources is bounded by the source registry
         names = [r[0] for r in batch.select("source_id").distinct().orderBy("source_id").collect()]
-        for name in names:
-            mine = batch.where(F.col("source_id") == name)
-            stored = read_current(s, root, table, [name])
-            if stored is None:
-                stored = mine.limit(0).drop(position).withColumns({
-                    "row_key": F.lit(None).cast("string"), "absent_since": F.lit(None).cast("string")})
-            merged = durable_upsert(stored, mine, [name], now, position, guard_empty=guard_empty)
-            publish(merged, root, table, name, now, version=number)
+        if not names:
+            return
+        stored = read_current(s, root, table, names)
+        if stored is None:
+            stored = batch.limit(0).drop(position).withColumns({
+                "row_key": F.lit(None).cast("string"), "absent_since": F.lit(None).cast("string")})
+        merged = durable_upsert(stored, batch, names, now, position, guard_empty=guard_empty)
+        publish_parts(merged, root, table, "source_id", now, version=number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/progress-{table}")
