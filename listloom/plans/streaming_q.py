@@ -1 +1,44 @@
+"""Queries that run the two streams to their end and read what they left behind."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from listloom.operators.store import read_current
+from listloom.plans import inputs as I
+from listloom.plans.filters_q import SUBMIT, submissions
+from listloom.plans.registry import query
+from listloom.session import fresh_path
+from listloom.streaming import intake
+
+ALL_FILES = 100000
+
+
+@query("str1_intake_stream", f"""WITH {SUBMIT}, ranked AS (SELECT *, row_number() OVER (PARTITION BY error, start_date ORDER BY id) AS rn FROM val)
+SELECT id, start_date, CASE WHEN error IS NOT NULL THEN error WHEN rn > 3 THEN 'too many submissions for this date' END AS error, error IS NULL AND rn <= 3 AS accepted,
+  CASE WHEN error IS NULL AND rn <= 3 THEN 0.55 END::DOUBLE AS confidence FROM ranked""")
+def str1(spark, d):
+    """Two arrivals of files, one micro-batch each: earlier acceptances count against later ones."""
+    rows = submissions(spark, d)
+    landing, root = fresh_path(spark, "landing"), fresh_path(spark, "intake")
+    middle = rows.agg(F.percentile_approx("id", 0.05).alias("m")).first()["m"]
+    for arrival in (rows.where(F.col("id") <= middle), rows.where(F.col("id") > middle)):
+        arrival.write.mode("append").json(landing)
+        intake.start_intake(spark, landing, root, files_per_batch=ALL_FILES).awaitTermination()
+    return intake.outcomes(spark, root).select("id", "start_date", "error", "accepted", "confidence")
+
+
+@query("str2_upsert_stream", f"""WITH {I.SNAPSHOTS}, bt AS (SELECT * FROM new WHERE source_id <> 'BUILDING')
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.source_id, n.source_id) AS source_id, CASE WHEN n.id IS NOT NULL THEN n.description ELSE o.description END AS description,
+  CASE WHEN n.id IS NOT NULL THEN coalesce(nullif(n.title_en, ''), nullif(o.title_en, ''), n.title_en) ELSE o.title_en END AS title_en, coalesce(o.created_at, n.created_at) AS created_at,
+  CASE WHEN n.id IS NOT NULL THEN '2024-02-10' ELSE '2024-01-10' END AS updated_at, CASE WHEN n.id IS NULL AND o.source_id <> 'BUILDING' THEN '2024-02-10' END AS absent_since
+FROM old o FULL JOIN bt n ON o.id = n.id""")
+def str2(spark, d):
+    """Two snapshots as two micro-batches; the second lacks one source, which stays as it was."""
+    old, new = I.snapshots(spark, d)
+    landing, root = fresh_path(spark, "landing"), fresh_path(spark, "upserts")
+    schema = old.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    for batch, now in ((old, "2024-01-10"), (new.where("source_id <> 'BUILDING'"), "2024-02-10")):
+        batch.select(*old.columns).write.mode("append").parquet(landing)
+        intake.start_upserts(spark, landing, schema, root, "listings", now, files_per_batch=ALL_FILES).awaitTermination()
+    return read_current(spark, root, "listings").select("id", "source_id", "description", "title_en", "created_at", "updated_at", "absent_since")
