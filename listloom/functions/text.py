@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # Unicode spelling of the word and space classes, independent of engine flags.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
+BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def bind(c: Column, use) -> Column:
@@ -28,7 +29,8 @@ def has_value(c: Column | str, kind: str = "string") -> Column:
     """False for null, for blank text and for an empty array or map."""
     c = F.col(c) if isinstance(c, str) else c
     if kind == "string":
-        return c.isNotNull() & (strip(c) != "")
+        # finds one visible character instead of trimming the whole text
+        return F.coalesce(c.rlike(f"[^{SPACE}]"), F.lit(False))
     if kind in ("array", "map"):
         return F.coalesce(F.size(c) > 0, F.lit(False))
     return c.isNotNull()
@@ -47,7 +49,8 @@ def filled(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Trim every kind of Unicode white space; a trim only looks at the two ends of a text."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -117,7 +120,9 @@ def unescape(c: Column) -> Column:
             .when(e.startswith("&#"), F.regexp_extract(e, "^&#([0-9]+)", 1)).try_cast("bigint")
         ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         wide = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code)), 8, "0")), "UTF-32")
-        return F.coalesce(wide, F.try_element_at(table, body(e)), e)
+        # an unknown name may start with one that needs no semicolon; the rest of it stays text
+        start = F.try_element_at(table, F.regexp_extract(e, f"^&({bare})", 1))
+        return F.coalesce(wide, F.try_element_at(table, body(e)), F.concat(start, F.regexp_replace(e, f"^&(?:{bare})", "")), e)
 
     def joined(v: Column) -> Column:
         found = F.transform(F.regexp_extract_all(v, F.lit(pattern), 1), decode)

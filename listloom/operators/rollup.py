@@ -56,10 +56,10 @@ def score_histogram(df: DataFrame, score: str = "confidence") -> DataFrame:
     b = score_bin(F.col(score))
     counts = [F.count_if(b == name).alias("bin_" + name.replace(".", "").replace("-", "_")) for name in BINS]
     # the reported least starts at 1 and the greatest at 0, whatever the scores
+    some = lambda c: F.when(F.count("*") > 0, F.round(c, 3)).otherwise(F.lit(0.0))
     return df.agg(*counts, F.count("*").alias("total"),
                   F.coalesce(F.round(F.sum(s) / F.nullif(F.count("*"), F.lit(0)), 3), F.lit(0.0)).alias("mean"),
-                  F.coalesce(F.round(F.least(F.min(s), F.lit(1.0)), 3), F.lit(0.0)).alias("least"),
-                  F.coalesce(F.round(F.greatest(F.max(s), F.lit(0.0)), 3), F.lit(0.0)).alias("greatest"))
+                  some(F.least(F.min(s), F.lit(1.0))).alias("least"), some(F.greatest(F.max(s), F.lit(0.0))).alias("greatest"))
 
 
 def length_coverage(df: DataFrame, text: str = "description", min_length: int = 120) -> DataFrame:

@@ -59,7 +59,7 @@ def durable_upsert(stored: DataFrame, batch: DataFrame, sources: Sequence[str],
         if c not in b.columns:
             b = b.withColumn(c, F.lit(None).cast(stored.schema[c].dataType))
     if guard_empty:
-        seen = b.groupBy("source_id").agg(F.lit(True).alias("_seen"))
+        seen = batch.where(touched).select("source_id", F.lit(True).alias("_seen")).distinct()
     else:
         seen = stored.sparkSession.createDataFrame([(s, True) for s in live], "source_id string, _seen boolean")
     bypass = stored.where(~touched)

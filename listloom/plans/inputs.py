@@ -25,7 +25,7 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
     start = (F.when(F.col("lang") == "de", "2024-07-01").when(F.col("lang") == "en", "2024-07-02")
              .when(F.col("lang") == "es", "2024-07-03").otherwise("2024-07-04"))
     return docs.select(
-        i.alias("id"), F.col("source").alias("source_id"), F.split("text", "\n")[0].alias("title"),
+        i.alias("id"), F.col("source").alias("source_id"), F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("description"), start.alias("start_date"),
         F.when(i % 5 == 0, day(F.date_add(start.cast("date"), (i % 9).cast("int")))).alias("end_date"),
         F.when(i % 3 == 0, "20:00").alias("time"),

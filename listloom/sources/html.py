@@ -159,6 +159,11 @@ DETAIL_FIELDS: dict[str, Field] = {
 
 # --- structured data ------------------------------------------------------------------------------
 
+EVENT_SHAPE = ("name string, startDate string, endDate string, description string, image string, "
+               "location struct<name: string, address: struct<streetAddress: string, addressLocality: string>>, "
+               "offers struct<price: string, priceCurrency: string>")
+
+
 def event_json(html: Column) -> Column:
     """The first schema.org event with a name among a page's ld+json blocks, as JSON text."""
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
@@ -172,24 +177,26 @@ def event_json(html: Column) -> Column:
 def structured_events(pages: DataFrame, html: str = "html", url: str = "url", text_cap: int = 800,
                       skip_venues: Sequence[str] = ()) -> DataFrame:
     """Title, dates, text, place, image and price of each page's event; heading and URL date otherwise."""
-    p = pages.withColumn("_e", event_json(F.col(html)))
-    j = lambda path: F.nullif(F.get_json_object("_e", path), F.lit(""))
-    street, city = j("$.location.address.streetAddress"), F.coalesce(j("$.location.address.addressLocality"), F.lit(""))
+    # nested objects are typed; the image stays text because it may be a string or an object
+    p = pages.withColumn("_e", F.from_json(event_json(F.col(html)), EVENT_SHAPE))
+    j = lambda path: F.nullif(F.col(f"_e.{path}"), F.lit(""))
+    street, city = j("location.address.streetAddress"), F.coalesce(j("location.address.addressLocality"), F.lit(""))
     address = F.when(street.isNotNull(), F.regexp_replace(F.concat_ws(", ", street, city), "^[, ]+|[, ]+$", ""))
-    image = F.when(j("$.image").startswith("http"), j("$.image")).otherwise(j("$.image.url"))
-    price = j("$.offers.price")
-    venue = j("$.location.name")
+    image = F.when(j("image").startswith("http"), j("image")).otherwise(
+        F.nullif(F.get_json_object(j("image"), "$.url"), F.lit("")))
+    price = j("offers.price")
+    venue = j("location.name")
     has = F.col("_e").isNotNull()
     bare = F.nullif(strip(strip_tags(F.regexp_extract(F.col(html), r"(?s)<h1[^>]*>(.*?)</h1>", 1))), F.lit(""))
     return p.withColumns({
         "structured": has,
-        "title": F.when(has, strip(j("$.name"))).otherwise(bare),
-        "start_date": F.when(has, F.substring(j("$.startDate"), 1, 10))
+        "title": F.when(has, strip(j("name"))).otherwise(bare),
+        "start_date": F.when(has, F.substring(j("startDate"), 1, 10))
         .when(bare.isNotNull(), F.coalesce(url_date(F.col(url)), F.lit(""))),
-        "end_date": F.substring(j("$.endDate"), 1, 10),
-        "description": F.substring(squeeze(j("$.description")), 1, text_cap),
+        "end_date": F.substring(j("endDate"), 1, 10),
+        "description": F.substring(squeeze(j("description")), 1, text_cap),
         "venue_name": F.when(~F.lower(venue).isin(list(skip_venues)) if skip_venues else F.lit(True), venue),
         "address": address,
         "image_url": image,
-        "price": F.when(price != "0.00", F.concat_ws(" ", price, F.coalesce(j("$.offers.priceCurrency"), F.lit("EUR")))),
+        "price": F.when(price != "0.00", F.concat_ws(" ", price, F.coalesce(j("offers.priceCurrency"), F.lit("EUR")))),
     }).drop("_e")

@@ -35,11 +35,12 @@ def section_records(docs: DataFrame, text: str, year: int, begin: str = "upcomin
 
     Works inside the row with array functions: no shuffle, and a long document is one value anyway.
     """
-    d = docs.withColumn("_l", lines_of(F.col(text)))
-    d = d.withColumns({"_b": _places(F.col("_l"), lambda s: F.lower(s) == begin),
-                       "_f": _places(F.col("_l"), lambda s: F.lower(s) == finish)})
+    # a cheap test first: without an opening line there is nothing to take apart
+    d = docs.where(F.col(text).rlike(rf"(?imu)^[\s\p{{Z}}]*{begin}[\s\p{{Z}}]*$")).withColumn("_l", lines_of(F.col(text)))
+    d = d.withColumns({"_b": _places(F.col("_l"), lambda s: s.rlike(rf"(?iu)^{begin}$")),
+                       "_f": _places(F.col("_l"), lambda s: s.rlike(rf"(?iu)^{finish}$"))})
     end = F.coalesce(F.array_min(F.filter("_f", lambda i: i > F.get("_b", F.lit(0)))), F.size("_l"))
-    d = d.where(F.size("_b") > 0).withColumn("_end", end)
+    d = d.withColumn("_end", end)
     start = F.array_max(F.filter("_b", lambda i: i < F.col("_end")))
     d = d.withColumn("_s", F.slice("_l", start + 2, F.greatest(F.col("_end") - start - 1, F.lit(0))))
     d = d.withColumn("_d", _places(F.col("_s"), lambda s: s.rlike(dated)))
@@ -47,8 +48,8 @@ def section_records(docs: DataFrame, text: str, year: int, begin: str = "upcomin
         F.get("_s", at).alias("head"),
         F.slice("_s", at + 2, F.coalesce(F.get("_d", k + 1), F.size("_s")) - at - 1).alias("body")))
     r = d.select(*docs.columns, F.posexplode(parts).alias("record", "_r"))
-    body = F.col("_r.body")
-    at = F.array_min(_places(body, lambda s: F.length(s) > 3))
+    body, at = F.col("_r.body"), F.col("_at")
+    r = r.withColumn("_at", F.array_min(_places(body, lambda s: F.length(s) > 3)))
     credits = F.filter(body, lambda s, i: (i > at) & s.startswith(owner))
     g = lambda i: F.regexp_extract("_r.head", dated, i)
     month = F.coalesce(month_number(g(2), MONTHS_SHORT), F.lit(1))

@@ -50,7 +50,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: Colum
     the earlier ranges, at most ``RANGES`` rows per key, are added back. No task sees a whole key.
     ``order_col`` must be numeric and unique within a key.
     """
-    tagged = df.withColumn("_rb", range_bucket(df, order_col)).withColumn("_v", value.cast("long"))
+    tagged = df.withColumn("_rb", range_bucket(df, order_col)).withColumn("_v", F.coalesce(value.cast("long"), F.lit(0)))
     parts = [*keys, "_rb"]
     totals = tagged.groupBy(*parts).agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
