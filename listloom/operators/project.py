@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listloom.functions.classify import GENERIC_IMAGE  # noqa: F401  (re-exported for callers)
 from listloom.functions.text import filled, last_segment, slug, strip_tags
 
 # The stored columns of a listing, in order.

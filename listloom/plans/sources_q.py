@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listloom.functions.dates import iso  # noqa: F401
 from listloom.operators import project as P
 from listloom.plans import inputs as I
 from listloom.plans.registry import query, table

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listloom.functions.dates import iso  # noqa: F401  (kept with the source helpers)
-from listloom.functions.text import squeeze, strip, strip_tags, unescape, url_date
+from listloom.functions.text import has_value, squeeze, strip, strip_tags, unescape, url_date
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -159,26 +158,33 @@ DETAIL_FIELDS: dict[str, Field] = {
 
 # --- structured data ------------------------------------------------------------------------------
 
-EVENT_SHAPE = ("name string, startDate string, endDate string, description string, image string, "
+# Nested objects are typed; the image stays text because it may be a string or an object.
+EVENT_SHAPE = ("`@type` string, name string, startDate string, endDate string, description string, image string, "
                "location struct<name: string, address: struct<streetAddress: string, addressLocality: string>>, "
                "offers struct<price: string, priceCurrency: string>")
 
 
-def event_json(html: Column) -> Column:
-    """The first schema.org event with a name among a page's ld+json blocks, as JSON text."""
-    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
-    graph = lambda s: F.coalesce(F.from_json(F.get_json_object(s, "$['@graph']"), "array<string>"), F.array(s))
-    items = F.flatten(F.transform(scripts, graph))
-    is_event = lambda i: ((F.get_json_object(i, "$['@type']") == "Event")
-                          & (F.trim(F.coalesce(F.get_json_object(i, "$.name"), F.lit(""))) != ""))
-    return F.get(F.filter(items, is_event), F.lit(0))
+def event_record(html: Column) -> Column:
+    """The first schema.org event with a name among a page's ld+json blocks, null when there is none.
+
+    Every block is parsed once; a block is an object that either is the event or lists it in its graph.
+    """
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>\s*(\{.*?)</script>"), 1)
+    shape = f"struct<`@graph`: array<struct<{EVENT_SHAPE}>>, {EVENT_SHAPE}>"
+    names = ("@type", "name", "startDate", "endDate", "description", "image", "location", "offers")
+
+    def items(block: Column) -> Column:
+        own = F.struct(*[block[n].alias(n) for n in names])
+        return F.coalesce(block["@graph"], F.array(own))
+
+    found = F.flatten(F.transform(F.transform(scripts, lambda s: F.from_json(s, shape)), items))
+    return F.get(F.filter(found, lambda e: (e["@type"] == "Event") & has_value(e["name"])), F.lit(0))
 
 
 def structured_events(pages: DataFrame, html: str = "html", url: str = "url", text_cap: int = 800,
                       skip_venues: Sequence[str] = ()) -> DataFrame:
     """Title, dates, text, place, image and price of each page's event; heading and URL date otherwise."""
-    # nested objects are typed; the image stays text because it may be a string or an object
-    p = pages.withColumn("_e", F.from_json(event_json(F.col(html)), EVENT_SHAPE))
+    p = pages.withColumn("_e", event_record(F.col(html)))
     j = lambda path: F.nullif(F.col(f"_e.{path}"), F.lit(""))
     street, city = j("location.address.streetAddress"), F.coalesce(j("location.address.addressLocality"), F.lit(""))
     address = F.when(street.isNotNull(), F.regexp_replace(F.concat_ws(", ", street, city), "^[, ]+|[, ]+$", ""))

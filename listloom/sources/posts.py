@@ -118,10 +118,9 @@ def grid_films(rows: DataFrame, page: str = "page", week_start: str = "week_star
     r = r.withColumn("_prev", F.last(solid, ignorenulls=True).over(before))
     # marks that belong to a title still open, counted since the latest T or D row
     r = r.withColumn("_open_mark", ((F.col("_k") == "S") & F.col("_prev").isin("T", "P")).cast("int"))
-    anchor = F.sum(F.col("_k").isin("T", "D").cast("int")).over(before)
-    r = r.withColumn("_a", F.coalesce(anchor, F.lit(0)))
-    within = Window.partitionBy(page, "_a").orderBy("y", "position").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_marked", F.coalesce(F.sum("_open_mark").over(within), F.lit(0)) > 0)
+    r = r.withColumn("_marks", F.sum("_open_mark").over(upto))
+    at_anchor = F.last(F.when(F.col("_k").isin("T", "D"), F.col("_marks")), ignorenulls=True).over(before)
+    r = r.withColumn("_marked", F.col("_marks") - F.col("_open_mark") > F.coalesce(at_anchor, F.lit(0)))
     fresh = F.col("_prev").isNull() | (F.col("_prev") == "D")
     opens = (F.col("_k").isin("T", "P", "D") & fresh) | (F.col("_k").isin("T", "D") & F.col("_marked"))
     r = r.withColumn("_film", F.greatest(F.sum(opens.cast("int")).over(upto), F.lit(1)))
