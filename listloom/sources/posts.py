@@ -130,25 +130,26 @@ def grid_films(rows: DataFrame, page: str = "page", week_start: str = "week_star
         .when(F.col("_k") != "time", text)
     dur = F.when(F.col("_k") == "D", F.concat(F.regexp_extract("text", DURATION, 1), F.lit("h"),
                                               F.regexp_extract("text", DURATION, 2)))
-    titles = r.where("_k <> 'time'").withColumns({"_part": part, "_dur": dur}).groupBy(page, "_film").agg(
-        F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
-            F.coalesce("_part", F.lit("")) != "", F.struct("y", "position", "_part")))), lambda s: s["_part"]), " "),
-            r"\s+", " ").alias("title"),
-        F.coalesce(F.max("_dur"), F.lit("")).alias("duration"))
-
     day = F.coalesce(*[F.when((F.col("x") >= lo) & (F.col("x") < hi), i) for i, lo, hi in columns])
     tail = F.regexp_replace("text", r"^.*?\d+[Hh]\d+\s*", "")
     src = F.when(F.col("_k") == "time", F.col("text")).when(F.col("_k") == "D", tail)
     col = F.when(F.col("_k") == "time", day).when(F.col("_k") == "D", F.lit(0))
-    times = (r.withColumns({"_src": src, "_col": col}).where("_col is not null")
-             .select(page, "_film", week_start, "_col", F.explode(F.regexp_extract_all("_src", F.lit(r"\d+[Hh]\d+"), 0)).alias("_t"))
-             .select(page, "_film", F.date_format(F.date_add(F.to_date(week_start), F.col("_col")), "yyyy-MM-dd").alias("day"),
-                     F.regexp_replace("_t", "[Hh]", ":").alias("time")).distinct())
-    days = times.groupBy(page, "_film", "day").agg(F.array_sort(F.collect_list("time")).alias("times"))
-    shows = days.groupBy(page, "_film").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("day", "times")))).alias("showtimes"),
-        F.min("day").alias("start_date"), F.max("day").alias("end_date"))
-    return titles.join(shows, [page, "_film"]).withColumnRenamed("_film", "film")
+    date = F.date_format(F.date_add(F.to_date(week_start), F.col("_col")), "yyyy-MM-dd")
+    r = r.withColumns({"_part": part, "_dur": dur, "_src": src, "_col": col}).withColumn("_day", date)
+    r = r.withColumn("_times", F.transform(
+        F.when(F.col("_col").isNotNull(), F.regexp_extract_all("_src", F.lit(r"\d+[Hh]\d+"), 0)),
+        lambda t: F.struct(F.col("_day").alias("day"), F.regexp_replace(t, "[Hh]", ":").alias("time"))))
+    # titles and times of a film come together in one pass; a film's rows fit its page
+    films = r.groupBy(page, "_film").agg(
+        F.array_sort(F.collect_list(F.when(F.coalesce("_part", F.lit("")) != "", F.struct("y", "position", "_part")))).alias("_parts"),
+        F.max("_dur").alias("_dur"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_times")))).alias("_shows"))
+    days = F.array_distinct(F.transform("_shows", lambda t: t["day"]))
+    shows = F.map_from_entries(F.transform(days, lambda d: F.struct(
+        d.alias("day"), F.transform(F.filter("_shows", lambda t: t["day"] == d), lambda t: t["time"]).alias("times"))))
+    title = F.regexp_replace(F.array_join(F.transform("_parts", lambda p: p["_part"]), " "), r"\s+", " ")
+    return films.where((F.size("_shows") > 0) & (F.size("_parts") > 0)).select(
+        page, F.col("_film").alias("film"), title.alias("title"), F.coalesce("_dur", F.lit("")).alias("duration"), shows.alias("showtimes"),
+        F.array_min(days).alias("start_date"), F.array_max(days).alias("end_date"))
 
 
 def week_of(text: Column, as_of: Column, months) -> Column:
