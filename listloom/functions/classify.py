@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listloom.functions.text import SPACE, squeeze
+from listloom.functions.text import SPACE, bind, squeeze
 
 Rules = Sequence[tuple[Sequence[str], str]]
 
@@ -48,16 +48,19 @@ GENERIC_IMAGE = (r"(?i)/(fallback[-_ ]?logo|placeholder|default[-_ ]?image|no[-_
 
 def keyword_category(text: Column, rules: Rules, default: str | None = "other", whole_words: bool = False) -> Column:
     """Category of the first rule with a keyword inside the lower-cased text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    out = None
-    for words, category in rules:
-        pattern = "|".join(re.escape(w) for w in words)
-        if whole_words:
-            hit = t.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{pattern})(?![\p{{L}}\p{{N}}])")
-        else:
-            hit = t.rlike(pattern)
-        out = F.when(hit, category) if out is None else out.when(hit, category)
-    return out.otherwise(F.lit(default))
+    def first_rule(t: Column) -> Column:
+        out = None
+        for words, category in rules:
+            if whole_words:
+                hit = t.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(w) for w in words)})(?![\p{{L}}\p{{N}}])")
+            else:
+                hit = F.contains(t, F.lit(words[0]))
+                for w in words[1:]:
+                    hit = hit | F.contains(t, F.lit(w))
+            out = F.when(hit, category) if out is None else out.when(hit, category)
+        return out.otherwise(F.lit(default))
+
+    return bind(F.lower(F.coalesce(text, F.lit(""))), first_rule)
 
 
 def tiered_category(title: Column, description: Column, rules: Rules = LISTING_RULES,

@@ -69,13 +69,16 @@ def localized(df: DataFrame, locale: str = "fr", fields: Sequence[str] = LOCALE_
 
 
 def scan(df: DataFrame, source: str | None = None, status: str | None = "published") -> DataFrame:
-    """Live catalog rows, optionally of one source and status, by date then title."""
+    """Live catalog rows, optionally of one source and status, by date, title and id.
+
+    The id makes the order total, so rows that share date and title can be split over tasks.
+    """
     out = df.where(F.col("absent_since").isNull()) if "absent_since" in df.columns else df
     if source is not None:
         out = out.where(F.col("source_id") == source)
     if status is not None:
         out = out.where(F.col("status") == status)
-    return out.orderBy("start_date", "title")
+    return out.orderBy("start_date", "title", "id")
 
 
 def overlapping(df: DataFrame, as_of: str, start: str | None = None, end: str | None = None,

@@ -70,6 +70,8 @@ def publish_parts(df: DataFrame, root: str, name: str, part_column: str, built_a
     path = f"{root.rstrip('/')}/{name}/version={version}-{uuid.uuid4().hex[:8]}"
     done = latest.where(F.col("_v") >= version)
     todo = df.withColumn("part", F.col(part_column)).join(done, F.col("part") == F.col("_p"), "left_anti")
+    # evens out the files: a large part is split over many tasks, small ones share a task
+    todo = todo.hint("rebalance", "part")
     todo.write.mode("errorifexists").partitionBy("part").parquet(path)
     # one row per part; the folder is read off a file of the part, so odd names keep their escapes
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*/part=[^/]*)/[^/]*$", 1)

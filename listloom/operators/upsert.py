@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from listloom.functions.text import row_key, short_key
 from listloom.operators.project import LISTING_COLUMNS
-from listloom.windows import first_per_key, range_bucket
+from listloom.windows import first_per_key, range_bucket, side_by_side
 
 TRANSLATIONS = ("title_en", "title_fr", "description_en", "description_fr", "venue_name_en", "venue_name_fr")
 # Sources no scrape may touch.
@@ -148,9 +148,8 @@ def priority_merge(base: DataFrame, batch: DataFrame, priorities: Mapping[str, i
     kept = b.join(winner.select(F.col("_opos").alias(position)), position, "left_anti")
     merged = (kept.select(*base.columns).unionByName(handed.select(*base.columns))
               .unionByName(fresh.select(*base.columns)))
-    counts = (fresh.agg(F.count("*").alias("n_new"))
-              .crossJoin(highs.agg(F.count("*").alias("n_updated")))
-              .crossJoin(hits.agg(F.count("*").alias("_hits")))
+    counts = (side_by_side(fresh.agg(F.count("*").alias("n_new")), highs.agg(F.count("*").alias("n_updated")),
+                           hits.agg(F.count("*").alias("_hits")))
               .select("n_new", "n_updated", (F.col("_hits") - F.col("n_updated")).alias("n_duplicate")))
     return merged, counts
 

@@ -28,6 +28,14 @@ def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Col
     return df.withColumn(rank_as, F.row_number().over(w)).where(F.col(rank_as) <= k)
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row out of several one-row results with different columns, without a cross join."""
+    stacked = rows[0]
+    for r in rows[1:]:
+        stacked = stacked.unionByName(r, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def range_bucket(df: DataFrame, order_col: str, ranges: int = RANGES) -> Column:
     """Bucket number of a numeric position, cut at approximate quantiles.
 
