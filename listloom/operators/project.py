@@ -27,9 +27,12 @@ def _col(df: DataFrame, name: str, dtype: T.DataType) -> Column:
     return F.col(name).cast(dtype) if name in df.columns else F.lit(None).cast(dtype)
 
 
-def canonical(df: DataFrame, now: str, source: str = "unknown", commune: str | None = None) -> DataFrame:
+def canonical(df: DataFrame, now: str, source: str = "unknown", commune: str | None = None,
+              keep: Sequence[str] = ()) -> DataFrame:
     """Any record as the 27 listing columns with defaults; id from title and date when missing.
 
+    Columns named in ``keep`` (a position, say) are carried along unchanged.
+
     A column the input lacks takes its default; a column it has keeps its own nulls, except those
     that are filled when empty (id, source_id, description, created_at, updated_at).
     """
@@ -44,7 +47,7 @@ def canonical(df: DataFrame, now: str, source: str = "unknown", commune: str | N
                          "description": F.lit(""), "created_at": F.lit(now), "updated_at": F.lit(now)}
     for name, value in filled_when_empty.items():
         c[name] = F.when(F.coalesce(c[name], F.lit("")) != "", c[name]).otherwise(value)
-    return df.select(*[c[f.name].cast(f.dataType).alias(f.name) for f in LISTING_SCHEMA])
+    return df.select(*[c[f.name].cast(f.dataType).alias(f.name) for f in LISTING_SCHEMA], *keep)
 
 
 def localized(df: DataFrame, locale: str = "fr", fields: Sequence[str] = LOCALE_FIELDS,

@@ -36,6 +36,13 @@ def replace_source(stored: DataFrame, batch: DataFrame, source: str, position: s
     return others.unionByName(mine)
 
 
+def replace_table(batch: DataFrame, now: str, position: str = "position", key: str = "id") -> DataFrame:
+    """The batch as the whole new table: of equal ids the first counts, missing times are filled in."""
+    rows = first_per_key(batch, [key], [F.col(position).asc()])
+    filled = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(now))
+    return rows.withColumns({"created_at": filled("created_at"), "updated_at": F.lit(now)})
+
+
 def durable_upsert(stored: DataFrame, batch: DataFrame, sources: Sequence[str], now: str,
                    position: str = "position", carry: Sequence[str] = TRANSLATIONS,
                    protected: Sequence[str] = PROTECTED, guard_empty: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from listloom.functions import classify as C
 from listloom.functions import dates as D
 from listloom.functions import scoring as S
 from listloom.functions import text as X
+from listloom.functions.showtimes import stamps_to_films, version_label
 from listloom.plans import inputs as I
 from listloom.plans.registry import query, table
 
@@ -302,14 +303,13 @@ def fn19_description(spark, d):
 
 @query("fn20_showtimes", f"""WITH {I.SHOWINGS}, dd AS (SELECT title, day, array_to_string(list(DISTINCT time ORDER BY time), ',') AS times FROM sh GROUP BY ALL),
 m AS (SELECT title, string_agg(day || '=' || times, ';' ORDER BY day) AS showtimes, min(day) AS start_date, max(day) AS end_date FROM dd GROUP BY title),
-l AS (SELECT title, string_agg(DISTINCT CASE language WHEN 'A' THEN 'VO' WHEN 'N' THEN 'VF' ELSE 'VOST' END, '|'
-  ORDER BY CASE language WHEN 'A' THEN 'VO' WHEN 'N' THEN 'VF' ELSE 'VOST' END) AS language FROM sh GROUP BY title)
+l AS (SELECT title, string_agg(DISTINCT CASE language WHEN 'A' THEN 'VO' WHEN 'N' THEN 'Francais' ELSE 'VFST' END, '|'
+  ORDER BY CASE language WHEN 'A' THEN 'VO' WHEN 'N' THEN 'Francais' ELSE 'VFST' END) AS language FROM sh GROUP BY title)
 SELECT m.title, showtimes, start_date, end_date, language FROM m JOIN l ON m.title = l.title""")
 def fn20(spark, d):
     s = I.showings(spark, d)
     stamp = F.concat("day", F.lit("T"), F.lpad("time", 5, "0"), F.lit(":00"))
-    version = F.when(F.col("language") == "A", "VO").when(F.col("language") == "N", "VF").otherwise("VOST")
-    from listloom.functions.showtimes import stamps_to_films
+    version = version_label(F.when(F.col("language") == "A", "En VO").when(F.col("language") == "N", "En VF").otherwise("En VFST"))
     films = stamps_to_films(s.select("title", F.col("time").alias("shown"), stamp.alias("stamp"), version.alias("version")))
     flat = F.array_join(F.transform(F.array_sort(F.map_entries("showtimes")), lambda e: F.concat(
         e["key"], F.lit("="), F.array_join(F.array_sort(F.transform(e["value"], lambda t: F.regexp_replace(t, "^0", ""))), ","))), ";")

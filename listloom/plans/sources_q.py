@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listloom.functions.scoring import with_confidence
 from listloom.operators import project as P
+from listloom.operators.dedup import keep_first
+from listloom.operators.gate import publish_gate
+from listloom.operators.upsert import durable_upsert
 from listloom.plans import inputs as I
 from listloom.plans.registry import query, table
 from listloom.session import fresh_path
@@ -81,6 +85,34 @@ def src6(spark, d):
         F.array_join(links, " ").alias("links"), F.array_join(html.all_texts(h, "p"), "|").alias("paragraphs"))
 
 
+# raw pages to stored listings: extract, canonical rows, score, gate, first per key, upsert with tombstones
+_plain = "regexp_replace(lower(trim(title)), '[^\\p{L}\\p{N}_\\s-]', '', 'g')"
+
+
+@query("ingest_pages", f"""WITH pg AS (SELECT page_id, {_clean.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title, strftime(DATE '2024-01-01' + CAST(page_id AS INTEGER), '%Y-%m-%d') AS start_date,
+  {_clean.format("regexp_extract(html, '<p>(.*?)</p>', 1, 's')")} AS description, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS venue_name FROM pages),
+sc AS (SELECT *, round(0.8::DOUBLE * (1 + (title <> '')::INT) / 2.0 * ((title <> '')::INT + 1 + (description <> '')::INT + (venue_name <> '')::INT) / 7.0, 3)::DOUBLE AS confidence FROM pg),
+bt AS (SELECT * FROM sc WHERE confidence >= 0.4 AND NOT regexp_matches(title, '(?i)^the ')),
+st AS (SELECT page_id, 'old-' || page_id AS id FROM pg WHERE page_id % 3 = 0)
+SELECT coalesce(st.id, CASE WHEN {_plain} = '' THEN 'unnamed' ELSE regexp_replace(regexp_replace({_plain}, '[-\\s]+', '-', 'g'), '^-+|-+$', '', 'g') END || '-' || start_date) AS id,
+  CASE WHEN bt.page_id IS NOT NULL THEN description ELSE 'old text' END AS description, CASE WHEN bt.page_id IS NOT NULL THEN confidence ELSE 0.1 END::DOUBLE AS confidence,
+  CASE WHEN st.id IS NULL THEN '2024-06-15' ELSE '2024-01-01' END AS created_at, CASE WHEN bt.page_id IS NULL THEN '2024-06-15' END AS absent_since
+FROM st FULL JOIN bt ON st.page_id = bt.page_id""")
+def ingest_pages(spark, d):
+    h = F.col("html")
+    raw = table(spark, d, "pages").select(
+        F.col("page_id").alias("position"), F.lit("web").alias("source_id"), html.tag_text(h, "h1").alias("title"), html.tag_text(h, "p").alias("description"),
+        I.day(F.date_add(F.lit("2024-01-01").cast("date"), F.col("page_id").cast("int"))).alias("start_date"),
+        F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("venue_name"), F.col("url").alias("source_url"))
+    scored = with_confidence(raw, F.lit(0.8))
+    kept = keep_first(publish_gate(scored, "position", 0.4, ["^the "]).where("reason is null"), "position", "title_date_venue")
+    rows = P.canonical(kept, "2024-06-15", keep=["position"])
+    before = P.canonical(raw.where("position % 3 = 0").select(
+        F.concat(F.lit("old-"), "position").alias("id"), "source_id", "title", "start_date", "venue_name", F.lit("old text").alias("description"), F.lit(0.1).alias("confidence")), "2024-01-01")
+    stored = before.withColumns({"row_key": F.lit(None).cast("string"), "absent_since": F.lit(None).cast("string")})
+    return durable_upsert(stored, rows, ["web"], "2024-06-15").select("id", "description", "confidence", "created_at", "absent_since")
+
+
 _unesc = "trim(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'))"
 
 

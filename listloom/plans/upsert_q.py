@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listloom.functions.text import slug
 from listloom.operators import review as R
 from listloom.operators import upsert as U
 from listloom.plans import inputs as I
@@ -30,6 +31,13 @@ def ups1(spark, d):
     return U.replace_source(old, twice, "HOUSEHOLD").select("id", "description")
 
 
+@query("ups1_replace_table", f"""WITH {I.SHOWINGS}, f AS (SELECT lower(replace(title, ' ', '-')) AS id, title, day, position FROM sh)
+SELECT id, title, day, CASE WHEN position % 2 = 0 THEN 'c' ELSE '{NOW}' END AS created_at FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY position) = 1""")
+def ups1_table(spark, d):
+    films = I.showings(spark, d).select(slug(F.col("title")).alias("id"), "title", "day", "position", F.when(F.col("position") % 2 == 0, "c").otherwise("").alias("created_at"))
+    return U.replace_table(films, NOW).select("id", "title", "day", "created_at")
+
+
 @query("ups2_durable_upsert", f"""WITH {STORED} SELECT coalesce(o.id, n.id) AS id, coalesce(o.source_id, n.source_id) AS source_id, coalesce(n.title, o.title) AS title,
   CASE WHEN n.id IS NOT NULL THEN n.description ELSE o.description END AS description,
   CASE WHEN n.id IS NOT NULL THEN coalesce(nullif(n.title_en, ''), nullif(o.title_en, ''), n.title_en) ELSE o.title_en END AS title_en,
