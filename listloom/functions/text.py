@@ -223,9 +223,12 @@ def strip_suffixes(norm: Column, phrases: Sequence[str]) -> Column:
 def event_name(title: Column, phrases: Sequence[str] = (),
                aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
     """Token list used for fuzzy matching: suffixes stripped, alias titles made canonical."""
-    norm = normalize_title(title)
-    stripped = strip_suffixes(norm, phrases)
-    out = stripped
+    return name_tokens(normalize_title(title), phrases, aliases)
+
+
+def name_tokens(norm: Column, phrases: Sequence[str] = (), aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """``event_name`` of a title that is normalised already."""
+    out = strip_suffixes(norm, phrases)
     for canonical, others in (aliases or {}).items():
         spellings = [normalize_title(F.lit(x)) for x in (canonical, *others)]
         same = F.array_contains(F.array(*spellings), norm)
