@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from listloom.llm.decontaminate import benchmark_hits
+from listloom.llm.line_spread import LINE_SPREAD_SQL, drop_wide_lines
+from listloom.llm.simhash import near_duplicates
 from listloom.llm.token_count import token_counts
 from listloom.plans.registry import table
 
@@ -13,5 +17,20 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
-SQL: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("n_lines", F.size(F.split("text", "\n", -1)))
+    return drop_wide_lines(docs).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_simhash, op8_decontaminate, op10_line_spread)}
+SQL: dict[str, str] = {"op10_line_spread": LINE_SPREAD_SQL}
