@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listloom.llm.byte_bpe import encode
 from listloom.llm.decontaminate import benchmark_hits
 from listloom.llm.line_spread import LINE_SPREAD_SQL, drop_wide_lines
 from listloom.llm.simhash import near_duplicates
 from listloom.llm.token_count import token_counts
+from listloom.llm.toxicity import toxicity
 from listloom.plans.registry import table
 
 
@@ -17,10 +19,19 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -32,5 +43,5 @@ def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return drop_wide_lines(docs).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_simhash, op8_decontaminate, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_simhash, op7_toxicity, op8_decontaminate, op10_line_spread)}
 SQL: dict[str, str] = {"op10_line_spread": LINE_SPREAD_SQL}

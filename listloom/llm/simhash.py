@@ -188,3 +188,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = placed.join(roots, "component").select("fp", "component_id")
     return marked.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but of each near-duplicate component only those of its least doc_id.
+
+    Edge cases are those of ``near_duplicates``. An id stays or goes as a whole: rows that repeat the least
+    id of a component all stay, and an id with rows in several components goes if it is not the least of
+    one of them. A null id goes if its component has an id.
+    """
+    found = near_duplicates(docs, doc_id, text, words)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
