@@ -18,6 +18,8 @@ from listloom.llm.common import batches, frequent, read_bytes, small_batches, st
 _PRE_TOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*")
 #: Longer pre-tokens are counted where they stand: as join keys they would be bulky, and hardly any repeat.
 LONG = 64
+#: Distinct pre-tokens that a task holds before it hands their counts on.
+HELD = 500_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -42,7 +44,7 @@ class PieceCounter:
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text",
-                 share: int = 1 << 19) -> DataFrame:
+                 share: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``, as the SentencePiece model counts whole texts.
 
     Every distinct pre-token is counted once. Those that make up at least one in ``share`` of all
@@ -64,7 +66,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, doc_id: st
             for part in parts:
                 for t in part.column("text").to_pylist():
                     seen.update(pre_tokens(t))
-                    if len(seen) > 200_000:
+                    if len(seen) > HELD:
                         yield from seen.items()
                         seen.clear()
             yield from seen.items()
@@ -81,7 +83,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, doc_id: st
     vocabulary = stored(totals.mapInArrow(counted, "word string, n long, pieces long"), "pieces")
     shared = spark.sparkContext.broadcast(dict(frequent(vocabulary, "n", share).select("word", "pieces").collect()))
     key = rows.schema["doc_id"].dataType
-    schema = to_arrow_schema(StructType().add("row", "long").add("doc_id", key).add("n_bytes", "long").add("word", "string").add("n", "long").add("known", "long"))
+    schema = to_arrow_schema(StructType().add("row", "long").add("word", "string").add("n", "long").add("head", StructType().add("doc_id", key).add("n_bytes", "long")))
 
     def looked_up(parts):
         count, table = PieceCounter(model.value), shared.value
@@ -97,16 +99,15 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, doc_id: st
                         elif len(w) > LONG:
                             long.append((w, n))
                         else:
-                            yield row, None, None, w, n, 0
+                            yield row, w, n, None
                     if long:
                         total += sum(p * n for p, (_, n) in zip(count([w for w, _ in long]), long))
                     # the sum so far has a word of its own, which no text has and which is no hot key
-                    yield row, key, len(t.encode()), f"\n\n{row}", 0, total
+                    yield row, f"\n\n{row}", total, {"doc_id": key, "n_bytes": len(t.encode())}
 
         yield from batches(found(), schema)
 
     parts = rows.mapInArrow(looked_up, from_arrow_schema(schema)).join(vocabulary.select("word", "pieces"), "word", "left")
     return (parts.groupBy("row").agg(
-                F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
-                F.sum(F.col("known") + F.col("n") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
-            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+                F.first("head", ignorenulls=True).alias("head"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+            .select("head.doc_id", "head.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
