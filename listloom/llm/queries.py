@@ -10,8 +10,10 @@ from listloom.llm.byte_bpe import encode
 from listloom.llm.decontaminate import benchmark_hits
 from listloom.llm.line_spread import LINE_SPREAD_SQL, drop_wide_lines
 from listloom.llm.simhash import near_duplicates
+from listloom.llm.token_file import digests, token_file
 from listloom.llm.token_count import token_counts
 from listloom.llm.toxicity import toxicity
+from listloom.llm.url_reputation import URL_SQL, judge_urls
 from listloom.plans.registry import table
 
 
@@ -28,6 +30,14 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"))
+
+
+def op5_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(token_file(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -43,5 +53,5 @@ def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return drop_wide_lines(docs).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_simhash, op7_toxicity, op8_decontaminate, op10_line_spread)}
-SQL: dict[str, str] = {"op10_line_spread": LINE_SPREAD_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_simhash, op4_url_reputation, op5_token_file, op7_toxicity, op8_decontaminate, op10_line_spread)}
+SQL: dict[str, str] = {"op4_url_reputation": URL_SQL, "op10_line_spread": LINE_SPREAD_SQL}
