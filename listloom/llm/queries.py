@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listloom.llm.ann import nearest
 from listloom.llm.byte_bpe import encode
 from listloom.llm.decontaminate import benchmark_hits
 from listloom.llm.line_spread import LINE_SPREAD_SQL, drop_wide_lines
+from listloom.llm.page_diff import extract
 from listloom.llm.simhash import near_duplicates
 from listloom.llm.token_file import digests, token_file
 from listloom.llm.token_count import token_counts
@@ -38,6 +40,10 @@ def op5_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return digests(token_file(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -48,10 +54,14 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("n_lines", F.size(F.split("text", "\n", -1)))
     return drop_wide_lines(docs).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_simhash, op4_url_reputation, op5_token_file, op7_toxicity, op8_decontaminate, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_simhash, op4_url_reputation, op5_token_file, op6_nearest, op7_toxicity, op8_decontaminate, op9_page_text, op10_line_spread)}
 SQL: dict[str, str] = {"op4_url_reputation": URL_SQL, "op10_line_spread": LINE_SPREAD_SQL}
