@@ -17,7 +17,7 @@ ROWS, PARTITIONS = 2048, 256
 #: Neighbours of a node in the graph, hidden units of the classifier, rows compared with a query at a time.
 DEGREE, HIDDEN, CHUNK = 10, 128, 8192
 #: Share of a sample's true neighbours that the probed partitions must hold.
-TARGET = 0.95
+TARGET = 0.93
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:

@@ -191,7 +191,6 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     shards = [spark.sparkContext.broadcast(a) for a in _shards(items, item_id, item_text, window, shard_words)]
     if len(shards) < 2:
         found = _scan(rows, "text", shards[0] if shards else spark.sparkContext.broadcast(Automaton([], window)))
-        sized = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     else:
         mark = rows.withColumn("mark", F.xxhash64("text"))
         parts = None
@@ -204,7 +203,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
         counted = _scan(mark, "text", spark.sparkContext.broadcast(Automaton([], window))).drop("spans", "items")
         found = (counted.join(m, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("mark").eqNullSafe(F.col("m")), "left")
                  .select("doc_id", "text", "n_words", F.coalesce("spans", F.array()).alias("spans"), F.coalesce("items", F.array()).alias("items")))
-        sized = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    sized = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return (found.withColumn("n_hit", sized)
             .select("doc_id", "text", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words"))).alias("contaminated")))
 
@@ -219,9 +218,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     shards = [spark.sparkContext.broadcast(a) for a in _shards(items, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("window", WINDOW), options.get("shard_words", SHARD_WORDS))]
     small_batches(spark)
     if len(shards) > 1:
+        own_id, own_mark = (name + "_" * max(map(len, docs.columns)) for name in ("id", "mark"))  # names that no column has
         bad = (benchmark_hits(docs, items, doc_id, text, coverage=coverage, **options).where("contaminated")
-               .select(F.col("doc_id").alias("_bad_id"), F.xxhash64("text").alias("_bad_mark")).distinct())
-        return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text) == F.col("_bad_mark")), "left_anti")
+               .select(F.col("doc_id").alias(own_id), F.xxhash64("text").alias(own_mark)).distinct())
+        return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_mark)), "left_anti")
     if not shards:
         return docs
 
@@ -254,8 +254,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``benchmark_hits`` with the hit passages cut out of ``text``; what lies outside of them stays as it is."""
     found = benchmark_hits(docs, items, **options)
 
+    at = found.columns.index("text")
+
     def cut(parts):
-        at = found.columns.index("text")
         for part in parts:
             texts = [None if t is None else without_spans(t.encode(), [(s["start"], s["end"]) for s in spans]).decode()
                      for t, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]

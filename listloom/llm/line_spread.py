@@ -19,8 +19,8 @@ def _lines(text: Column) -> Column:
 
 def line_places(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
     """(doc_id, mark, place, a, b, site): every line that holds more than spaces, by a 128-bit hash of the line without outer spaces."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
-                       F.posexplode(_lines(F.col(text))).alias("place", "line"))
+    named = F.concat(F.lit("="), F.coalesce(F.col(site).cast("string"), F.lit("")))  # as sketches leave out empty strings
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), named.alias("site"), F.posexplode(_lines(F.col(text))).alias("place", "line"))
     line = F.trim("line")
     return rows.where(line != "").select("doc_id", "mark", "place", F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"), "site")
 
@@ -53,15 +53,16 @@ def drop_wide_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     places = stored(line_places(docs, doc_id, text, site), "line-places")
     wide = wide_lines(places, min_sites)
-    doomed = (places.join(wide, ["a", "b"]).where(~F.struct("doc_id", "mark", "place").eqNullSafe(F.col("first")))
-              .groupBy("doc_id", "mark").agg(F.collect_set("place").alias("_cut"))
-              .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_cut"))
     base = docs.drop("n_removed")
-    joined = base.join(doomed, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
+    # names that no column of the table has
+    own_id, own_mark, cut = (name + "_" * max(map(len, base.columns)) for name in ("id", "mark", "cut"))
+    doomed = (places.join(wide, ["a", "b"]).where(~F.struct("doc_id", "mark", "place").eqNullSafe(F.col("first")))
+              .groupBy(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).agg(F.collect_set("place").alias(cut)))
+    joined = base.join(doomed, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_mark)), "left")
     lines = _lines(F.col(text))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut")), lambda i: F.get(lines, i))
-    return joined.select(*(F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in base.columns),
-                         F.coalesce(F.size("_cut"), F.lit(0)).alias("n_removed"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut)), lambda i: F.get(lines, i))
+    return joined.select(*(F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in base.columns),
+                         F.coalesce(F.size(cut), F.lit(0)).alias("n_removed"))
 
 
 #: The rows of ``op10_line_spread`` in DuckDB SQL.

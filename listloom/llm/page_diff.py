@@ -198,7 +198,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             if "0" in certain:
                 own, gone = np.frombuffer(hashes, "<u8").tolist(), set()
                 for other in (before, after):
-                    if other is not None and host and other[0] == host and other[1:3] != (path, name):
+                    if other is not None and host and other[0] == host and tuple(other[1:3]) != (path, name):
                         gone |= shared(own, np.frombuffer(other[3], "<u8").tolist())
                 kept = [line for k, line in enumerate(kept) if certain[k] == "1" or k not in gone]
             text = "\n\n".join(kept)

@@ -198,5 +198,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     one of them. A null id goes if its component has an id.
     """
     found = near_duplicates(docs, doc_id, text, words)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    own_id = "id" + "_" * max(map(len, docs.columns))  # a name that no column of the table has
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id)).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(own_id)), "left_anti")
