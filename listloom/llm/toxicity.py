@@ -15,7 +15,9 @@ WINDOW, STRIDE = 32, 16
 EMBED, HIDDEN = 16, 8
 WORD_SLOTS, GRAM_SLOTS = 1 << 13, 1 << 14
 #: Bounds of the labelled sample that the network is fitted on: texts per class, and bytes of one text.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 4500, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 2800, 20_000
+#: Bytes of text whose words are named at a time.
+SLICE = 1 << 20
 
 _LETTER = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
@@ -36,45 +38,69 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes]):
-        whole = b" ".join([b"", *texts, b""])
-        buf = np.frombuffer(whole, np.uint8)
-        inside = _LETTER[buf].view(np.int8)
-        edge = np.diff(inside)
+        names, starts, ends, low, at = [], [], [], [], 0
+        counts, i = [0], 0
+        while i < len(texts):
+            size, j = 0, i
+            while j < len(texts) and (j == i or size < SLICE):
+                size, j = size + len(texts[j]), j + 1
+            part = self._named(texts[i:j])
+            names.append(part[0])
+            starts.append(part[1] + at)
+            ends.append(part[2] + at)
+            low.append(part[3])
+            counts.append(part[4] + sum(len(n) for n in names[:-1]))
+            at, i = at + len(part[3]), j
+        forms, first, self.form = np.unique(np.concatenate([np.zeros(0, np.uint64), *names]), return_index=True, return_inverse=True)
+        self.form = self.form.astype(np.int32)
+        self.word_slot = ((forms >> np.uint64(7)) % np.uint64(WORD_SLOTS)).astype(np.int32)
+        none = np.zeros(0, np.int64)
+        self._pieces(np.concatenate([np.zeros(0, np.uint8), *low]), np.concatenate([none, *starts])[first], np.concatenate([none, *ends])[first])
+        #: text i holds the words from cut[i] to cut[i + 1]
+        self.cut = np.concatenate([np.atleast_1d(c) for c in counts]).astype(np.int64)
+
+    @staticmethod
+    def _named(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(name, start, end) of every word of some texts, their lower-cased bytes, and the words up to each text's end."""
+        buf = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+        edge = np.diff(_LETTER[buf].view(np.int8))
         starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         low = _LOWER[buf]
-        power = np.cumprod(np.full(len(buf), _BASE))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low + np.uint64(1)) * power)])
-        back = np.cumprod(np.full(len(buf), _UNBASE))
-        names = _mixed((sums[ends] - sums[starts]) * back[starts])
-        forms, first, self.form = np.unique(names, return_index=True, return_inverse=True)
-        self.word_slot = (forms >> np.uint64(7)).astype(np.int64) % WORD_SLOTS
-        self._pieces(low, starts[first], ends[first])
-        bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        #: text i holds the words from cut[i] to cut[i + 1]
-        self.cut = np.searchsorted(starts, bounds)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low + np.uint64(1)) * np.cumprod(np.full(len(buf), _BASE)))])
+        names = _mixed((sums[ends] - sums[starts]) * np.cumprod(np.full(len(buf), _UNBASE))[starts])
+        return names, starts, ends, low.astype(np.uint8), np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])[1:])
 
     def _pieces(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        slots, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(starts), 20_000):
+            slot, owner = self._some_pieces(low, starts[i:i + 20_000], ends[i:i + 20_000])
+            slots.append(slot)
+            owners.append(owner + np.int32(i))
+        self.piece_slot, self.piece_of = np.concatenate(slots), np.concatenate(owners)
+        self.piece_start = np.searchsorted(self.piece_of, np.arange(len(starts)))
+
+    @staticmethod
+    def _some_pieces(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, form) of the pieces of some forms, form by form."""
         size = ends - starts
         offsets = np.concatenate([[0], np.cumsum(size + 2)])
         # "^word$" for every form, one after the other
         padded = np.zeros(offsets[-1] + 2, np.uint64)
-        place = np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(size) else np.zeros(0, np.int64)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         padded[np.repeat(offsets[:-1] + 1, size) + place] = low[np.repeat(starts, size) + place]
         padded[offsets[:-1]], padded[offsets[1:] - 1] = 1, 2
         m = np.uint64(0x100000001B3)
         three = ((padded[:-2] * m + padded[1:-1]) * m + padded[2:]) * m
-        owner = np.repeat(np.arange(len(size)), size + 2)
-        slots, own = [], []
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 2)
+        slots, owners = [], []
         for n, h in ((3, three), (4, (three[:-1] + padded[3:]) * m * m)):
-            if len(h):
-                at = np.arange(min(len(h), offsets[-1]))
-                at = at[at + n <= offsets[owner[at] + 1]] if len(owner) else at[:0]
-                slots.append((_mixed(h[at]) >> np.uint64(9)).astype(np.int64) % GRAM_SLOTS)
-                own.append(owner[at])
-        slot, own_of = (np.concatenate(slots), np.concatenate(own)) if slots else (np.zeros(0, np.int64),) * 2
-        order = np.argsort(own_of, kind="stable")
-        self.piece_slot, self.piece_start = slot[order], np.searchsorted(own_of[order], np.arange(len(size)))
-        self.piece_of = own_of[order]
+            at = np.arange(min(len(h), offsets[-1]))
+            at = at[at + n <= offsets[owner[at] + 1]]
+            slots.append(((_mixed(h[at]) >> np.uint64(9)) % np.uint64(GRAM_SLOTS)).astype(np.int32))
+            owners.append(owner[at])
+        slot, of = np.concatenate(slots), np.concatenate(owners)
+        order = np.argsort(of, kind="stable")
+        return slot[order], of[order]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(first word, text) of every window; the last window of a text ends with it."""
@@ -304,12 +330,19 @@ def _calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([np.clip(logit, -20, 20), np.ones(len(y))], axis=1)
-    b = np.array([1.0, 0.0])
-    for _ in range(100):
+    b = start = np.array([1.0, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        # the pull towards the start keeps the fit finite where the classes part cleanly
+        return float((np.logaddexp(0, x @ b) - target * (x @ b)).sum() + ((b - start) ** 2).sum() / 2)
+
+    for _ in range(50):
         p = _sigmoid(x @ b)
-        w = p * (1 - p)
-        # the pull towards (1, 0) keeps the fit finite where the classes part cleanly
-        b = b + np.linalg.solve((x * w[:, None]).T @ x + np.eye(2), x.T @ (target - p) - (b - [1, 0]))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (target - p) - (b - start))
+        size = 1.0
+        while size > 1e-6 and loss(b + size * move) > loss(b):
+            size /= 2
+        b = b + size * move
     return (float(b[0]), float(b[1])) if b[0] > 0 else (1.0, 0.0)
 
 
