@@ -121,7 +121,7 @@ def commune_in_text(text: Column, names: Sequence[tuple[str, str]], default: str
     return F.coalesce(ordered_pattern([text], names), F.lit(default))
 
 
-def venue_from_address(address: Column, overrides: Mapping[str, str] | None = None, cap: int = 60) -> Column:
+def venue_from_address(address: Column, overrides: Mapping[str, str] | None = None, cap: int | None = None) -> Column:
     """Part of an address before its postcode and before "number + street word"."""
     a = squeeze(F.coalesce(address, F.lit("")))
     head = F.trim(F.regexp_replace(a, r"\b\d{5}\b.*$", ""))
@@ -130,7 +130,8 @@ def venue_from_address(address: Column, overrides: Mapping[str, str] | None = No
     street = rf"(?iu)\b\d{{1,4}}\b\s*,?\s*(?:{words})(?![\p{{L}}\p{{N}}_]).*$"
     head = squeeze(F.regexp_replace(head, street, ""))
     head = F.trim(F.regexp_replace(head, r"[\s,;:–—-]+$", ""))
-    head = F.when(F.length(head) > cap, F.regexp_replace(F.substring(head, 1, cap), "[ ,-]+$", "")).otherwise(head)
+    if cap is not None:
+        head = F.when(F.length(head) > cap, F.regexp_replace(F.substring(head, 1, cap), "[ ,-]+$", "")).otherwise(head)
     for part, venue in reversed(list((overrides or {}).items())):
         head = F.when(F.contains(F.lower(F.coalesce(address, F.lit(""))), F.lit(part)), venue).otherwise(head)
     return head

@@ -65,7 +65,7 @@ def _fold_tables(compat: bool) -> tuple[str, str, dict[str, str]]:
     """From the Unicode data: one-to-one replacements, then those that give several characters."""
     form = "NFKD" if compat else "NFD"
     single_from, single_to, gone, several = [], [], [], {}
-    for code in range(0x80, 0x20000):
+    for code in range(0x80, 0x110000):
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
             continue  # Hangul syllables decompose reversibly, so equality is unchanged
         ch = chr(code)
@@ -77,11 +77,15 @@ def _fold_tables(compat: bool) -> tuple[str, str, dict[str, str]]:
         elif len(out) == 1:
             single_from.append(ch)
             single_to.append(out)
-        elif code < 0x10000:
+        else:
             several[ch] = out
     return "".join(single_from + gone), "".join(single_to), several
 
 
+# What HTML takes numeric references to C1 controls for, the characters of Windows-1252.
+CONTROL_REFERENCES = {str(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
 def _literal_map(d: Mapping[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
 
@@ -111,15 +115,21 @@ def _entities() -> tuple[dict[str, str], str]:
 def unescape(c: Column) -> Column:
     """Decode named and numeric HTML entities with built-in expressions."""
     names, bare = _entities()
-    pattern = rf"(&#[xX][0-9a-fA-F]{{1,6}};?|&#[0-9]{{1,7}};?|&[A-Za-z][A-Za-z0-9]{{1,31}};|&(?:{bare}))"
-    table = _literal_map(names)
+    pattern = rf"(&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]{{1,31}};|&(?:{bare}))"
+    table, controls = _literal_map(names), _literal_map(CONTROL_REFERENCES)
     body = lambda e: F.regexp_replace(e, "^&|;$", "")
 
     def decode(e: Column) -> Column:
-        code = F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)) \
-            .when(e.startswith("&#"), F.regexp_extract(e, "^&#([0-9]+)", 1)).try_cast("bigint")
-        ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        wide = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code)), 8, "0")), "UTF-32")
+        # leading zeros say nothing; more digits than any code point has are out of range
+        hexed, plain = F.regexp_extract(e, "^&#[xX]0*([0-9a-fA-F]*)", 1), F.regexp_extract(e, "^&#0*([0-9]*)", 1)
+        digits = F.when(e.rlike("^&#[xX]"), F.when(F.length(hexed) > 6, F.lit(str(0x110000))).otherwise(F.conv(F.concat(F.lit("0"), hexed), 16, 10))) \
+            .when(e.startswith("&#"), F.when(F.length(plain) > 7, F.lit(str(0x110000))).otherwise(F.concat(F.lit("0"), plain)))
+        code = digits.try_cast("bigint")
+        shown = F.decode(F.unhex(F.lpad(F.hex(F.when(code < 0x110000, code)), 8, "0")), "UTF-32")
+        unseen = code.between(1, 8) | code.between(14, 31) | (code == 11) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(65536)) >= 65534)
+        wide = (F.when((code == 0) | (code >= 0x110000) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+                .when(code.between(0x80, 0x9F), F.coalesce(F.try_element_at(controls, code.cast("string")), shown))
+                .when(unseen, F.lit("")).when(code.isNotNull(), shown))
         # an unknown name may start with one that needs no semicolon; the rest of it stays text
         start = F.try_element_at(table, F.regexp_extract(e, f"^&({bare})", 1))
         return F.coalesce(wide, F.try_element_at(table, body(e)), F.concat(start, F.regexp_replace(e, f"^&(?:{bare})", "")), e)
@@ -159,12 +169,12 @@ def date10(c: Column) -> Column:
     return F.substring(F.coalesce(c, F.lit("")), 1, 10)
 
 
-def slug(c: Column, variant: str = "plain", date: Column | None = None) -> Column:
-    """URL-safe name of a text.
+def slug(c: Column, variant: str = "plain", date: Column | None = None, lengths: Sequence[int] = ()) -> Column:
+    """URL-safe name of a text, whole unless ``lengths`` cut it.
 
     plain: words joined by hyphens; dated: the same, ``unnamed`` when empty, date appended;
-    page: ASCII, 60 characters plus year-month, 80 at most; apostrophe: apostrophes become hyphens;
-    date_first: date, then 40 ASCII characters.
+    page: ASCII, plus year-month (``lengths``: of the text, and of the whole); apostrophe: apostrophes
+    become hyphens; date_first: date, then ASCII (``lengths``: of the text).
     """
     raw = F.coalesce(c, F.lit(""))
     low = strip(F.lower(raw))
@@ -180,21 +190,22 @@ def slug(c: Column, variant: str = "plain", date: Column | None = None) -> Colum
         s = F.regexp_replace(fold(low, compat=False), "[^a-z0-9]+", "-")
         s = F.regexp_replace(F.regexp_replace(s, "^-+|-+$", ""), r"-\d{4}-\d{2}-\d{2}$", "")
         month = F.regexp_replace(F.substring(d, 1, 7), "-", "")
-        s = F.when(F.length(d) >= 7, F.concat_ws("-", F.substring(s, 1, 60), month)).otherwise(s)
-        s = F.substring(s, 1, 80)
+        s = F.when(F.length(d) >= 7, F.concat_ws("-", F.substring(s, 1, lengths[0]) if lengths else s, month)).otherwise(s)
+        s = F.substring(s, 1, lengths[1]) if len(lengths) > 1 else s
         return F.when(s == "", "event").otherwise(s)
     if variant == "apostrophe":
         s = F.regexp_replace(F.lower(raw), "['’]", "-")
         return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9-]+", "-"), "^-+|-+$", ""), "-+", "-")
     if variant == "date_first":
         s = F.regexp_replace(F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-        return F.concat_ws("-", F.when(d == "", "nodate").otherwise(d), F.substring(s, 1, 40))
+        return F.concat_ws("-", F.when(d == "", "nodate").otherwise(d), F.substring(s, 1, lengths[0]) if lengths else s)
     raise ValueError(f"unknown slug variant {variant!r}")
 
 
-def short_key(title: Column, date: Column) -> Column:
-    t = F.substring(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]", ""), 1, 50)
-    return F.concat(t, F.lit("|"), date10(date))
+def short_key(title: Column, date: Column, length: int | None = None) -> Column:
+    """ASCII letters and digits of a title, and the date; the whole title unless ``length`` cuts it."""
+    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]", "")
+    return F.concat(t if length is None else F.substring(t, 1, length), F.lit("|"), date10(date))
 
 
 def row_key(source: Column, title: Column, date: Column, venue: Column) -> Column:

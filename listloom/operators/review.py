@@ -16,10 +16,11 @@ QUEUE = ("id", "event_id", "source_id", "reason", "event_snapshot", "confidence"
          "reviewed_by", "reviewed_at", "created_at")
 
 
-def review_id(source: Column, event_id: Column, title: Column, date: Column, reason: Column) -> Column:
-    """First 16 hex digits of a SHA-1 over the parts that identify a case."""
+def review_id(source: Column, event_id: Column, title: Column, date: Column, reason: Column, title_length: int | None = None) -> Column:
+    """First 16 hex digits of a SHA-1 over the parts that identify a case; the whole title counts unless a length is given."""
     e = lambda c: F.coalesce(c, F.lit(""))
-    key = F.concat_ws("|", e(source), e(event_id), F.substring(e(title), 1, 200), date10(date), e(reason))
+    named = e(title) if title_length is None else F.substring(e(title), 1, title_length)
+    key = F.concat_ws("|", e(source), e(event_id), named, date10(date), e(reason))
     return F.substring(F.sha1(key.cast("binary")), 1, 16)
 
 
@@ -128,7 +129,7 @@ def list_queue(queue: DataFrame, status: str = "open", source: str | None = None
     if high is not None:
         q = q.where(F.col("confidence") <= high)
     order = [F.col("confidence").asc(), F.col("created_at").desc(), F.col("id").asc()]
-    limit = None if limit is None else max(1, min(1000, limit))
+    limit = None if limit is None else max(0, limit)
     if status != "all":
         q = q.where(F.col("status") == status).orderBy(*order)
         return q if limit is None else q.limit(limit)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from listloom.windows import first_per_key
 
@@ -111,6 +112,9 @@ def evolve(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def expired_versions(entries: DataFrame, keep: int = 30) -> DataFrame:
-    """Manifest rows beyond the newest ``keep``: what retention may delete."""
-    kept = entries.orderBy(F.col("built_at").desc(), F.col("version").desc()).limit(keep)
-    return entries.join(kept.select("name", "part", "version"), ["name", "part", "version"], "left_anti")
+    """Manifest rows beyond the newest ``keep`` versions of each part of each table: what retention may delete.
+
+    The current version of a part, its highest, is never among them, whatever ``keep`` is.
+    """
+    newest = Window.partitionBy("name", "part").orderBy(F.col("version").desc())
+    return entries.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") > max(1, keep)).drop("_rank")

@@ -54,7 +54,7 @@ def durable_upsert(stored: DataFrame, batch: DataFrame, sources: Sequence[str],
     fields keep the stored text. Protected sources never change. ``guard_empty`` leaves a source alone
     when the batch has no row of it at all.
 
-    One full outer join on the unique row key does all of it; stored rows of other sources bypass it.
+    One full outer join on the unique row key does all of it, with one shuffle of either side; stored rows of other sources bypass it.
     """
     live = [s for s in sources if s not in protected]
     touched = F.coalesce(F.col("source_id").isin(live), F.lit(False))
@@ -65,16 +65,13 @@ def durable_upsert(stored: DataFrame, batch: DataFrame, sources: Sequence[str],
     for c in columns:
         if c not in b.columns:
             b = b.withColumn(c, F.lit(None).cast(stored.schema[c].dataType))
-    if guard_empty:
-        seen = batch.where(touched).select("source_id", F.lit(True).alias("_seen")).distinct()
-    else:
-        seen = stored.sparkSession.createDataFrame([(s, True) for s in live], "source_id string, _seen boolean")
+    # names out of ``sources`` only, so at most as many as the caller has listed
+    seen = [r[0] for r in batch.where(touched).select("source_id").distinct().collect()] if guard_empty else live
     bypass = stored.where(~touched)
     s = stored.where(touched).select(*[F.col(c).alias(f"s_{c}") for c in columns])
     n = b.select(*[F.col(c).alias(f"n_{c}") for c in columns])
     j = s.join(n, F.col("s_row_key") == F.col("n_row_key"), "full_outer")
-    j = j.join(seen.withColumnRenamed("source_id", "_src"),
-               F.coalesce("s_source_id", "n_source_id") == F.col("_src"), "left")
+    scraped = F.coalesce(F.coalesce("s_source_id", "n_source_id").isin(seen), F.lit(False))
     present, known = F.col("n_row_key").isNotNull(), F.col("s_row_key").isNotNull()
     out = []
     for c in columns:
@@ -85,7 +82,7 @@ def durable_upsert(stored: DataFrame, batch: DataFrame, sources: Sequence[str],
             v = F.when(known, old).otherwise(new if c != "created_at" else F.coalesce(new, F.lit(now)))
         elif c == "absent_since":
             stamp = F.lit(now).cast(stored.schema[c].dataType)
-            v = F.when(present, F.lit(None)).when(F.col("_seen"), F.coalesce(old, stamp)).otherwise(old)
+            v = F.when(present, F.lit(None)).when(scraped, F.coalesce(old, stamp)).otherwise(old)
         elif c == "updated_at":
             v = F.when(present, F.lit(now)).otherwise(old)
         elif c == "status":

@@ -16,6 +16,13 @@ PHRASES = ("the", "of the", "que", "den", "gear", "ring", "bolt")
 ALIASES = {"small ring set": ("hot gear", "red bolt")}
 
 
+@query("fn1_entities", f"WITH {I.LISTINGS} SELECT id, trim({I.sql_norm('title')} || ' cafe lA 5 fin ij') AS norm FROM listings")
+def fn1_entities(spark, d):
+    """Titles between an age prefix and references, named, numeric and out of the C1 range, and compatibility forms."""
+    dressed = F.concat(F.lit("Int.—12 ans "), "title", F.lit(" caf&eacute; l&#146;&#x00000041; &#150;5 ﬁn&#133; ĳ"))
+    return I.listings(spark, d).select("id", X.normalize_title(dressed).alias("norm"))
+
+
 @query("fn1_normalize_title", f"WITH {I.LISTINGS} SELECT id, {I.sql_norm('title')} AS norm FROM listings")
 def fn1(spark, d):
     return I.listings(spark, d).select("id", X.normalize_title(F.col("title")).alias("norm"))
@@ -33,14 +40,14 @@ SELECT id, plain, CASE WHEN plain = '' THEN 'unnamed' ELSE plain END || '-' || s
 def fn2(spark, d):
     t, s = F.col("title"), F.col("start_date")
     return I.listings(spark, d).select("id", X.slug(t).alias("plain"), X.slug(t, "dated", s).alias("dated"),
-                                       X.slug(t, "page", s).alias("page"), X.slug(t, "apostrophe").alias("apostrophe"),
-                                       X.slug(t, "date_first", s).alias("date_first"))
+                                       X.slug(t, "page", s, (60, 80)).alias("page"), X.slug(t, "apostrophe").alias("apostrophe"),
+                                       X.slug(t, "date_first", s, (40,)).alias("date_first"))
 
 
 @query("fn3_short_key", f"""WITH {I.LISTINGS} SELECT id,
   left(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 50) || '|' || left(start_date, 10) AS short_key FROM listings""")
 def fn3(spark, d):
-    return I.listings(spark, d).select("id", X.short_key(F.col("title"), F.col("start_date")).alias("short_key"))
+    return I.listings(spark, d).select("id", X.short_key(F.col("title"), F.col("start_date"), 50).alias("short_key"))
 
 
 @query("fn4_row_key", f"""WITH {I.SNAPSHOTS} SELECT position, source_id || '|' || {I.sql_norm('title')} || '|' || start_date
@@ -242,7 +249,7 @@ def fn15(spark, d):
     addr = (F.when(k % 3 == 0, F.concat(F.lit("Salle "), n.cast("string"), F.lit(", "), (n + 1).cast("string"), F.lit(" rue des Arts, 74001 Rivertown")))
             .when(k % 3 == 1, "22, Cours Bar 74002 Les Bois").otherwise("12 rue Seule"))
     return table(spark, d, "customer").select(
-        k.alias("id"), C.venue_from_address(addr, {"22, cours bar": "Grand Vox"}).alias("venue"),
+        k.alias("id"), C.venue_from_address(addr, {"22, cours bar": "Grand Vox"}, 60).alias("venue"),
         C.postal_line(addr, "none").alias("postal"), C.before_postcode(addr).alias("before"))
 
 
@@ -296,7 +303,7 @@ SELECT id, array_to_string(list_concat(['# Heading'], l), chr(10) || chr(10)) AS
 def fn19_description(spark, d):
     page = F.concat(F.lit("---\ntitle: x\n---\n# Heading \n"), F.col("text"), F.lit("\n74001 Les Bois"))
     body = X.clean_description(page)
-    flat = F.array_join(F.slice(F.split(body, "\n\n"), 2, 1000000), " ")
+    flat = F.array_join(F.slice(F.split(body, "\n\n"), 2, F.size(F.split(body, "\n\n"))), " ")
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), body.alias("body"), X.first_heading(page).alias("heading"),
                                                X.cap_at_sentence(flat, 600).alias("capped"))
 

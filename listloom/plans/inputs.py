@@ -118,7 +118,7 @@ def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.lit("published").alias("status"), F.round(F.col("c_acctbal"), 2).alias("confidence"),
         F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-01").alias("updated_at"))
     old = base.where(k % 4 != 0)
-    new = base.where(k % 5 != 0).withColumns({
+    new = base.where(k % 4 != 1).withColumns({
         "description": F.concat("description", F.lit(" v2")), "title_en": F.when(F.col("position") % 7 == 0, F.lit("")),
         "created_at": F.lit("2024-02-01"), "confidence": F.round(F.col("confidence") + 1, 2)})
     return old, new
@@ -133,7 +133,7 @@ SNAPSHOTS = """base AS (
 old AS (SELECT * FROM base WHERE position % 4 <> 0),
 new AS (SELECT position, id, source_id, title, start_date, venue_name, description || ' v2' AS description,
     CASE WHEN position % 7 = 0 THEN '' END AS title_en, status, round(confidence + 1, 2) AS confidence,
-    '2024-02-01' AS created_at, updated_at FROM base WHERE position % 5 <> 0)"""
+    '2024-02-01' AS created_at, updated_at FROM base WHERE position % 4 <> 1)"""
 
 
 def queue(spark: SparkSession, d: str) -> DataFrame:

@@ -117,7 +117,7 @@ _unesc = "trim(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;',
 
 
 @query("src6_html_nested", f"""SELECT page_id, {_unesc.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title,
-  {_unesc.format("left(regexp_extract(html, '<div class=.ad.>(.*?)</div>', 1, 's'), 9999)")} AS venue_name,
+  {_unesc.format("regexp_extract(html, '<div class=.ad.>(.*?)</div>', 1, 's')")} AS venue_name,
   regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS link FROM pages""")
 def src6_nested(spark, d):
     fields = {"title": html.Field((html.Pick("h3"), html.Pick("h1"))), "venue_name": html.Field((html.Pick(cls="event-venue"), html.Pick(cls="ad"))),
@@ -152,7 +152,7 @@ def src7(spark, d):
 
 
 @query("src8_sections", """WITH l AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS a FROM documents)
-SELECT id, r::INT AS record, CASE r WHEN 0 THEN left(list_filter(a, lambda s: length(s) > 3)[1], 150) ELSE 'Second night' END AS title,
+SELECT id, r::INT AS record, CASE r WHEN 0 THEN list_filter(a, lambda s: length(s) > 3)[1] ELSE 'Second night' END AS title,
   CASE r WHEN 0 THEN 'Event by Host ' || id ELSE '' END AS description,
   CASE r WHEN 0 THEN '2024-03-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') ELSE '2024-12-05' END AS start_date, CASE r WHEN 0 THEN '20:00' ELSE '09:30' END AS time
 FROM l, (SELECT unnest([0, 1]) AS r) WHERE NOT (r = 0 AND list_filter(a, lambda s: length(s) > 3)[1] IS NULL)""")
@@ -166,7 +166,7 @@ def src8(spark, d):
 
 @query("src9_posts", """WITH l AS (SELECT doc_id AS id, text || chr(10) || 'le ' || (doc_id % 28 + 1) || ' juillet 2024' AS t FROM documents),
 a AS (SELECT id, t, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS w FROM l)
-SELECT id, left(CASE WHEN length(w[1]) < 3 THEN w[2] ELSE w[1] END, 150) AS title, left(t, 2000) AS description,
+SELECT id, CASE WHEN length(w[1]) < 3 THEN w[2] ELSE w[1] END AS title, t AS description,
   (id % 28 + 1) || ' juillet 2024' AS event_date, 'http://i/' || id AS image_url, '' AS source_url FROM a WHERE len(w) >= 2""")
 def src9(spark, d):
     i = F.col("doc_id")

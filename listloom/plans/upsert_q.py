@@ -106,16 +106,16 @@ def ups6_counts(spark, d):
     return _merge(spark, d)[1]
 
 
-@query("rev1_review_insert", f"""WITH {I.LISTINGS}, c AS (SELECT *, left(sha1(source_id || '|e' || (id % 40) || '|' || left(title, 200) || '|' || start_date || '|low'), 16) AS rid FROM listings),
-q AS (SELECT rid, min(id) AS k FROM c WHERE id % 3 = 0 GROUP BY rid), n AS (SELECT rid, arg_max(coalesce(confidence, 0), id) AS conf FROM c WHERE id % 3 <> 1 GROUP BY rid)
+@query("rev1_review_insert", f"""WITH {I.LISTINGS}, c AS (SELECT *, left(sha1(source_id || '|e' || (id % 40) || '|' || title || '|' || start_date || '|low'), 16) AS rid FROM listings),
+q AS (SELECT rid, min(id) AS k FROM c WHERE id % 3 <> 1 GROUP BY rid), n AS (SELECT rid, arg_max(coalesce(confidence, 0), id) AS conf FROM c WHERE id % 3 <> 0 GROUP BY rid)
 SELECT coalesce(q.rid, n.rid) AS id, CASE WHEN q.rid IS NULL OR k % 2 = 0 THEN 'open' ELSE 'approved' END AS status,
   CASE WHEN n.rid IS NOT NULL AND (q.rid IS NULL OR k % 2 = 0) THEN n.conf ELSE 0.1 END::DOUBLE AS confidence, CASE WHEN q.rid IS NULL THEN '{NOW}' ELSE 'before' END AS created_at
 FROM q FULL JOIN n ON q.rid = n.rid""")
 def rev1(spark, d):
     e = I.listings(spark, d).withColumns({"event_id": F.concat(F.lit("e"), (F.col("id") % 40).cast("string")), "reason": F.lit("low"), "position": F.col("id")})
-    rows = R.queue_rows(e.where("id % 3 <> 1"), NOW)
+    rows = R.queue_rows(e.where("id % 3 <> 0"), NOW)
     rid = R.review_id(F.col("source_id"), F.col("event_id"), F.col("title"), F.col("start_date"), F.col("reason"))
-    old = e.where("id % 3 = 0").groupBy(rid.alias("id")).agg(F.min("position").alias("k"))
+    old = e.where("id % 3 <> 1").groupBy(rid.alias("id")).agg(F.min("position").alias("k"))
     none = F.lit(None).cast("string")
     queue = old.select("id", F.lit("e").alias("event_id"), F.lit("s").alias("source_id"), F.lit("low").alias("reason"), F.lit("{}").alias("event_snapshot"), F.lit(0.1).alias("confidence"),
                        F.when(F.col("k") % 2 == 0, "open").otherwise("approved").alias("status"), none.alias("notes"), none.alias("reviewed_by"), none.alias("reviewed_at"), F.lit("before").alias("created_at"))

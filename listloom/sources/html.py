@@ -140,16 +140,16 @@ def extract_fields(pages: DataFrame, fields: Mapping[str, Field], html: str = "h
     return pages.select(*keep, html).mapInPandas(run, schema)
 
 
-# Length caps of venue, address and price blocks.
+# Texts are whole; a Field's cap shortens one.
 DETAIL_FIELDS: dict[str, Field] = {
     "title": Field((Pick("h1"), Pick("h2"))),
     "description": Field((Pick(cls="description"), Pick(cls="field--name-body"), Pick("article")), None, " "),
     "image_url": Field((Pick("meta", attr=("property", "og:image"), take="content"),
                         Pick("meta", attr=("name", "twitter:image"), take="content"),
                         Pick("img", inside="picture", take="src"))),
-    "venue_name": Field((Pick(cls="event-venue"), Pick(cls="lieu"), Pick(cls="location")), 100),
-    "address": Field((Pick(cls="event-address"), Pick(cls="adresse")), 200),
-    "price": Field((Pick(cls="tarifs"), Pick(cls="price")), 200),
+    "venue_name": Field((Pick(cls="event-venue"), Pick(cls="lieu"), Pick(cls="location"))),
+    "address": Field((Pick(cls="event-address"), Pick(cls="adresse"))),
+    "price": Field((Pick(cls="tarifs"), Pick(cls="price"))),
     "date_text": Field((Pick(cls="event-datetimes"), Pick(cls="event-dates"),
                         Pick(attr=("itemprop", "startDate"), take="content"))),
     "website": Field((Pick("a", inside="event-website", take="href"),)),
@@ -181,7 +181,7 @@ def event_record(html: Column) -> Column:
     return F.get(F.filter(found, lambda e: (e["@type"] == "Event") & has_value(e["name"])), F.lit(0))
 
 
-def structured_events(pages: DataFrame, html: str = "html", url: str = "url", text_cap: int = 800,
+def structured_events(pages: DataFrame, html: str = "html", url: str = "url", text_cap: int | None = None,
                       skip_venues: Sequence[str] = ()) -> DataFrame:
     """Title, dates, text, place, image and price of each page's event; heading and URL date otherwise."""
     p = pages.withColumn("_e", event_record(F.col(html)))
@@ -200,7 +200,7 @@ def structured_events(pages: DataFrame, html: str = "html", url: str = "url", te
         "start_date": F.when(has, F.substring(j("startDate"), 1, 10))
         .when(bare.isNotNull(), F.coalesce(url_date(F.col(url)), F.lit(""))),
         "end_date": F.substring(j("endDate"), 1, 10),
-        "description": F.substring(squeeze(j("description")), 1, text_cap),
+        "description": squeeze(j("description")) if text_cap is None else F.substring(squeeze(j("description")), 1, text_cap),
         "venue_name": F.when(~F.lower(venue).isin(list(skip_venues)) if skip_venues else F.lit(True), venue),
         "address": address,
         "image_url": image,

@@ -11,9 +11,8 @@ from pyspark.sql.window import Window
 from listloom.functions.dates import MONTHS_SHORT, month_number
 from listloom.functions.text import strip
 
-# How a dated line of a section looks, and the length caps of titles and post texts.
+# How a dated line of a section looks.
 DATED_LINE = r"^[\p{L}\p{N}_]{3},\s*(\d{1,2})\s*([\p{L}\p{N}_]{3})\s*at\s*(\d{2}:\d{2})\s*(UTC|UTC[+-]\d+)"
-TITLE_CAP, POST_CAP = 150, 2000
 POST_DATES = (
     r"(?iu)\d{1,2}\s*(?:juin|juillet|ao[uû]t|septembre|octobre|novembre|d[eé]cembre|janvier|f[eé]vrier|mars|avril|mai)\s*(?:\d{4})?",
     r"\d{1,2}/\d{1,2}/\d{4}",
@@ -30,7 +29,7 @@ def _places(lines: Column, test) -> Column:
 
 
 def section_records(docs: DataFrame, text: str, year: int, begin: str = "upcoming", finish: str = "past",
-                    owner: str = "Event by", dated: str = DATED_LINE) -> DataFrame:
+                    owner: str = "Event by", dated: str = DATED_LINE, title_cap: int | None = None) -> DataFrame:
     """Records between two marker lines: a dated line opens one, the next longer line is its title.
 
     Works inside the row with array functions: no shuffle, and a long document is one value anyway.
@@ -54,19 +53,23 @@ def section_records(docs: DataFrame, text: str, year: int, begin: str = "upcomin
     g = lambda i: F.regexp_extract("_r.head", dated, i)
     month = F.coalesce(month_number(g(2), MONTHS_SHORT), F.lit(1))
     return r.where(at.isNotNull()).select(
-        *docs.columns, "record", F.substring(F.get(body, at), 1, TITLE_CAP).alias("title"),
+        *docs.columns, "record", _capped(F.get(body, at), title_cap).alias("title"),
         F.coalesce(F.get(credits, F.size(credits) - 1), F.lit("")).alias("description"),
         F.format_string("%04d-%02d-%02d", F.lit(year), month, g(1).try_cast("int")).alias("start_date"),
         g(3).alias("time"))
 
 
-def post_records(posts: DataFrame, text: str, patterns: Sequence[str] = POST_DATES) -> DataFrame:
+def _capped(text: Column, cap: int | None) -> Column:
+    return text if cap is None else F.substring(text, 1, cap)
+
+
+def post_records(posts: DataFrame, text: str, patterns: Sequence[str] = POST_DATES, title_cap: int | None = None, text_cap: int | None = None) -> DataFrame:
     """One record per post of two lines or more: title, text, first date found, first image and link."""
     p = posts.withColumn("_l", lines_of(F.col(text))).where(F.size("_l") >= 2)
     first = F.get("_l", F.lit(0))
     title = F.when(F.length(first) < 3, F.get("_l", F.lit(1))).otherwise(first)
     hits = [F.nullif(F.regexp_extract(F.col(text), x, 0), F.lit("")) for x in patterns]
-    out = {"title": F.substring(title, 1, TITLE_CAP), "description": F.substring(F.col(text), 1, POST_CAP),
+    out = {"title": _capped(title, title_cap), "description": _capped(F.col(text), text_cap),
            "event_date": F.coalesce(*hits, F.lit(""))}
     for name, source in (("image_url", "images"), ("source_url", "links")):
         out[name] = F.coalesce(F.get(source, F.lit(0)), F.lit("")) if source in posts.columns else F.lit("")

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from listloom.functions import text as X
 from listloom.operators import coverage as V
 from listloom.operators import joins as J
 from listloom.operators import project as P
@@ -160,13 +161,35 @@ def test_timetable_page(spark):
         "Tail": ("", {"2026-07-07": ["09:15"]}, "2026-07-07", "2026-07-07")}
 
 
+def test_retention_never_names_a_current_version(spark):
+    rows = [("site", f"p{p}", v, f"2024-01-{v:02d}") for p in range(50) for v in range(1, 1 + p % 4 + 1)] + [("other", "p1", 1, "2020-01-01")]
+    entries = spark.createDataFrame(rows, "name string, part string, version long, built_at string")
+    newest = {}
+    for name, part, version, _ in rows:
+        newest[name, part] = max(version, newest.get((name, part), 0))
+    for keep in (0, 1, 2, 30):
+        gone = {(r["name"], r["part"], r["version"]) for r in store.expired_versions(entries, keep).collect()}
+        assert gone == {(n, p, v) for n, p, v, _ in rows if v <= newest[n, p] - max(1, keep)}
+
+
+def test_queue_honours_its_limit(spark):
+    queue = spark.range(1500).select(F.col("id").cast("string").alias("id"), F.lit("open").alias("status"), F.lit("s").alias("source_id"), F.lit(0.5).alias("confidence"), F.lit("2024").alias("created_at"))
+    assert [R.list_queue(queue, limit=n).count() for n in (0, 1200, None)] == [0, 1200, 1500]
+
+
+def test_long_titles_stay_apart(spark):
+    head = "Festival of the very long name that goes on and on for more than fifty letters"
+    key = lambda t: spark.range(1).select(X.short_key(F.lit(t), F.lit("2024-01-01"))).first()[0]
+    assert key(head + " first night") != key(head + " second night")
+
+
 def test_html_fields_and_fallbacks(spark):
     page = ("<html><head><meta property='og:image' content='http://i/1.png'></head><body><h2>Second</h2><div class='x event-venue'><b>Grand</b> <i>Hall</i><script>no</script></div>"
             "<div class='event-website'><p><a href='http://w'>w</a></p></div><div class='price'>" + "9" * 300 + "</div></body></html>")
     df = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
     got = {r["id"]: r for r in html.extract_fields(df, html.DETAIL_FIELDS).collect()}
     r = got[1]
-    assert (r["title"], r["image_url"], r["venue_name"], r["website"], len(r["price"])) == ("Second", "http://i/1.png", "GrandHall", "http://w", 200)
+    assert (r["title"], r["image_url"], r["venue_name"], r["website"], len(r["price"])) == ("Second", "http://i/1.png", "GrandHall", "http://w", 300)
     assert got[2]["title"] is None
 
 
