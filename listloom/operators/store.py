@@ -22,7 +22,7 @@ def _manifest_path(root: str) -> str:
     return f"{root.rstrip('/')}/manifest"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -30,7 +30,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     path = _manifest_path(root)
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
     return spark.read.schema(MANIFEST).json(path)
 

@@ -9,6 +9,7 @@ from listloom.functions import dates as D
 from listloom.functions import scoring as S
 from listloom.functions import text as X
 from listloom.functions.showtimes import stamps_to_films, version_label
+from listloom.operators.recurring import curated_rows
 from listloom.plans import inputs as I
 from listloom.plans.registry import query, table
 
@@ -352,6 +353,19 @@ def fn22(spark, d):
     return s.select("id", "kind", F.explode(days).alias("day")).withColumn("day", I.day("day"))
 
 
+@query("fn22_curated_rows", """WITH e AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'Hall ' || (o_custkey % 20) END AS venue, CASE o_orderkey % 3 WHEN 0 THEN 'daily' END AS kind FROM orders),
+g AS (SELECT unnest([0, 3, 6, 7, 9, 12]) AS i)
+SELECT id, strftime(DATE '1998-06-15' + i::INT, '%Y-%m-%d') AS start_date, 'curated' AS source_id, 'Town' AS commune, round(0.8 * 1.0 * 4 / 7, 3) AS confidence FROM e, g
+WHERE id % 5 > 1 AND ((kind = 'daily' AND i <> 7) OR (kind IS NULL AND i IN (0, 7)))""")
+def fn22_curated(spark, d):
+    """Recurring entries: no rows without a venue, weekly without a schedule, scored."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    entries = table(spark, d, "orders").select(
+        k.alias("id"), F.concat(F.lit("Night "), k).alias("title"), F.when(k % 5 == 1, " ").when(k % 5 > 1, F.concat(F.lit("Hall "), F.col("o_custkey") % 20)).alias("venue_name"),
+        F.when(k % 3 == 0, "daily").alias("schedule"), none.alias("start_date"), none.alias("end_date"), none.alias("time"), none.alias("commune"), F.lit("text").alias("description"), F.lit("http://x").alias("source_url"))
+    return curated_rows(entries, F.lit("1998-06-15").cast("date"), F.lit(0.8), commune="Town").select("id", "start_date", "source_id", "commune", "confidence")
+
+
 @query("fn23_tags", """SELECT event_id AS id, CASE WHEN strftime(ts, '%Y-%m-%d') <> '2024-01-10' THEN 'later'
     WHEN hour(ts) * 60 + minute(ts) < 720 THEN 'past' WHEN abs(hour(ts) * 60 + minute(ts) - 720) <= 60 THEN 'now' ELSE 'later' END AS state,
   (1950 + event_id % 70)::INT AS year, CASE WHEN event_id % 2 = 0 THEN '+33 4 50 ' || (10 + event_id % 90) END AS phone,

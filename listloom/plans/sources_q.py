@@ -8,6 +8,7 @@ from listloom.functions.scoring import with_confidence
 from listloom.operators import project as P
 from listloom.operators.dedup import keep_first
 from listloom.operators.gate import publish_gate
+from listloom.operators.store import read_current
 from listloom.operators.upsert import durable_upsert
 from listloom.plans import inputs as I
 from listloom.plans.registry import query, table
@@ -51,6 +52,29 @@ def src3(spark, d):
     return files.read_json_arrays(spark, f"{path}/chunk=*", "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
 
 
+@query("src3_once_only", """SELECT 'customer' AS name, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer WHERE c_custkey // 100 % 2 = 0
+UNION ALL SELECT 'nation', count(*), sum(n_nationkey)::BIGINT FROM nation UNION ALL SELECT 'missing', 0, NULL""")
+def src3_once(spark, d):
+    """Array files become tables once: a second load, of other files, changes nothing."""
+    root, path = fresh_path(spark, "once"), fresh_path(spark, "arrays")
+    k = F.col("c_custkey")
+
+    def arrays(df, key, size, name):
+        many = df.select(F.col(key).alias("key")).groupBy(F.floor(F.col("key") / size).alias("chunk")).agg(F.to_json(F.collect_list(F.struct("key"))).alias("value"))
+        many.select("value").write.text(f"{path}/{name}")
+        return f"{path}/{name}", "key long"
+
+    customers = table(spark, d, "customer")
+    first = {"customer": arrays(customers.where(F.floor(k / 100) % 2 == 0), "c_custkey", 100, "first"), "nation": arrays(table(spark, d, "nation"), "n_nationkey", 10, "nation"), "missing": (f"{path}/none", "key long")}
+    again = {"customer": arrays(customers.where(F.floor(k / 100) % 2 == 1), "c_custkey", 100, "again"), "nation": first["nation"], "missing": first["nation"]}
+    assert [files.load_once(spark, root, a) for a in (first, again)] == [True, False]
+    out = None
+    for name in first:
+        rows = read_current(spark, root, name, schema="key long").agg(F.count("*").alias("n"), F.sum("key").alias("keys")).select(F.lit(name).alias("name"), "n", "keys")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query("src4_json_lines", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE event_id % 9 NOT IN (1, 2)")
 def src4(spark, d):
     i = F.col("event_id")

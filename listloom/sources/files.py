@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listloom.functions.text import squeeze, strip, unescape
+from listloom.operators.store import manifest, path_exists, publish
 
 # The positional columns and the confidence of hand-kept lists.
 CSV_COLUMNS = ("title", "start_date", "end_date", "time", "category", "venue_name", "commune", "description", "source_url")
@@ -39,6 +42,21 @@ def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType | str)
     return raw.select(F.inline(items))
 
 
+def load_once(spark: SparkSession, root: str, arrays: Mapping[str, tuple[str, str]], marker: str = "first_load") -> bool:
+    """Publish JSON-array files as tables, name to (path, schema), the first time only; says whether it did.
+
+    A file that is missing, unreadable or no array gives an empty table. The marker is written last, also
+    when nothing was found, so a load that broke off is taken up again and a finished one never repeats.
+    """
+    if not manifest(spark, root).where(F.col("name") == marker).isEmpty():
+        return False
+    for name, (path, schema) in arrays.items():
+        rows = read_json_arrays(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)
+        publish(rows, root, name, version=0)
+    publish(spark.createDataFrame([(name,) for name in arrays], "name string"), root, marker, version=0)
+    return True
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object per line; blank and bad lines are skipped."""
     return parse_json_lines(spark.read.text(path), F.col("value"), schema).select("record.*")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from listloom.operators.gate import apply_quota, validate_submission
-from listloom.operators.store import _exists, publish_parts, read_current
+from listloom.operators.review import queue_rows
+from listloom.operators.store import path_exists, publish_parts, read_current
 from listloom.operators.upsert import durable_upsert
+from listloom.session import checkpointed
 
 OPEN_CONFIDENCE = 0.55
 SUBMISSION = ("id long, title string, start_date string, category string, description string, time string, "
@@ -30,15 +32,41 @@ def judge(batch: DataFrame, open_counts: DataFrame, limit: int = 3) -> DataFrame
 
 
 def open_per_date(spark: SparkSession, root: str, before: int) -> DataFrame:
-    """Accepted submissions per date in the batches written before a batch.
+    """Submissions per date that a batch finds open: accepted in earlier batches, and not decided since.
 
-    Each batch leaves its accepted counts behind, so the queue itself is not read again.
+    Each batch leaves its accepted counts behind, and each decision takes from them, so the queue itself
+    is not read again.
     """
-    path = f"{root}/counts"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "start_date string, n_open long")
-    c = spark.read.schema("start_date string, n_open long, batch long").parquet(path)
-    return c.where(F.col("batch") < before).groupBy("start_date").agg(F.sum("n_open").alias("n_open"))
+    shape = "start_date string, n_open long, batch long"
+    found = spark.createDataFrame([], shape)
+    for part, last in (("counts", before - 1), ("decided", before)):
+        if path_exists(spark, f"{root}/{part}"):
+            found = found.unionByName(spark.read.schema(shape).parquet(f"{root}/{part}").where(F.col("batch") <= last))
+    return found.groupBy("start_date").agg(F.sum("n_open").alias("n_open"))
+
+
+def decide(spark: SparkSession, root: str, decided: DataFrame) -> None:
+    """Free the quota of decided submissions (``id``); an id that was decided before changes nothing.
+
+    Decisions count from the next batch on: they are kept under its number, so a replay finds the same.
+    """
+    done, shape = f"{root}/decisions", "id long"
+    ids = decided.select(F.col("id").cast("long").alias("id")).distinct()
+    if path_exists(spark, done):
+        ids = ids.join(spark.read.schema(shape).parquet(done), "id", "left_anti")
+    out = outcomes(spark, root)
+    number = (out.agg(F.max("batch")).first()[0] or 0) + 1
+    freed = checkpointed(out.where("accepted").join(ids, "id").select("id", "start_date"))
+    freed.select("id").write.mode("append").parquet(done)
+    (freed.groupBy("start_date").agg((-F.count("*")).alias("n_open")).withColumn("batch", F.lit(number))
+     .write.mode("append").partitionBy("batch").parquet(f"{root}/decided"))
+
+
+def review_cases(spark: SparkSession, root: str, now: str) -> DataFrame:
+    """Accepted submissions as open rows of the review queue, for ``review.insert_review``."""
+    rows = outcomes(spark, root).where("accepted").withColumns({
+        "event_id": F.concat(F.lit("submission-"), "id"), "source_id": F.lit("manual_submission"), "reason": F.lit("submission")})
+    return queue_rows(rows, now, "id")
 
 
 def start_intake(spark: SparkSession, source: str, root: str, limit: int = 3, files_per_batch: int = 1,
