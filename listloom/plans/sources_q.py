@@ -61,7 +61,7 @@ def src3_once(spark, d):
 
     def arrays(df, key, size, name):
         many = df.select(F.col(key).alias("key")).groupBy(F.floor(F.col("key") / size).alias("chunk")).agg(F.to_json(F.collect_list(F.struct("key"))).alias("value"))
-        many.select("value").write.text(f"{path}/{name}")
+        many.repartition("chunk").write.partitionBy("chunk").text(f"{path}/{name}")  # one array a file
         return f"{path}/{name}", "key long"
 
     customers = table(spark, d, "customer")
