@@ -83,7 +83,8 @@ def test_nearest_is_exact_in_one_partition(spark):
 def test_recall_of_routed_search():
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(60, 1, 32)) + 0.6 * rng.normal(size=(60, 150, 32))).reshape(-1, 32)
-    index = Index(x[rng.random(len(x)) < 0.4], 8, 20)
+    drawn = np.flatnonzero(rng.random(len(x)) < 0.4)
+    index = Index(x[drawn], drawn, 8, 20)
     home = index.home(x)
     sizes = np.bincount(home, minlength=index.parts)
     some = np.arange(0, len(x), 45)
@@ -91,6 +92,9 @@ def test_recall_of_routed_search():
     probed = index.probed(x[some], sizes, 21)
     assert index.probes < index.parts
     assert np.mean([np.isin(home[t], p).mean() for t, p in zip(true, probed)]) >= 0.9
+    for q, own, p, floor in zip(x[some], some, probed, index.floor(x[some], some, probed)):
+        scores = np.sort((x @ q)[np.isin(home, p) & (np.arange(len(x)) != own)])
+        assert floor <= scores[-20]
 
 
 def test_gradients():
