@@ -113,7 +113,8 @@ class Router:
 class Index:
     """What was learned: the router, and how many partitions a query must probe for TARGET of its neighbours."""
 
-    def __init__(self, sample: np.ndarray, parts: int, k: int):
+    def __init__(self, sample: np.ndarray, names: np.ndarray, parts: int, k: int):
+        self.sample, self.names, self.k = sample, names, k
         self.parts = parts = max(1, min(parts, len(sample) // 32))
         self.router, self.probes = None, 1
         if parts > 1:
@@ -127,6 +128,23 @@ class Index:
             needed = np.take_along_axis(place, home[true], axis=1).ravel()
             self.probes = int(np.searchsorted(np.cumsum(np.bincount(needed, minlength=parts)) / len(needed), TARGET)) + 1
 
+    def floor(self, x: np.ndarray, own: np.ndarray, probed: list[np.ndarray]) -> np.ndarray:
+        """A score that a query's k nearest in its partitions cannot fall below: what the sample alone reaches there."""
+        out = np.full(len(x), -np.inf)
+        if len(self.sample) <= self.k:
+            return out
+        where = self.home(self.sample)
+        for i in range(0, len(x), 256):
+            s = x[i:i + 256] @ self.sample.T
+            for j, row in enumerate(s):
+                seen = np.zeros(self.parts, bool)
+                seen[probed[i + j]] = True
+                row = row[seen[where] & (self.names != own[i + j])]
+                if len(row) >= self.k:
+                    best = np.partition(row, -self.k)[-self.k]
+                    out[i + j] = best - 1e-9 * max(1.0, abs(best))
+        return out
+
     def home(self, x: np.ndarray) -> np.ndarray:
         return self.router(x).argmax(1) if self.router else np.zeros(len(x), np.int64)
 
@@ -151,9 +169,9 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_in(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows, equal scores by id; ``rough`` holds scores up to rounding."""
-    other = ids != own
+def nearest_in(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, rough: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best rows not below ``floor``, equal scores by id; ``rough`` holds scores up to rounding."""
+    other = (ids != own) & (rough >= floor)
     if other.sum() > k:
         least = np.partition(rough[other], -k)[-k]
         other &= rough >= least - 1e-9 * max(1.0, abs(least))
@@ -190,8 +208,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec
     rows = usable(vectors, vec_id, embedding)
     total = rows.count()
     sample = rows if total <= SAMPLE else rows.sample(fraction=SAMPLE / total, seed=5)
-    x = np.array([r[0] for r in sample.orderBy("vec_id").select("v").limit(2 * SAMPLE).collect()])
-    index = spark.sparkContext.broadcast(Index(x, min(PARTITIONS, -(-total // ROWS)), k) if len(x) else Index(np.zeros((0, 1)), 1, k))
+    drawn = sample.orderBy("vec_id").limit(2 * SAMPLE).collect()
+    x = np.array([r["v"] for r in drawn]) if drawn else np.zeros((0, 1))
+    names = np.array([r["vec_id"] for r in drawn], np.int64)
+    index = spark.sparkContext.broadcast(Index(x, names, min(PARTITIONS, -(-total // ROWS)), k))
 
     def placed(parts):
         for part in parts:
@@ -207,15 +227,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec
 
     def routed(parts):
         for part in parts:
-            ids, probed = part.column("vec_id").to_numpy(), index.value.probed(_matrix(part.column("v")), sizes, k + 1)
+            ids, q = part.column("vec_id").to_numpy(), _matrix(part.column("v"))
+            probed = index.value.probed(q, sizes, k + 1)
+            floor = index.value.floor(q, ids, probed)
             at = [(i, p, c) for i, many in enumerate(probed) for p in many for c in range(chunks[p])]
             for a in range(0, len(at), 10_000):
                 i, p, c = (np.array(z) for z in zip(*at[a:a + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(ids[i]), part.column("v").take(pa.array(i))], ["part", "chunk", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(ids[i]), part.column("v").take(pa.array(i)), pa.array(floor[i])], ["part", "chunk", "vec_id", "v", "floor"])
 
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(routed, "part int, chunk int, vec_id long, v array<double>")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(routed, "part int, chunk int, vec_id long, v array<double>, floor double")
     parts_of = F.element_at(F.array(*(F.lit(int(max(1, c))) for c in chunks)), F.col("part") + 1)
-    stock = homes.select("part", F.pmod(F.xxhash64("vec_id", "v"), parts_of).cast("int").alias("chunk"), "vec_id", "v", F.lit(False).alias("asks"))
+    stock = homes.select("part", F.pmod(F.xxhash64("vec_id", "v"), parts_of).cast("int").alias("chunk"), "vec_id", "v", F.lit(None).cast("double").alias("floor"), F.lit(False).alias("asks"))
     met = stock.union(queries.withColumn("asks", F.lit(True))).repartition("part", "chunk").sortWithinPartitions("part", "chunk", "asks")
 
     def answered(parts):
@@ -237,10 +259,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec
                     continue
                 if x is None:
                     ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                own, q = some.column("vec_id").to_numpy(), _matrix(some.column("v"))
+                own, q, floor = some.column("vec_id").to_numpy(), _matrix(some.column("v")), some.column("floor").to_numpy()
                 for i in range(0, len(q), 256):
                     rough = q[i:i + 256] @ x.T
-                    found = [nearest_in(q[i + j], own[i + j], x, ids, rough[j], k) for j in range(len(rough))]
+                    found = [nearest_in(q[i + j], own[i + j], x, ids, rough[j], k, floor[i + j]) for j in range(len(rough))]
                     n = [len(f[0]) for f in found]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[i:i + 256], n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
