@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from listloom.llm.common import small_batches, stored
+from listloom.llm.common import small_batches
 from listloom.llm.url_reputation import host_of, path_of
 
 #: HTML element names and what words in class, id or role mark.
@@ -181,7 +181,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 pa.array(["".join("1" if c else "0" for c, _ in f) for f in found], pa.string()), pa.array(["\n\n".join(line for _, line in f) for f in found], pa.string()),
                 pa.array([np.array([xxh64_intdigest(line) for _, line in f], "<u8").tobytes() for f in found], pa.binary())], schema=cut)
 
-    lines = stored(rows.mapInArrow(parsed, from_arrow_schema(cut)), "page-lines")
+    # parsed twice, for the ends of shards and for the pages themselves, which is cheaper than a stored copy of all texts
+    lines = rows.mapInArrow(parsed, from_arrow_schema(cut))
     row = F.struct("host", "path", "page_id", "hashes")
     # one row for each shard: what its neighbours need to know of its first and its last page
     ends = sorted(lines.groupBy("shard").agg(F.min(row), F.max(row)).collect())
