@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -141,7 +143,12 @@ class Network:
         self._m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         self._t = 0
 
-    def inputs(self, words: Words, forms: np.ndarray | None = None) -> np.ndarray:
+    def frozen(self) -> Network:
+        """Without what only training needs."""
+        self._m = {}
+        return self
+
+    def inputs(self, words: Words) -> np.ndarray:
         """Embedding of every distinct form: its word slot plus the mean of its pieces."""
         out = self.p["word"][words.word_slot].copy()
         n = len(out)
@@ -357,12 +364,20 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = (labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y"))
              .withColumn("at", F.xxhash64(F.lit("sample"), F.col("doc_id"))))
     texts = docs.where(F.octet_length(text) <= limit).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = []
+    ids = None
     for y, most in ((1, toxic), (0, clean)):
-        ids = known.where(F.col("y") == y).orderBy("at", "doc_id").limit(most).select("doc_id")
-        rows += [(r["doc_id"], r["text"], y) for r in texts.join(F.broadcast(ids), "doc_id").limit(2 * most).collect()]
-    rows = sorted(set(rows), key=repr)
-    return train([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+        some = known.where(F.col("y") == y).orderBy("at", "doc_id").limit(most).select("doc_id", "y")
+        ids = some if ids is None else ids.union(some)
+    sample = texts.join(F.broadcast(ids), "doc_id").select("text", "y").repartition(1)
+
+    def fit(parts):
+        rows = sorted({(t, y) for part in parts for t, y in zip(as_bytes(part.column("text")), part.column("y").to_pylist())})
+        network = train([t for t, _ in rows], [y for _, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network.frozen())], pa.binary())], ["network"])
+
+    # the bounded sample is fitted in one task, so that the driver holds a network only
+    found = sample.mapInArrow(fit, "network binary").first()
+    return pickle.loads(found[0]) if found else train([], [])
 
 
 def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
