@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,13 @@ LONG = 256
 #: Bytes of text whose words are looked up together.
 BLOCK = 16 << 20
 #: Texts, about, in which the words are counted that go to every task; and how many such words at most.
-SAMPLE, FREQUENT = 4000, 60_000
+SAMPLE, FREQUENT = 4000, 40_000
 _NONE = 2**31 - 1
-#: A prime: pairs of ids are spread over this many small maps, as a lookup in a map takes time with its size.
-_MAPS = 131071
+#: A prime: pairs of ids are spread over this many small maps, as a lookup in a map takes time with its
+#: size; more of them would make the plan's text, which the driver keeps, longer than its data.
+_MAPS = 16381
+#: Bytes of text that travel together, compressed.
+_TOGETHER = 2 << 20
 
 
 class Ranks:
@@ -55,15 +57,14 @@ class Ranks:
 
     def pair_maps(self) -> str:
         """JSON of _MAPS maps from a pair of ids (left * size + right) to the rank of the two together."""
-        maps: list[dict[int, int] | None] = [None] * _MAPS
+        maps = [""] * _MAPS
         for piece, rank in self.rank.items():
             for i in range(1, len(piece)):
                 a, b = self.rank.get(piece[:i]), self.rank.get(piece[i:])
                 if a is not None and b is not None:
                     key = a * self.size + b
-                    at = key % _MAPS
-                    maps[at] = (maps[at] or {}) | {key: rank}
-        return json.dumps(maps, separators=(",", ":"))
+                    maps[key % _MAPS] += f'{"," * bool(maps[key % _MAPS])}"{key}":{rank}'
+        return f"[{','.join(f'{{{m}}}' for m in maps)}]"
 
     def merged(self, word: bytes) -> bytes:
         """Ids of one word as little-endian bytes, by a queue of pairs in rank order."""
@@ -88,32 +89,28 @@ class Ranks:
 
 
 def folded(word: Column, ranks: Ranks) -> Column:
-    """Ids of a word (array of int) by higher-order functions: the pair of the least rank, the leftmost of
-    several, becomes one piece, until no pair has a rank. The state is the ids and the ranks of neighbours.
+    """Ids of a word (array of int) by higher-order functions: of all neighbours the pair of the least rank,
+    the leftmost of several, becomes one piece, until no pair has a rank.
     """
     byte = F.array(*(F.lit(ranks.rank[bytes([b])]) for b in range(256)))
     ids = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.element_at(byte, F.ascii(c) + 1))
     maps = F.from_json(F.lit(ranks.pair_maps()), "array<map<string,int>>").cast("array<map<bigint,int>>")
-    empty = F.array().cast("array<int>")
 
     def merge(maps: Column, start: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
-            key = a.cast("long") * ranks.size + b
+            key = a.cast("long") * ranks.size + b  # null at the last place, which has no right neighbour
             return F.coalesce(F.try_element_at(F.element_at(maps, (key % _MAPS).cast("int") + 1), key), F.lit(_NONE))
 
-        def joined(s: Column, i: Column) -> Column:
-            p, r, new = s["p"], s["r"], F.array_min(s["r"])
-            before = F.when(i > 1, F.concat(F.slice(r, 1, i - 2), F.array(rank(F.get(p, i - 2), new)))).otherwise(empty)
-            after = F.when(i < F.size(r), F.concat(F.array(rank(new, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))).otherwise(empty)
-            return F.struct(F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(before, after).alias("r"))
+        def joined(p: Column, pairs: Column) -> Column:
+            least = F.array_min(pairs)
+            at = F.array_position(pairs, least).cast("int")
+            return F.when(least == _NONE, p).otherwise(F.concat(F.slice(p, 1, at - 1), F.array(least), F.slice(p, at + 2, F.size(p))))
 
-        def step(s: Column, _: Column) -> Column:
-            least = F.array_min(s["r"])
-            place = F.array(F.array_position(s["r"], least).cast("int"))
-            return F.when(least == _NONE, s).otherwise(F.element_at(F.transform(place, lambda i: joined(s, i)), 1))
+        def step(p: Column, _: Column) -> Column:
+            pairs = F.zip_with(p, F.slice(p, 2, F.size(p)), rank)
+            return F.element_at(F.transform(F.array(pairs), lambda r: joined(p, r)), 1)
 
-        pairs = F.transform(F.sequence(F.lit(1), F.size(start) - 1), lambda j: rank(F.get(start, j - 1), F.get(start, j)))
-        return F.aggregate(F.sequence(F.lit(2), F.size(start)), F.struct(start.alias("p"), pairs.alias("r")), step)["p"]
+        return F.aggregate(F.sequence(F.lit(2), F.size(start)), start, step)
 
     # bound once, so that the plan names the literal a single time
     many = F.element_at(F.transform(F.array(maps), lambda m: merge(m, ids)), 1)
@@ -132,6 +129,72 @@ class _Table(dict):
         return ids
 
 
+def _of_chunk(chunk: str, find: Callable[[str], list[str]]) -> list[str] | None:
+    """The words of a chunk between single spaces, with the space before it; None if white space touches that space.
+
+    A space between two characters that are not white space always starts a match of the pattern, so a
+    text can be cut there. Letters alone are one word, with a space before them or not, and marks of
+    punctuation start another.
+    """
+    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        return None
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return find(" " + chunk)
+
+
+class _Untidy(Exception):
+    """A chunk that cannot stand alone."""
+
+
+class _Chunks(dict):
+    """Ids by chunk, each distinct one taken apart once."""
+
+    def __init__(self, table: _Table, find: Callable[[str], list[str]]):
+        super().__init__()
+        self.table, self.find = table, find
+
+    def __missing__(self, chunk: str) -> bytes:
+        words = _of_chunk(chunk, self.find)
+        if words is None:
+            raise _Untidy
+        ids = self[chunk] = b"".join(map(self.table.__getitem__, words))
+        return ids
+
+    def text(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        try:
+            if rest and (not first or first[-1].isspace()):
+                raise _Untidy
+            return b"".join([*map(self.table.__getitem__, self.find(first)), *map(self.__getitem__, rest)])
+        except _Untidy:
+            return b"".join(map(self.table.__getitem__, self.find(text)))
+
+
+def _distinct(texts: list[str], find: Callable[[str], list[str]]) -> set[str]:
+    """The distinct words of some texts."""
+    words: set[str] = set()
+    chunks: set[str] = set()
+    for t in texts:
+        first, *rest = t.split(" ")
+        words.update(find(first))
+        chunks.update(rest)
+    untidy = set()
+    for chunk in chunks:
+        found = _of_chunk(chunk, find)
+        if found is None:
+            untidy.add(chunk)
+        else:
+            words.update(found)
+    for t in texts:
+        first, *rest = t.split(" ")
+        if rest and (not first or first[-1].isspace()) or untidy and not untidy.isdisjoint(rest):
+            words.update(find(t))
+    return words
+
+
 def _blocks(parts) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Batches of a partition in blocks of about BLOCK bytes, each with a number of its own."""
     number, held, size = TaskContext.get().partitionId() << 33, [], 0
@@ -168,10 +231,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
 
         find, known = regex.compile(pattern).findall, frequent.value
         for number, held in _blocks(parts):
-            words: set[str] = set()
-            for part in held:
-                for t in part.column("text").to_pylist():
-                    words.update(find(t))
+            words = _distinct([t for part in held for t in part.column("text").to_pylist()], find)
             fresh = [w for w in words if w not in known and (len(w) <= LONG // 4 or len(w.encode()) <= LONG)]
             for i in range(0, len(fresh), 50_000):
                 some = fresh[i:i + 50_000]
@@ -180,27 +240,30 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
     def packed(parts):
         for number, held in _blocks(parts):
             for part in held:
-                rows_each = max(1, int(len(part) * (1 << 20) / max(1, part.nbytes)))
+                rows_each = max(1, int(len(part) * _TOGETHER / max(1, part.nbytes)))
                 for i in range(0, len(part), rows_each):
                     sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                         out.write_batch(part.slice(i, rows_each))
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
 
     # blocks of one word in lists of those of 16384 partitions at most, so that no list grows with the input
     words = (rows.select("text").mapInArrow(rare, "block long, word string")
              .groupBy("word", F.shiftright("block", 47).alias("range")).agg(F.collect_list("block").alias("blocks")))
-    known = words.withColumn("ids", folded(F.col("word"), ranks)).select(F.explode("blocks").alias("block"), "word", "ids")
+    # two bytes an id where they are enough
+    shift, kind = (32768, "smallint") if ranks.size <= 65536 else (0, "int")
+    small = F.transform(folded(F.col("word"), ranks), lambda i: (i - shift).cast(kind))
+    known = words.withColumn("ids", small).select(F.explode("blocks").alias("block"), "word", "ids")
     whole = rows.mapInArrow(packed, "block long, texts binary")
     met = (known.withColumn("texts", F.lit(None).cast("binary"))
-           .unionByName(whole.select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "texts"))
+           .unionByName(whole.select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "texts"))
            .repartition("block").sortWithinPartitions("block", F.col("texts").isNotNull()))
     schema = to_arrow_schema(StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary"))
 
     def put_together(parts):
         import regex
 
-        find, pieces, now, table = regex.compile(pattern).findall, shared_ranks.value.pieces(), None, None
+        find, pieces, now, table, chunks = regex.compile(pattern).findall, shared_ranks.value.pieces(), None, None, None
         for part in parts:
             numbers = part.column("block").to_numpy()
             bounds = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
@@ -209,10 +272,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
                     continue
                 if numbers[a] != now:
                     now, table = numbers[a], _Table(frequent.value, shared_ranks.value)
+                    chunks = _Chunks(table, find)
                 some = part.slice(a, b - a)
                 given = some.filter(some.column("word").is_valid())
                 lists = given.column("ids")
-                values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                values = (lists.flatten().to_numpy(zero_copy_only=False).astype("<i4") + shift).astype("<u4").tobytes()
                 ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4 if len(given) else []
                 at = 0
                 for w, end in zip(given.column("word").to_pylist(), ends):
@@ -220,7 +284,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
                     at = end
                 for payload in some.column("texts").drop_null().to_pylist():
                     for batch in pa.ipc.open_stream(payload):
-                        ids = [b"".join(map(table.__getitem__, find(t))) for t in batch.column("text").to_pylist()]
+                        ids = [chunks.text(t) for t in batch.column("text").to_pylist()]
                         decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in ids]
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("doc_id").cast(schema.field("doc_id").type), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], schema=schema)
@@ -247,8 +311,8 @@ def _frequent(rows: DataFrame, ranks: Ranks, pattern: str) -> dict[str, bytes]:
     counts = (sample.mapInArrow(found, "word string").where(F.octet_length("word") <= LONG)
               .groupBy("word").count().where("count > 2").orderBy(F.desc("count"), "word").limit(FREQUENT).select("word"))
     whole = ranks.whole()
-    some = counts.withColumn("ids", folded(F.col("word"), ranks)).collect()
-    return {r["word"]: np.array(r["ids"], "<u4").tobytes() for r in some if r["word"] not in whole}
+    some = counts.withColumn("ids", folded(F.col("word"), ranks)).toArrow()
+    return {w: np.array(ids, "<u4").tobytes() for part in some.to_batches(5000) for w, ids in zip(part.column("word").to_pylist(), part.column("ids").to_pylist()) if w not in whole}
 
 
 def decode(encoded: DataFrame, rank_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
