@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,18 @@ KEPT = 600_000
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: For each control byte, the lengths of the four values it stands for.
 _LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
-_workers: dict[str, tuple] = {}
+#: What Python's split() takes for white space beyond Unicode's property.
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: The steps before the merges that make words of letters independent, and the pattern among them.
+_WORD_LEVEL = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+#: Byte-level vocabularies write bytes as visible characters: those that are visible in Latin-1 as themselves, the others from U+0100 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: b if b in _SEEN else 256 + sum(x not in _SEEN for x in range(b)) for b in range(256)}
+_workers: dict[str, _Encoder] = {}
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -54,13 +67,21 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class _Encoder:
-    """Ids of whole texts from ids of the chunks between white space, which the tokenizer never joins."""
+    """Ids of whole texts from ids of the chunks between white space, which the tokenizer never joins.
+
+    Where the tokenizer lower-cases words of letters and parts them from punctuation, chunks of plain
+    letters with a point or comma behind them are looked up by their letters: those are far fewer, and the
+    merges alone run on them.
+    """
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_str(model.decode()), {}
+        self.tokenizer, self.kept, self.words = Tokenizer.from_str(model.decode()), {}, {}
+        spec = json.loads(model)
+        self.bare = Tokenizer(self.tokenizer.model) if (spec["normalizer"], spec["pre_tokenizer"]) == _WORD_LEVEL else None
+        self.ends = {c: self._ids(self.tokenizer, [c])[0] for c in ".,"}
 
     @staticmethod
     def of(model: bytes) -> _Encoder:
@@ -70,16 +91,33 @@ class _Encoder:
             _workers[name] = _Encoder(model)
         return _workers[name]
 
+    @staticmethod
+    def _ids(tokenizer, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for i in range(0, len(chunks), 50_000) for e in tokenizer.encode_batch_fast(chunks[i:i + 50_000], add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        other, plain = [], []
+        for c in chunks:
+            stem = c[:-1] if c[-1] in ".," else c
+            # up to U+00FF, composing changes nothing and lower case goes letter by letter
+            if self.bare and stem.isalpha() and max(stem) < "\u0100":
+                plain.append((c, stem.lower()))
+            else:
+                other.append(c)
+        self.kept.update(zip(other, self._ids(self.tokenizer, other)))
+        new = list({w for _, w in plain if w not in self.words})
+        self.words.update(zip(new, self._ids(self.bare, [w if w.isascii() else w.encode().decode("latin-1").translate(_VISIBLE) for w in new])))
+        for c, w in plain:
+            self.kept[c] = self.words[w] + self.ends.get(c[-1], b"")
+
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        split = [t.split() if t.isprintable() or not re.search("[\x1c-\x1f]", t) else [c for c in _SPACE.split(t) if c] for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in kept})
-        for i in range(0, len(new), 50_000):
-            some = new[i:i + 50_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                kept[c] = np.array(e.ids, "<u4").tobytes()
+        if len(self.words) > KEPT:
+            self.words.clear()
+        split = [t.split() if not _CONTROL.search(t) else [c for c in _SPACE.split(t) if c] for t in texts]
+        self._learn(list({c for chunks in split for c in chunks if c not in kept}))
         return [b"".join(map(kept.__getitem__, chunks)) + end for chunks in split]
 
 
@@ -138,26 +176,34 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 1, d
     schema = to_arrow_schema(StructType().add("shard", "integer").add("number", "integer").add("first", "long").add("tokens", "long")
                              .add("doc_ids", ArrayType(key)).add("sizes", ArrayType(IntegerType())).add("control", "binary").add("data", "binary"))
 
+    moved = to_arrow_schema(StructType().add("doc_id", key).add("size", "integer").add("control", "binary").add("data", "binary"))
+
+    def ranked(parts):
+        for part in parts:
+            packed = [pack(shared.value[np.frombuffer(ids, "<u4")]) for ids in part.column("ids").to_pylist()]
+            size = pa.array([len(ids) // 4 for ids in part.column("ids").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], schema=moved)
+
     def segments(parts):
         shard, number, first, keys, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def segment():
-            control, data = pack(shared.value[np.frombuffer(b"".join(held), "<u4")])
-            row = [[shard], [number], [first], [size], [keys], [[len(h) // 4 for h in held]], [control], [data]]
+            control, data = pack(np.concatenate(held))
+            row = [[shard], [number], [first], [size], [keys], [[len(h) for h in held]], [control], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for part in parts:
-            for k, ids in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
+            for k, n, control, data in zip(*(c.to_pylist() for c in part.columns)):
                 keys.append(k)
-                held.append(ids)
-                size += len(ids) // 4
+                held.append(unpack(control, data, n))
+                size += n
                 if size >= SEGMENT:
                     yield segment()
                     number, first, keys, held, size = number + 1, first + size, [], [], 0
         if held:
             yield segment()
 
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = coded.mapInArrow(ranked, from_arrow_schema(moved)).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(segments, from_arrow_schema(schema)).write.parquet(f"{path}/segments")
     spark.createDataFrame([(order.astype("<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/order")
 
