@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate, combinations
 
@@ -21,18 +22,29 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 #: A group of fingerprints around one variant is compared pair by pair up to this many; beyond it,
 #: its members meet once more in the bits left out, which costs a fixed number of rows for each.
 GROUP = 64
+#: Alike are texts that share four fifths of their word shingles. They meet where the least values of four
+#: permutations agree; of 16 such meetings one at least takes place for 99.98 % of pairs at just that similarity.
+ALIKE = (4, 5)
+BANDS, ROWS = 16, 4
+_DRAWN = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+MULTIPLIERS, OFFSETS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """SimHash of word shingles: a bit is set where it is set in over half of the shingles' XXH64."""
-    from xxhash import xxh64_intdigest
-
+def _shingles(text: bytes, words: int) -> Iterator[bytes]:
+    """Word shingles, from first to last; a text of fewer words is one, a text without words has none."""
     parts = text.lower().split()  # on bytes, both know ASCII only
     if not parts:
-        return 0
+        return iter(())
     joined, width = b" ".join(parts), min(words, len(parts))
     starts = [0, *accumulate(len(p) + 1 for p in parts)]
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b - 1], 42) for a, b in zip(starts, starts[width:])), ">u8", len(parts) - width + 1)
+    return (joined[a:b - 1] for a, b in zip(starts, starts[width:]))
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """SimHash of word shingles: a bit is set where it is set in over half of the shingles' XXH64."""
+    from xxhash import xxh64_intdigest
+
+    hashes = np.fromiter((xxh64_intdigest(s, 42) for s in _shingles(text, words)), ">u8")
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -169,6 +181,93 @@ def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     return met.where("near is null").select("u", "v").union(hubs)
 
 
+def meetings(text: bytes, words: int) -> list[int]:
+    """One signed long for each band: a hash of its least values over the word shingles; none without words."""
+    from xxhash import xxh64_intdigest
+
+    hashes = np.fromiter((xxh64_intdigest(s, 42) for s in _shingles(text, words)), np.uint64)
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[i:i + 1024, None] * MULTIPLIERS + OFFSETS).min(0), out=least)
+    key = np.zeros(BANDS, np.uint64)
+    for values in least.reshape(BANDS, ROWS).T:
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + values
+    return key.view(np.int64).tolist()
+
+
+def alike(a: bytes, b: bytes, words: int) -> bool:
+    """Whether two texts share at least ALIKE of the different word shingles of both."""
+    one, other = set(_shingles(a, words)), set(_shingles(b, words))
+    both = len(one & other)
+    return both * ALIKE[1] >= (len(one) + len(other) - both) * ALIKE[0]
+
+
+def _with_hash(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, a, b, text): texts with a 128-bit hash."""
+    return texts(docs, doc_id, text).select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), "text").alias("b"), "text")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, words: int, alike_words: int) -> DataFrame:
+    """(doc_id, a, b, fp, keys) for every row: its fingerprint, and where it meets texts that are alike."""
+    small_batches(docs.sparkSession)
+    key = docs.schema[doc_id].dataType.simpleString()
+
+    def marked(parts):
+        for part in parts:
+            found = list(as_bytes(part.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("doc_id", "a", "b")), pa.array(np.array([fingerprint(t, words) for t in found], np.uint64).view(np.int64)),
+                 pa.array([meetings(t, alike_words) for t in found], pa.list_(pa.int64()))], ["doc_id", "a", "b", "fp", "keys"])
+
+    return _with_hash(docs, doc_id, text).mapInArrow(marked, f"doc_id {key}, a long, b long, fp long, keys array<long>")
+
+
+def alike_links(marked: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, group: int = GROUP) -> DataFrame:
+    """(u, v): fingerprints of texts that meet and are alike by their whole sets of shingles.
+
+    Of up to ``group`` different texts that meet, every pair is checked; of more, each is checked with one
+    of them, another one in every band. Pairs that ``links`` joins already are left out.
+    """
+    # copies collapse first
+    own = stored(marked.groupBy("a", "b").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("doc_id").alias("least")), "alike-texts")
+    rows = own.select(F.struct("a", "b", "fp").alias("x"), F.posexplode("keys").alias("band", "key"))
+    turn = F.struct(F.xxhash64("band", "x.a", "x.b"), "x")
+    sized = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(turn).getField("x").alias("hub")).where("n > 1")
+    met = stored(rows.join(sized, ["band", "key"]), "alike-met")
+    small = met.where(F.col("n") <= group).groupBy("band", "key").agg(F.collect_list("x").alias("held")).select(F.explode("held").alias("x"), "held")
+    small = small.select("x", F.explode("held").alias("y")).where("x < y")
+    large = met.where((F.col("n") > group) & (F.col("x") != F.col("hub"))).select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y"))
+    pairs = small.union(large).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) > RADIUS)
+    pairs = stored(pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("a", "b", "fp"))).distinct(), "alike-pairs")
+    ends = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
+    ends = own.select("a", "b", "least").join(ends, ["a", "b"])
+    # of the copies of a text one row is read
+    found = _with_hash(docs, doc_id, text).alias("d").join(ends.alias("e"), F.expr("d.a = e.a and d.b = e.b and d.doc_id <=> e.least")).select("d.a", "d.b", "d.text")
+    found = stored(found.dropDuplicates(["a", "b"]), "alike-found")
+    both = pairs.join(found.toDF("xa", "xb", "x"), ["xa", "xb"]).select("ya", "yb", "xfp", "yfp", "x").join(found.toDF("ya", "yb", "y"), ["ya", "yb"])
+
+    def checked(parts):
+        for part in parts:
+            ok = pa.array([alike(x, y, words) for x, y in zip(as_bytes(part.column("x")), as_bytes(part.column("y")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column("xfp").filter(ok), part.column("yfp").filter(ok)], ["u", "v"])
+
+    return both.select("xfp", "yfp", "x", "y").mapInArrow(checked, "u long, v long")
+
+
+def _placed(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, fp, component_id for (doc_id, fp), over ``links`` and further edges between fingerprints."""
+    # copies collapse into one fingerprint before anything is paired up
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    edges = links(distinct.select("fp"))
+    parts = connected_components(edges if more is None else edges.union(more)).withColumnRenamed("node", "fp")
+    placed = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = placed.join(roots, "component").select("fp", "component_id")
+    return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs``.
 
@@ -181,23 +280,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ignored, whatever their names. An empty table gives an empty result.
     """
     marked = stored(fingerprints(docs, doc_id, text, words), "simhash-prints")
-    # copies collapse into one fingerprint before anything is paired up
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    placed = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = placed.join(roots, "component").select("fp", "component_id")
-    return marked.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _placed(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, alike_words: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, but of each near-duplicate component only those of its least doc_id.
 
+    Linked are the texts that ``near_duplicates`` links, and those whose shingles of ``alike_words`` words
+    have a Jaccard similarity of at least ALIKE: candidates meet by least hashes and are checked exactly.
     Edge cases are those of ``near_duplicates``. An id stays or goes as a whole: rows that repeat the least
     id of a component all stay, and an id with rows in several components goes if it is not the least of
     one of them. A null id goes if its component has an id.
     """
-    found = near_duplicates(docs, doc_id, text, words)
+    marked = stored(_marked(docs, doc_id, text, words, alike_words), "simhash-prints")
+    found = _placed(marked.select("doc_id", "fp"), alike_links(marked, docs, doc_id, text, alike_words))
     own_id = "id" + "_" * max(map(len, docs.columns))  # a name that no column of the table has
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id)).distinct()
     return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(own_id)), "left_anti")

@@ -170,3 +170,29 @@ def test_lines_of_odd_rows(odd):
     # a row listed twice is one place; the copy with the next id loses the line
     assert texts == ["One two three four five six seven."] * 2 + [""]
     assert drop_wide_lines(odd.limit(0)).collect() == []
+
+
+def test_stage_finds_five_word_similarity(spark, monkeypatch):
+    """One of each group stays by brute-force Jaccard; few of the pairs are within three bits."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += [texts[0].upper(), texts[5], "", None, "one two"]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    prints = [plain_fingerprint(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in pairs) > 20
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs + [(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3]:
+            least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = simhash.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
