@@ -140,14 +140,16 @@ def _resolve(parts, group: int = GROUP):
     def resolved(rows, last):
         nonlocal held, large
         view, key, prints = rows
+        if not len(key):  # no group ends here: ``large`` stays as it is
+            return
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (view[1:] != view[:-1])) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
         size = ends - starts
         big = size > group
-        if large is not None and len(size):
+        if large is not None:
             big[0] |= (view[0], key[0]) == large
         keep_from = len(key)
-        if not last and len(size):
+        if not last:
             large = (view[starts[-1]], key[starts[-1]]) if big[-1] else None
             keep_from = len(key) if big[-1] else starts[-1]
         for a, b in zip(starts[big], ends[big]):

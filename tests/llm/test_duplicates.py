@@ -196,3 +196,19 @@ def test_stage_finds_five_word_similarity(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = simhash.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+
+
+def test_partition_that_ends_with_a_large_group():
+    """The last group is above the limit and fills its batch, with or without an empty batch after it."""
+    import pyarrow as pa
+
+    def batch(key, prints):
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(prints), np.int8)), pa.array(np.full(len(prints), key, np.int64)), pa.array(np.array(prints, np.int64))], ["view", "key", "fp"])
+
+    large = [1 << b for b in range(21)]  # view 0 leaves these bits out
+    want = [b.to_pydict() for b in simhash._resolve(iter([batch(0, large + [0])]), 100)]
+    assert sum(len(b["u"]) for b in want) > 0
+    for parts in ([batch(0, large)], [batch(0, large), batch(0, [])], [batch(0, large), batch(0, []), batch(0, [0])], [batch(0, [])]):
+        got = [b.to_pydict() for b in simhash._resolve(iter(parts), 4)]
+        held = {v for b in got for v, near in zip(b["v"], b["near"]) if near is not None}
+        assert held == {v for p in parts for v in p.column("fp").to_pylist()}
