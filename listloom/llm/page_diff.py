@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from html import unescape
 
 import numpy as np
@@ -117,35 +117,68 @@ def blocks(html: str) -> list[tuple[bool, str]]:
     return out
 
 
+#: Bits of rows that are kept at once to trace an alignment back; longer lists are split in two.
+TRACE_BITS = 1 << 27
+
+
+def _rows(a: list[int], b: list[int], every: bool) -> list[int]:
+    """Bit j of row i is zero where a longest common subsequence of a[:i + 1] and b[:j + 1] is longer than without b[j]."""
+    full, masks, out = (1 << len(b)) - 1, {}, []
+    for j, h in enumerate(b):
+        masks.setdefault(h, []).append(j)
+    masks = {h: sum(1 << j for j in found) for h, found in masks.items()}
+    row = full
+    for h in a:
+        met = row & masks.get(h, 0)
+        row = (row + met | row - met) & full
+        if every:
+            out.append(row)
+    return out if every else [row]
+
+
+def _lengths(row: int, size: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[:size]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of two lists of line hashes.
+    """Places in ``a`` of a longest common subsequence of two lists of line hashes, however often lines repeat.
 
-    Lines are aligned by the classic reduction to increasing places: time grows with the matching pairs,
-    of which a line that repeats gives at most the nearest 64 places.
+    Rows of lengths are bits of long integers: time grows with the product of both lengths over the width
+    of a machine word, memory is bounded by TRACE_BITS and the lists themselves.
     """
-    places: dict[int, list[int]] = {}
-    for j, h in enumerate(b):
-        places.setdefault(h, []).append(j)
-    ends: list[int] = []
-    nodes: list[tuple[int, int]] = []  # (place in a, node before)
-    last: list[int] = []
-    for i, h in enumerate(a):
-        found = places.get(h, ())
-        if len(found) > 64:
-            k = min(max(0, bisect_left(found, i) - 32), len(found) - 64)
-            found = found[k:k + 64]
-        for j in reversed(found):
-            k = bisect_left(ends, j)
-            nodes.append((i, last[k - 1] if k else -1))
-            if k == len(ends):
-                ends.append(j)
-                last.append(len(nodes) - 1)
-            else:
-                ends[k], last[k] = j, len(nodes) - 1
-    out, at = set(), last[-1] if last else -1
-    while at >= 0:
-        out.add(nodes[at][0])
-        at = nodes[at][1]
+    out: set[int] = set()
+    known, other = set(b), set(a)
+    left = [([i for i, h in enumerate(a) if h in known], [h for h in b if h in other])]  # places in a, lines of b
+    while left:
+        at, b = left.pop()
+        start, least = 0, min(len(at), len(b))
+        while start < least and a[at[start]] == b[start]:
+            start += 1
+        end = 0
+        while end < least - start and a[at[-1 - end]] == b[-1 - end]:
+            end += 1
+        out.update(at[:start], at[len(at) - end:])
+        at, b = at[start:len(at) - end], b[start:len(b) - end]
+        own = [a[i] for i in at]
+        if not at or not b:
+            continue
+        if len(at) > 1 and len(at) * len(b) > TRACE_BITS:
+            half = len(at) // 2
+            before, after = _rows(own[:half], b, False)[0], _rows(own[half:][::-1], b[::-1], False)[0]
+            cut = int((_lengths(before, len(b)) + _lengths(after, len(b))[::-1]).argmax())
+            left += [(at[:half], b[:cut]), (at[half:], b[cut:])]
+            continue
+        rows = _rows(own, b, True)
+        i, j = len(own), len(b)
+        while i and j:
+            if rows[i - 1] >> j - 1 & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - 1] >> j - 1 & 1:
+                out.add(at[i])
+                j -= 1
     return out
 
 

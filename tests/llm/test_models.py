@@ -166,6 +166,29 @@ def test_longest_common_lines():
     assert shared([5] * 100, [5] * 100) == set(range(100)) or len(shared([5] * 100, [5] * 100)) > 60
 
 
+@pytest.mark.parametrize("bits", [1, 200, 1 << 27])
+def test_common_lines_that_repeat_often(monkeypatch, bits):
+    monkeypatch.setattr("listloom.llm.page_diff.TRACE_BITS", bits)
+    rng = np.random.default_rng(4)
+    cases = [([5] * 100, [5] * 100), ([1, 2] * 150 + [5] * 200, [5] * 200 + [2, 1] * 100), ([], [1])]
+    cases += [(rng.integers(0, k, rng.integers(0, 40)).tolist(), rng.integers(0, k, rng.integers(0, 40)).tolist()) for k in (2, 3, 9) for _ in range(30)]
+    for a, b in cases:
+        length = [0] * (len(b) + 1)
+        for x in a:
+            length = _next_lengths(length, x, b)
+        places = sorted(shared(a, b))
+        assert len(places) == length[-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in places)
+
+
+def _next_lengths(length, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(length[j] + 1 if x == y else max(out[-1], length[j + 1]))
+    return out
+
+
 def test_neighbours_lose_shared_lines(spark, monkeypatch):
     shell = "<body><p>Welcome to the site</p><p>text of {}</p><p>All rights reserved</p></body>"
     rows = [(i, f"http://h.org/a/{i:02d}", shell.format(i)) for i in range(30)] + [(50, "http://alone.org/", shell.format(50)), (51, None, shell.format(51)), (52, "http://h.org/z", None), (3, "http://h.org/a/03", shell.format(3))]
