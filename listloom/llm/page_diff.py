@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from listloom.llm.common import small_batches
+from listloom.llm.common import small_batches, stored
 from listloom.llm.url_reputation import host_of, path_of
 
 #: HTML element names and what words in class, id or role mark.
@@ -185,61 +185,99 @@ def shared(a: list[int], b: list[int]) -> set[int]:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``: the main text, its blocks joined by blank lines.
 
-    Pages stand in the order of host, path and id; each page is aligned with the page before and the page
-    after it, if of the same host, and lines shared with one of them are deleted. Lines inside article or
+    Pages of a host whose lines are all the same count as one, at the place of the first of them. These stand
+    in the order of host, path and id; each is aligned with the one before and the one after it, if of the
+    same host, and lines shared with one of them are deleted from all its copies. Lines inside article or
     main elements stay although a neighbour shares them: copies and quotes of an article are its text.
     Lines of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go
     by their elements and marks, shared or not.
 
     A null or empty html gives an empty text. A null url, or one without a host, has no neighbours; it is
-    returned as it is. Repeated rows give a row each and do not count as each other's neighbour. Other
+    returned as it is. Repeated rows give a row each, all with the same text. Other
     columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.coalesce(html, F.lit("")).alias("html"))
-    bounds = spark.sparkContext.broadcast(_bounds(rows.select("host", "path", "page_id")))
     key = rows.schema["page_id"].dataType
-    cut = to_arrow_schema(StructType().add("shard", "integer").add("page_id", key).add("url", "string").add("host", "string").add("path", "string")
-                          .add("certain", "string").add("lines", "string").add("hashes", "binary"))
+    name = StructType().add("page_id", key).add("host", "string").add("path", "string").add("mark", "binary")
+    cut, marks = to_arrow_schema(StructType([*name]).add("url", "string").add("certain", "string").add("lines", "string")), to_arrow_schema(StructType([*name]).add("open", "boolean").add("hashes", "binary"))
 
-    def parsed(parts):
-        from xxhash import xxh64_intdigest
+    def parsed(parts, texts):
+        from xxhash import xxh3_128_digest, xxh64_intdigest
 
         for part in parts:
             found = [blocks(h) for h in part.column("html").to_pylist()]
+            hashes = [np.array([xxh64_intdigest(line) for _, line in f], "<u8").tobytes() for f in found]
+            own = [*(part.column(c) for c in ("page_id", "host", "path")), pa.array([xxh3_128_digest(h) for h in hashes], pa.binary())]
+            if texts:
+                yield pa.RecordBatch.from_arrays([*own, part.column("url"), pa.array(["".join("1" if c else "0" for c, _ in f) for f in found], pa.string()),
+                                                  pa.array(["\n\n".join(line for _, line in f) for f in found], pa.string())], schema=cut)
+            else:
+                yield pa.RecordBatch.from_arrays([*own, pa.array([not all(c for c, _ in f) for f in found], pa.bool_()), pa.array(hashes, pa.binary())], schema=marks)
+
+    # parsed twice, for line hashes and for the texts, which is cheaper than a stored copy of all texts
+    hashed = rows.where("host <> ''").mapInArrow(lambda parts: parsed(parts, False), from_arrow_schema(marks))
+    first = F.min(F.struct("path", "page_id", "hashes")).alias("first")
+    pages_once = stored(hashed.groupBy("host", "mark").agg(first, F.max("open").alias("open")).select("host", "first.path", "first.page_id", "mark", "open", "first.hashes"), "page-lines")
+    lost = _lost(pages_once)
+    out = to_arrow_schema(StructType().add("page_id", key).add("url", "string").add("text", "string").add("n_chars", "long"))
+
+    def written(parts):
+        for part in parts:
+            found = []
+            for certain, text, gone in zip(*(part.column(c).to_pylist() for c in ("certain", "lines", "gone"))):
+                if gone:
+                    gone = set(np.frombuffer(gone, "<i4").tolist())
+                    text = "\n\n".join(line for k, line in enumerate(text.split("\n\n")) if certain[k] == "1" or k not in gone)
+                found.append(text)
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], schema=out)
+
+    lines = rows.mapInArrow(lambda parts: parsed(parts, True), from_arrow_schema(cut))
+    return lines.join(lost, ["host", "mark"], "left").select("page_id", "url", "certain", "lines", "gone").mapInArrow(written, from_arrow_schema(out))
+
+
+def _lost(pages: DataFrame) -> DataFrame:
+    """(host, mark, gone): for (host, path, page_id, mark, open, hashes), the places of lines that a page with open lines shares with a neighbour."""
+    spark = pages.sparkSession
+    bounds = spark.sparkContext.broadcast(_bounds(pages.select("host", "path", "page_id")))
+    fields = to_arrow_schema(StructType([*pages.schema]).add("shard", "integer"))
+
+    def dealt(parts):
+        for part in parts:
             place = [bisect_right(bounds.value, _key(*k)) for k in zip(*(part.column(c).to_pylist() for c in ("host", "path", "page_id")))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(place, pa.int32()), *(part.column(c) for c in ("page_id", "url", "host", "path")),
-                pa.array(["".join("1" if c else "0" for c, _ in f) for f in found], pa.string()), pa.array(["\n\n".join(line for _, line in f) for f in found], pa.string()),
-                pa.array([np.array([xxh64_intdigest(line) for _, line in f], "<u8").tobytes() for f in found], pa.binary())], schema=cut)
-
-    # parsed twice, for the ends of shards and for the pages themselves, which is cheaper than a stored copy of all texts
-    lines = rows.mapInArrow(parsed, from_arrow_schema(cut))
-    row = F.struct("host", "path", "page_id", "hashes")
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(place, pa.int32())], schema=fields)
+
+    placed = pages.mapInArrow(dealt, from_arrow_schema(fields))
+    order = ["host", "path", "page_id", "mark"]
+    row = F.struct(*order, "hashes")
     # one row for each shard: what its neighbours need to know of its first and its last page
-    ends = sorted(lines.groupBy("shard").agg(F.min(row), F.max(row)).collect())
-    edge = spark.sparkContext.broadcast({now[0]: (before and tuple(before[2]), after and tuple(after[1])) for before, now, after in zip([None, *ends], ends, [*ends[1:], None])})
-    out = to_arrow_schema(StructType().add("page_id", key).add("url", "string").add("text", "string").add("n_chars", "long"))
+    ends = sorted(placed.groupBy("shard").agg(F.min(row), F.max(row)).collect(), key=lambda r: r[0])
+    edge = spark.sparkContext.broadcast({now[0]: (before and (before[2][0], before[2][4]), after and (after[1][0], after[1][4])) for before, now, after in zip([None, *ends], ends, [*ends[1:], None])})
+    out = pa.schema([("host", pa.string()), ("mark", pa.binary()), ("gone", pa.binary())])
 
     def differenced(parts):
-        shard, before, now = None, None, None  # a page: host, path, page_id, hashes, url, certain, lines
+        shard, before, now = None, None, None  # a page: host, hashes, mark, open
         done: list[tuple] = []
 
         def finish(after):
-            host, path, name, hashes, url, certain, text = now
-            kept = text.split("\n\n") if text else []
-            if "0" in certain:
-                own, gone = np.frombuffer(hashes, "<u8").tolist(), set()
-                for other in (before, after):
-                    if other is not None and host and other[0] == host and tuple(other[1:3]) != (path, name):
-                        gone |= shared(own, np.frombuffer(other[3], "<u8").tolist())
-                kept = [line for k, line in enumerate(kept) if certain[k] == "1" or k not in gone]
-            text = "\n\n".join(kept)
-            done.append((name, url, text, len(text)))
+            host, hashes, mark, uncertain = now
+            if not uncertain:
+                return
+            own, gone = np.frombuffer(hashes, "<u8").tolist(), set()
+            for other in (before, after):
+                if other is not None and other[0] == host:
+                    gone |= shared(own, np.frombuffer(other[1], "<u8").tolist())
+            if gone:
+                done.append((host, mark, np.array(sorted(gone), "<i4").tobytes()))
+
+        def batch():
+            found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
+            done.clear()
+            return found
 
         for part in parts:
-            for s, *page in zip(*(part.column(c).to_pylist() for c in ("shard", "host", "path", "page_id", "hashes", "url", "certain", "lines"))):
+            for s, *page in zip(*(part.column(c).to_pylist() for c in ("shard", "host", "hashes", "mark", "open"))):
                 if s != shard:
                     if now is not None:
                         finish(edge.value[shard][1])
@@ -249,13 +287,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     before = now
                 now = page
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
-                done.clear()
+                yield batch()
         if now is not None:
             finish(edge.value[shard][1])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
+            if done:
+                yield batch()
 
-    ordered = lines.repartition("shard").sortWithinPartitions("shard", "host", "path", "page_id")
+    ordered = placed.repartition("shard").sortWithinPartitions("shard", *order)
     return ordered.mapInArrow(differenced, from_arrow_schema(out))
 
 

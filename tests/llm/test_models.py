@@ -208,6 +208,18 @@ def test_neighbours_lose_shared_lines(spark, monkeypatch):
     assert extract(df.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_keep_their_text(spark, monkeypatch):
+    shell = "<body><p>Welcome to the site</p><p>text of {}</p></body>"
+    rows = [(1, "http://h.org/a", "one"), (2, "http://h.org/a", "one"), (3, "http://h.org/b", "one"), (3, "http://h.org/b", "one"), (3, "http://h.org/b", "one"), (4, "http://h.org/c", "two"),
+            (5, "http://h.org/d", "one")]
+    df = spark.createDataFrame([(i, u, shell.format(t)) for i, u, t in rows], "page_id long, url string, html string").repartition(3)
+    for size in (1, 2000):
+        monkeypatch.setattr("listloom.llm.page_diff._bounds.__defaults__", (size,))
+        assert sorted((r.page_id, r.url, r.text) for r in extract(df).collect()) == [(i, u, f"text of {t}") for i, u, t in rows]
+    twins = spark.createDataFrame([(i, f"http://t.org/{i}", shell.format("x")) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in extract(twins).collect()} == {"Welcome to the site\n\ntext of x"}
+
+
 def test_host_and_path_columns(spark):
     row = spark.range(1).select(host_of(F.lit("a://B.c?x")).alias("h"), path_of(F.lit("a://B.c?x")).alias("p")).first()
     assert (row.h, row.p) == ("b.c", "")
