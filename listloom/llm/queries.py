@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from listloom.llm.ann import nearest
 from listloom.llm.byte_bpe import encode
 from listloom.llm.decontaminate import benchmark_hits
+from listloom.llm.hard_negatives import hard_negatives
 from listloom.llm.line_spread import LINE_SPREAD_SQL, drop_wide_lines
+from listloom.llm.order_minhash import edit_likeness
 from listloom.llm.page_diff import extract
 from listloom.llm.simhash import near_duplicates
+from listloom.llm.token_align import align
 from listloom.llm.token_file import digests, token_file
 from listloom.llm.token_count import token_counts
 from listloom.llm.toxicity import toxicity
@@ -63,5 +66,23 @@ def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return drop_wide_lines(docs).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_simhash, op4_url_reputation, op5_token_file, op6_nearest, op7_toxicity, op8_decontaminate, op9_page_text, op10_line_spread)}
+def op11_token_align(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digests = aligned.groups().select("row", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+    return aligned.sums().join(digests, "row").drop("row")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted))
+
+
+def op13_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = edit_likeness(table(spark, folder, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_simhash, op4_url_reputation, op5_token_file, op6_nearest, op7_toxicity, op8_decontaminate, op9_page_text, op10_line_spread,
+                                  op11_token_align, op12_hard_negatives, op13_order_minhash)}
 SQL: dict[str, str] = {"op4_url_reputation": URL_SQL, "op10_line_spread": LINE_SPREAD_SQL}
