@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,7 +26,7 @@ RANGE = 1 << 16
 #: Fragments that one task composes in a round of the tree.
 FAN = 8
 #: Words whose tokens a worker keeps, links that a task holds before it sums them up.
-KEPT, LINKS = 600_000, 4 << 20
+KEPT, LINKS = 400_000, 2 << 20
 #: White space never stands behind another character in a match of A's pattern but at its end, and no
 #: piece of B holds a space behind another character, or a line break: both start anew here.
 _ANEW = re.compile(r"(?<=\S)(?=[ \n])")
@@ -101,49 +103,63 @@ def _past_first(marks: np.ndarray) -> int:
     return int(marks.argmax()) + 1 if marks.any() else len(marks)
 
 
+def _encoder(model: bytes, pieces: dict[bytes, int], merged: list[int]) -> Callable[[str], list[int]]:
+    """What encodes a word by A. Where ids follow the order of merges, the least id is the next merge, and no
+    offsets are needed, so the words' bytes are merged by rank; else the model's own library does it.
+    """
+    if merged == sorted(merged) and len(pieces) == len(merged) + 256:
+        import public_tokenizers
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(model.decode())
+    own.encode_special_tokens = True
+    return lambda word: own.encode(word, add_special_tokens=False).ids
+
+
 class Tokenizers:
     """Tokens of A and B word by word, where a word starts wherever both start anew; each distinct word once."""
 
     def __init__(self, a: bytes, b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         spec = json.loads(a)
         if spec["normalizer"] is not None or spec["pre_tokenizer"] != _BYTE_LEVEL or spec["model"]["type"] != "BPE":
             raise ValueError("A must be a byte-level BPE that splits words by its own pattern")
-        self.a, self.b = Tokenizer.from_str(a.decode()), PieceCounter(b).model
-        self.a.encode_special_tokens = True
+        self.b = PieceCounter(b).model
+        vocabulary = spec["model"]["vocab"]
         byte = {chr(v): k for k, v in _VISIBLE.items()}
-        self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for piece, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
+        pieces = {bytes(byte[c] for c in piece): i for piece, i in vocabulary.items()}
+        self.encode_a = _encoder(a, pieces, [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]])
+        special = [t["id"] for t in spec.get("added_tokens") or ()]
+        self.lengths_a = np.zeros(max([*vocabulary.values(), *special]) + 1, np.int64)
+        self.lengths_a[list(pieces.values())] = list(map(len, pieces))
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self.lengths_a, self.lengths_b = (np.array([len(p) for p in pieces]) for pieces in (self.bytes_a, self.bytes_b))
+        self.lengths_b = np.array([len(p) for p in self.bytes_b])
         self.space = self.b.piece_to_id("▁")
-        self.known_a: dict[str | tuple[str], bytes] = {}
-        self.known_b: dict[str | tuple[str], bytes] = {}
+        self.known: dict[str | tuple[str], tuple[bytes, bytes]] = {}
         self.broken: set[str | tuple[str]] = set()
 
     def learn(self, texts: list[list[str | tuple[str]]]) -> None:
-        """Take the words of some texts into the tables."""
-        if len(self.known_a) > KEPT:
-            self.known_a.clear(), self.known_b.clear(), self.broken.clear()
-        new = list({w for words in texts for w in words if w not in self.known_a})
-        for i in range(0, len(new), 50_000):
-            some = new[i:i + 50_000]
+        """Take the words of some texts into the table. A gives the bytes of any word back, B need not."""
+        if len(self.known) > KEPT:
+            self.known.clear(), self.broken.clear()
+        new = list({w for words in texts for w in words if w not in self.known})
+        for i in range(0, len(new), 10_000):
+            some = new[i:i + 10_000]
             full = list(map(_full, some))
             # encode() of B puts a space before its input; a line break never merges with it
-            pieces = self.b.encode([f[f[0] == " ":] for f in full], num_threads=1)
-            for w, f, e, ids_b in zip(some, full, self.a.encode_batch_fast(full, add_special_tokens=False), pieces):
-                ids_a, ids_b = e.ids, ids_b[1:] if f[0] == "\n" else ids_b or [self.space]
-                self.known_a[w], self.known_b[w] = np.array(ids_a, "<u4").tobytes(), np.array(ids_b, "<u4").tobytes()
-                if not f.encode() == b"".join(map(self.bytes_a.__getitem__, ids_a)) == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+            for w, f, ids_b in zip(some, full, self.b.encode([f[f[0] == " ":] for f in full], num_threads=1)):
+                ids_b = ids_b[1:] if f[0] == "\n" else ids_b or [self.space]
+                self.known[w] = array("I", self.encode_a(f)).tobytes(), array("I", ids_b).tobytes()
+                if b"".join(map(self.bytes_b.__getitem__, ids_b)) != f.encode():
                     self.broken.add(w)
 
     def fragment(self, words: list[str | tuple[str]], at: int = 0, start: int = 0, end: int | None = None) -> Fragment:
         """The tokens of ``words``, which stand at byte ``at``, that start at ``start`` or behind, and before ``end``."""
-        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for known in (self.known_a, self.known_b)]
+        ids = [np.frombuffer(b"".join(side), "<u4") for side in (zip(*map(self.known.__getitem__, words)) if words else ((), ()))]
         ends = [at + np.cumsum(lengths[i]) for i, lengths in zip(ids, (self.lengths_a, self.lengths_b))]
         whole = self.broken.isdisjoint(words) if self.broken else True
         if at != start or end is not None:
@@ -274,9 +290,10 @@ class Aligned:
                     held.append(f.links(len(reader.lengths[1])))
                     size += len(held[-1])
                     if size >= LINKS:
-                        codes, n = _summed([codes, *held], n)
+                        codes, n = _summed(codes, n, *np.unique(np.concatenate(held), return_counts=True))
                         held, size = [], 0
-            codes, n = _summed([codes, *held], n)
+            if held:
+                codes, n = _summed(codes, n, *np.unique(np.concatenate(held), return_counts=True))
             for i in range(0, len(codes), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[i:i + 100_000]), pa.array(n[i:i + 100_000])], ["code", "n"])
 
@@ -335,14 +352,15 @@ def _in_groups(f: Fragment, ids_a: int) -> np.ndarray:
     return out
 
 
-def _summed(codes: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and their sums; the first array has the sums ``n``, every other code counts once."""
-    every = np.concatenate(codes)
-    order = np.argsort(every, kind="stable")
-    ones = np.concatenate([n, np.ones(len(every) - len(n), np.int64)])[order]
-    every = every[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    return every[first], np.add.reduceat(ones, first) if len(first) else ones
+def _summed(codes: np.ndarray, n: np.ndarray, more: np.ndarray, more_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending lists of codes with their counts as one."""
+    at = np.searchsorted(codes, more)
+    known = np.zeros(len(more), bool)
+    if len(codes):
+        known = codes[np.minimum(at, len(codes) - 1)] == more
+    n = n.copy()
+    n[at[known]] += more_n[known]
+    return np.insert(codes, at[~known], more[~known]), np.insert(n, at[~known], more_n[~known])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, size: int = RANGE, doc_id: str = "doc_id", text: str = "text") -> Aligned:
