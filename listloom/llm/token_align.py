@@ -25,8 +25,8 @@ from listloom.llm.token_file import _VISIBLE
 RANGE = 1 << 16
 #: Fragments that one task composes in a round of the tree.
 FAN = 8
-#: Words whose tokens a worker keeps, links that a task holds before it sums them up.
-KEPT, LINKS = 400_000, 2 << 20
+#: Words whose tokens a worker keeps, texts it takes apart together, links it holds before it sums them up.
+KEPT, SOME, LINKS = 300_000, 200, 2 << 20
 #: White space never stands behind another character in a match of A's pattern but at its end, and no
 #: piece of B holds a space behind another character, or a line break: both start anew here.
 _ANEW = re.compile(r"(?<=\S)(?=[ \n])")
@@ -385,10 +385,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, size: int = RANGE, doc_id:
 
     def short(parts):
         tokenizers = Tokenizers(*models.value)
-        for part in parts:
-            found = [words_of(t) if t else [] for t in part.column("text").to_pylist()]
-            tokenizers.learn(found)
-            yield form.write(part.column("row"), part.column("doc_id"), [0] * len(part), [tokenizers.fragment(w) for w in found])
+        for whole in parts:
+            for i in range(0, len(whole), SOME):
+                part = whole.slice(i, SOME)
+                found = [words_of(t) if t else [] for t in part.column("text").to_pylist()]
+                tokenizers.learn(found)
+                yield form.write(part.column("row"), part.column("doc_id"), [0] * len(part), [finished(tokenizers.fragment(w)) for w in found])
 
     def pieces(parts):
         for part in parts:
@@ -410,6 +412,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, size: int = RANGE, doc_id:
         one = reduce(Fragment.__add__, form.read(table), Fragment.empty())
         return pa.Table.from_batches([form.write(table.column("row").slice(0, 1).combine_chunks(), table.column("doc_id").slice(0, 1).combine_chunks(), [table.column("part")[0].as_py() // FAN], [one])])
 
+    def finished(f: Fragment) -> Fragment:
+        return f if f.whole else Fragment.empty()
+
     few, many = F.octet_length("text") <= size, F.octet_length("text") > size
     schema = from_arrow_schema(form.schema)
     of_ranges = stored(rows.where(many).withColumn("row", -1 - F.col("row")).mapInArrow(pieces, from_arrow_schema(cut)).repartition("row", "part").mapInArrow(long, schema), "fragments")
@@ -418,9 +423,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, size: int = RANGE, doc_id:
         of_ranges = of_ranges.groupBy("row", F.floor(F.col("part") / FAN)).applyInArrow(composed, schema)
         most //= FAN
 
-    def finished(parts):
+    def complete(parts):
         for part in parts:
-            yield form.write(part.column("row"), part.column("doc_id"), part.column("part"), [f if f.whole else Fragment.empty() for f in form.read(part)])
+            yield form.write(part.column("row"), part.column("doc_id"), part.column("part"), list(map(finished, form.read(part))))
 
-    every = rows.where(few).mapInArrow(short, schema).union(of_ranges).mapInArrow(finished, schema)
+    every = rows.where(few).mapInArrow(short, schema).union(of_ranges.mapInArrow(complete, schema))
     return Aligned(stored(every, "aligned"), a_path, b_path, tokenizers.lengths_a, tokenizers.lengths_b)
