@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from listloom.llm.common import read_bytes, small_batches, texts
+from listloom.llm.common import read_bytes, short_plan_texts, small_batches, texts
 
 #: Words of more bytes are merged by a queue where they stand: folding arrays takes time with their square.
 LONG = 256
@@ -88,13 +88,13 @@ class Ranks:
         return np.array([self.rank[p] for p in part if p is not None], "<u4").tobytes()
 
 
-def folded(word: Column, ranks: Ranks) -> Column:
+def folded(word: Column, ranks: Ranks, pair_maps: str) -> Column:
     """Ids of a word (array of int) by higher-order functions: of all neighbours the pair of the least rank,
     the leftmost of several, becomes one piece, until no pair has a rank.
     """
     byte = F.array(*(F.lit(ranks.rank[bytes([b])]) for b in range(256)))
     ids = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.element_at(byte, F.ascii(c) + 1))
-    maps = F.from_json(F.lit(ranks.pair_maps()), "array<map<string,int>>").cast("array<map<bigint,int>>")
+    maps = F.from_json(F.lit(pair_maps), "array<map<string,int>>").cast("array<map<bigint,int>>")
 
     def merge(maps: Column, start: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
@@ -221,10 +221,12 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
     """
     spark = docs.sparkSession
     small_batches(spark)
+    short_plan_texts(spark)
     ranks = Ranks(read_bytes(rank_path))
     rows = texts(docs, doc_id, text)
     shared_ranks = spark.sparkContext.broadcast(ranks)
-    frequent = spark.sparkContext.broadcast(ranks.whole() | _frequent(rows, ranks, pattern))
+    whole, pair_maps = ranks.whole(), ranks.pair_maps()
+    frequent = spark.sparkContext.broadcast(whole | _frequent(rows, ranks, pattern, whole, pair_maps))
 
     def rare(parts):
         import regex
@@ -252,11 +254,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
              .groupBy("word", F.shiftright("block", 47).alias("range")).agg(F.collect_list("block").alias("blocks")))
     # two bytes an id where they are enough
     shift, kind = (32768, "smallint") if ranks.size <= 65536 else (0, "int")
-    small = F.transform(folded(F.col("word"), ranks), lambda i: (i - shift).cast(kind))
+    small = F.transform(folded(F.col("word"), ranks, pair_maps), lambda i: (i - shift).cast(kind))
     known = words.withColumn("ids", small).select(F.explode("blocks").alias("block"), "word", "ids")
-    whole = rows.mapInArrow(packed, "block long, texts binary")
+    texts_of = rows.mapInArrow(packed, "block long, texts binary")
     met = (known.withColumn("texts", F.lit(None).cast("binary"))
-           .unionByName(whole.select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "texts"))
+           .unionByName(texts_of.select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "texts"))
            .repartition("block").sortWithinPartitions("block", F.col("texts").isNotNull()))
     schema = to_arrow_schema(StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary"))
 
@@ -292,7 +294,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
     return met.mapInArrow(put_together, from_arrow_schema(schema))
 
 
-def _frequent(rows: DataFrame, ranks: Ranks, pattern: str) -> dict[str, bytes]:
+def _frequent(rows: DataFrame, ranks: Ranks, pattern: str, whole: dict[str, bytes], pair_maps: str) -> dict[str, bytes]:
     """Words found more than twice in a sample of about SAMPLE texts, with their ids: at most FREQUENT.
 
     The sample decides which words travel, not what comes out: any word may be in it or not.
@@ -310,8 +312,7 @@ def _frequent(rows: DataFrame, ranks: Ranks, pattern: str) -> dict[str, bytes]:
     sample = rows.select("text") if share >= 1 else rows.select("text").sample(fraction=share, seed=7)
     counts = (sample.mapInArrow(found, "word string").where(F.octet_length("word") <= LONG)
               .groupBy("word").count().where("count > 2").orderBy(F.desc("count"), "word").limit(FREQUENT).select("word"))
-    whole = ranks.whole()
-    some = counts.withColumn("ids", folded(F.col("word"), ranks)).toArrow()
+    some = counts.withColumn("ids", folded(F.col("word"), ranks, pair_maps)).toArrow()
     return {w: np.array(ids, "<u4").tobytes() for part in some.to_batches(5000) for w, ids in zip(part.column("word").to_pylist(), part.column("ids").to_pylist()) if w not in whole}
 
 

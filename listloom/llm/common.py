@@ -21,6 +21,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def short_plan_texts(spark: SparkSession) -> None:
+    """Bound the text of a plan that the driver keeps for every execution; a session's own bound stays."""
+    key = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(key, str(2**31 - 16)).rstrip("bB") or 0) >= 2**28:
+        spark.conf.set(key, str(1 << 16))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
