@@ -126,6 +126,6 @@ def submissions(spark, d):
         F.when(c % 7 == 0, "nobody").when(c % 7 == 1, "a@b").alias("contact_email"))
 
 
-@query("gate2_intake_validation", f"WITH {SUBMIT} SELECT id, title, start_date, category, description, contact_email, error FROM val")
+@query("gate2_intake_validation", f"WITH {SUBMIT} SELECT id, title, start_date, category, description, (SELECT length(trim(s.description)) FROM sub s WHERE s.id = val.id) > 2000 AS description_cut, contact_email, error FROM val")
 def gate2(spark, d):
-    return G.validate_submission(submissions(spark, d)).select("id", "title", "start_date", "category", "description", "contact_email", "error")
+    return G.validate_submission(submissions(spark, d), description_max=2000).select("id", "title", "start_date", "category", "description", "description_cut", "contact_email", "error")

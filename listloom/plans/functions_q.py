@@ -12,6 +12,7 @@ from listloom.functions.showtimes import stamps_to_films, version_label
 from listloom.operators.recurring import curated_rows
 from listloom.plans import inputs as I
 from listloom.plans.registry import query, table
+from listloom.sources import html
 
 PHRASES = ("the", "of the", "que", "den", "gear", "ring", "bolt")
 ALIASES = {"small ring set": ("hot gear", "red bolt")}
@@ -184,6 +185,19 @@ def fn11(spark, d):
         F.array_join(D.dates_in_text(text, F.lit("2024-06-15").cast("date"), years=(2024, 2030)), ",").alias("dates"))
 
 
+@query("fn11_titled_dates", """SELECT page_id, date, title FROM (SELECT page_id, '2099-05-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS a, '2099-06-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS b, '2099-07-01' AS c FROM pages),
+  LATERAL (SELECT * FROM (VALUES (a, 'Night & day ' || page_id), (b, 'Open stage ' || page_id || ' ' || b), (c, 'Late show'), ('2099-08-01', 'From 2099-08-01 on, ' || repeat('long ', 400) || 'talk')) v(date, title))""")
+def fn11_titled(spark, d):
+    """A programme in front of each page's own markup: a heading inside the entry, none, entries in entries, a long text."""
+    k, day = F.col("page_id").cast("string"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    programme = F.concat(
+        F.lit("<section><h2>Programme</h2><ul><li><strong>Night &amp; day "), k, F.lit("</strong><br> le "), (F.col("page_id") % 28 + 1).cast("string"), F.lit(" May 2099</li><li>Open\n stage "), k,
+        F.lit(" <i>2099-06-"), day, F.lit("</i></li></ul><div class='x event-item'><script>1/1/2099</script><p>no date</p><h3>Late show</h3><span>1/7/2099</span></div><p>From 2099-08-01 on, "),
+        F.lit("long " * 400), F.lit("talk</p><li>1/9/2099<h4>abc</h4></li><p>31/2/2099</p></section>"), F.coalesce("html", F.lit("")))
+    pages = table(spark, d, "pages").select("page_id", programme.alias("html"))
+    return html.titled_dates(pages, as_of=F.lit("2099-05-01").cast("date"), years=(2099, 2099)).select("page_id", "date", "title")
+
+
 @query("fn12_start_time", """SELECT event_id, CASE event_id % 4 WHEN 3 THEN '' WHEN 1 THEN strftime(ts, '%H') || ':00' ELSE strftime(ts, '%H:%M') END AS time FROM events""")
 def fn12(spark, d):
     k, h, m = F.col("event_id") % 4, F.hour("ts").cast("string"), F.date_format("ts", "mm")

@@ -175,6 +175,27 @@ def src7(spark, d):
         "id", "title", "start_date", "end_date", "description", "venue_name", "address", "image_url", "price")
 
 
+@query("src7_mixed_graphs", """SELECT page_id, CASE WHEN page_id % 6 < 5 THEN 'Night ' || page_id ELSE 'Heading ' || page_id END AS title, CASE WHEN page_id % 6 < 4 THEN '2024-05-06' WHEN page_id % 6 = 5 THEN '' END AS start_date,
+  CASE WHEN page_id % 6 = 2 THEN 'Hall' END AS venue_name, CASE WHEN page_id % 6 = 3 THEN '7 EUR' END AS price, page_id % 6 < 5 AS structured FROM pages""")
+def src7_mixed(spark, d):
+    """Events among graph items of other types, with fields of other types, on top of the pages' own markup."""
+    k = F.col("page_id").cast("string")
+    named = lambda more: F.concat(F.lit('{"@type":"Event","name":"Night '), k, F.lit('"' + more + "}"))
+    day = ',"startDate":"2024-05-06T20:00"'
+    blocks = [
+        F.concat(F.lit('{"@graph":[1,'), named(day + ',"location":["a"]'), F.lit("]}")),
+        F.concat(F.lit('{"@graph":["x",null,[{"@type":"Event"}],{"@type":"Event","name":" "},'), named(day + ',"offers":"free"'), F.lit("]}")),
+        F.concat(F.lit('{"@graph":[{"@type":"Event","name":{"fr":"no text"},"x":1e400},{"@type":"WebPage","name":"page"},'), named(day + ',"location":{"name":"Hall","address":"one line"}'), F.lit("]}")),
+        F.concat(F.lit('{"@graph":{"@type":"Thing"},'), F.substring(named(day + ',"image":{"url":7},"offers":{"price":7}'), 2, 10**6)),
+        F.concat(F.lit('{"@graph":[true,'), named(',"startDate":{"@value":"soon"}'), F.lit("]}")),
+        F.lit('{"@graph":[1,{"@type":"Event"},{"@type":["Event"],"name":"a list"}]}'),
+    ]
+    block = F.element_at(F.array(*blocks), (F.col("page_id") % 6 + 1).cast("int"))
+    markup = F.concat(F.lit('<html><script type="application/ld+json">'), block, F.lit("</script><h1>Heading "), k, F.lit("</h1>"), F.coalesce("html", F.lit("")))
+    return html.structured_events(table(spark, d, "pages").select("page_id", markup.alias("html"), F.lit("http://site/x").alias("url"))).select(
+        "page_id", "title", "start_date", "venue_name", "price", "structured")
+
+
 @query("src8_sections", """WITH l AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS a FROM documents)
 SELECT id, r::INT AS record, CASE r WHEN 0 THEN list_filter(a, lambda s: length(s) > 3)[1] ELSE 'Second night' END AS title,
   CASE r WHEN 0 THEN 'Event by Host ' || id ELSE '' END AS description,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listloom.functions.dates import dates_in_text
 from listloom.functions.text import has_value, squeeze, strip, strip_tags, unescape, url_date
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -156,29 +157,127 @@ DETAIL_FIELDS: dict[str, Field] = {
 }
 
 
+# --- nesting intervals: what stands around a date ---------------------------------------------------
+
+# Elements that may be an entry of a programme, and elements that name one.
+ENTRY_TAGS = ("h1", "h2", "h3", "h4", "h5", "p", "li", "article", "section")
+ENTRY_CLASSES = ("event", "event-item", "calendar-item", "schedule-item")
+HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "strong")
+
+
+class _Intervals(HTMLParser):
+    """Texts of a page in order, and for every element from which text to which it reaches."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.pieces: list[str] = []
+        self.elements: list[list] = []
+        self.stack: list[int] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in VOID:
+            self.stack.append(len(self.elements))
+            self.elements.append([tag, (dict(attrs).get("class") or "").split(), len(self.pieces), None, None])
+
+    def handle_endtag(self, tag):
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.elements[self.stack[depth]][0] == tag:
+                self._close(depth)
+                return
+
+    def _close(self, depth: int):
+        for number in self.stack[depth:]:
+            self.elements[number][3:] = len(self.pieces), len(self.elements)
+        del self.stack[depth:]
+
+    def handle_data(self, data):
+        text = " ".join(data.split())
+        if text and not (self.stack and self.elements[self.stack[-1]][0] in ("script", "style")):
+            self.pieces.append(text)
+
+    def close(self):
+        super().close()
+        self._close(0)
+
+
+_ELEMENTS = "array<struct<number:int,tag:string,classes:array<string>,first:int,past:int,last:int>>"
+
+
+def element_intervals(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` without the markup, with ``pieces`` (texts in order) and ``elements``.
+
+    Elements are numbered as they open; one that holds the texts from ``first`` to before ``past`` holds the
+    elements from its own number to before ``last``, so nesting is a test of intervals. A null page has none.
+    """
+    keep = [c for c in pages.columns if c not in (html, "pieces", "elements")]
+    schema = T.StructType([pages.schema[c] for c in keep]).add("pieces", T.ArrayType(T.StringType())).add("elements", T._parse_datatype_string(_ELEMENTS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pieces, elements = [], []
+            for markup in batch[html]:
+                reader = _Intervals()
+                reader.feed(markup or "")
+                reader.close()
+                pieces.append(reader.pieces)
+                elements.append([{"number": n, "tag": t, "classes": c, "first": a, "past": b, "last": z} for n, (t, c, a, b, z) in enumerate(reader.elements)])
+            yield pd.concat([batch[keep], pd.DataFrame({"pieces": pieces, "elements": elements}, index=batch.index)], axis=1)
+
+    return pages.select(*keep, html).mapInPandas(run, schema)
+
+
+def titled_dates(pages: DataFrame, html: str = "html", as_of: Column | None = None, back: int = 7, ahead: int = 540, years: tuple[int, int] = (2025, 2030),
+                 shortest: int = 4) -> DataFrame:
+    """(columns of ``pages`` but the markup, element, date, title): every date of a page with what it is the date of.
+
+    A date belongs to the innermost entry element whose text holds it; the title is the first heading inside that
+    element, else the element's own text. Titles under ``shortest`` characters are left out, longer ones are whole.
+    """
+    keep = [c for c in pages.columns if c not in (html, "pieces", "elements")]
+    text = lambda e: F.array_join(F.slice("pieces", e["first"] + 1, e["past"] - e["first"]), " ")
+    entry = lambda e: e["tag"].isin(*ENTRY_TAGS) | F.arrays_overlap(e["classes"], F.array(*map(F.lit, ENTRY_CLASSES)))
+    read = element_intervals(pages, html).withColumn("_entries", F.transform(F.filter("elements", entry), lambda e: F.struct(
+        e["number"].alias("number"), e["last"].alias("last"), text(e).alias("text"), dates_in_text(text(e), as_of, back, ahead, years).alias("dates"))))
+    read = read.withColumn("_entries", F.filter("_entries", lambda e: F.size(e["dates"]) > 0))
+    rows = read.select("*", F.explode("_entries").alias("_e")).select("*", F.explode("_e.dates").alias("date"))
+    within = lambda e: (e["number"] > F.col("_e.number")) & (e["number"] < F.col("_e.last"))
+    rows = rows.where(~F.exists("_entries", lambda e: within(e) & F.array_contains(e["dates"], F.col("date"))))
+    heading = F.get(F.filter("elements", lambda e: within(e) & e["tag"].isin(*HEADING_TAGS)), F.lit(0))
+    title = F.coalesce(text(heading), F.col("_e.text"))
+    return rows.select(*keep, F.col("_e.number").alias("element"), "date", title.alias("title")).where(F.char_length("title") >= shortest)
+
+
 # --- structured data ------------------------------------------------------------------------------
 
-# Nested objects are typed; the image stays text because it may be a string or an object.
-EVENT_SHAPE = ("`@type` string, name string, startDate string, endDate string, description string, image string, "
-               "location struct<name: string, address: struct<streetAddress: string, addressLocality: string>>, "
-               "offers struct<price: string, priceCurrency: string>")
+# Where an event's fields stand in its object.
+EVENT_PATHS = {
+    "name": "$.name", "startDate": "$.startDate", "endDate": "$.endDate", "description": "$.description", "image": "$.image", "imageUrl": "$.image.url",
+    "venue": "$.location.name", "street": "$.location.address.streetAddress", "city": "$.location.address.addressLocality",
+    "price": "$.offers.price", "currency": "$.offers.priceCurrency",
+}
 
 
 def event_record(html: Column) -> Column:
     """The first schema.org event with a name among a page's ld+json blocks, null when there is none.
 
-    Every block is parsed once; a block is an object that either is the event or lists it in its graph.
+    Every block is parsed once, to a variant; a block is an object that either is the event or lists it in its
+    graph. Graph items and fields are looked at one by one: an item of another type, or a field of an
+    event that is no text where text is due, is null by itself and hides nothing beside it.
     """
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>\s*(\{.*?)</script>"), 1)
-    shape = f"struct<`@graph`: array<struct<{EVENT_SHAPE}>>, {EVENT_SHAPE}>"
-    names = ("@type", "name", "startDate", "endDate", "description", "image", "location", "offers")
 
     def items(block: Column) -> Column:
-        own = F.struct(*[block[n].alias(n) for n in names])
-        return F.coalesce(block["@graph"], F.array(own))
+        return F.coalesce(F.try_variant_get(block, '$["@graph"]', "array<variant>"), F.array(block))
+
+    def text(item: Column, path: str) -> Column:
+        nested = F.try_variant_get(item, path, "map<string,variant>").isNotNull() | F.try_variant_get(item, path, "array<variant>").isNotNull()
+        return F.when(~nested, F.try_variant_get(item, path, "string"))
+
+    def fields(item: Column) -> Column:
+        return F.struct(text(item, '$["@type"]').alias("type"), *(text(item, path).alias(name) for name, path in EVENT_PATHS.items()))
 
-    found = F.flatten(F.transform(F.transform(scripts, lambda s: F.from_json(s, shape)), items))
-    return F.get(F.filter(found, lambda e: (e["@type"] == "Event") & has_value(e["name"])), F.lit(0))
+    found = F.transform(F.flatten(F.transform(F.transform(scripts, F.try_parse_json), items)), fields)
+    return F.get(F.filter(found, lambda e: (e["type"] == "Event") & has_value(e["name"])), F.lit(0))
 
 
 def structured_events(pages: DataFrame, html: str = "html", url: str = "url", text_cap: int | None = None,
@@ -186,12 +285,10 @@ def structured_events(pages: DataFrame, html: str = "html", url: str = "url", te
     """Title, dates, text, place, image and price of each page's event; heading and URL date otherwise."""
     p = pages.withColumn("_e", event_record(F.col(html)))
     j = lambda path: F.nullif(F.col(f"_e.{path}"), F.lit(""))
-    street, city = j("location.address.streetAddress"), F.coalesce(j("location.address.addressLocality"), F.lit(""))
+    street, city = j("street"), F.coalesce(j("city"), F.lit(""))
     address = F.when(street.isNotNull(), F.regexp_replace(F.concat_ws(", ", street, city), "^[, ]+|[, ]+$", ""))
-    image = F.when(j("image").startswith("http"), j("image")).otherwise(
-        F.nullif(F.get_json_object(j("image"), "$.url"), F.lit("")))
-    price = j("offers.price")
-    venue = j("location.name")
+    image = F.when(j("image").startswith("http"), j("image")).otherwise(j("imageUrl"))
+    price, venue = j("price"), j("venue")
     has = F.col("_e").isNotNull()
     bare = F.nullif(strip(strip_tags(F.regexp_extract(F.col(html), r"(?s)<h1[^>]*>(.*?)</h1>", 1))), F.lit(""))
     return p.withColumns({
@@ -204,5 +301,5 @@ def structured_events(pages: DataFrame, html: str = "html", url: str = "url", te
         "venue_name": F.when(~F.lower(venue).isin(list(skip_venues)) if skip_venues else F.lit(True), venue),
         "address": address,
         "image_url": image,
-        "price": F.when(price != "0.00", F.concat_ws(" ", price, F.coalesce(j("offers.priceCurrency"), F.lit("EUR")))),
+        "price": F.when(price != "0.00", F.concat_ws(" ", price, F.coalesce(j("currency"), F.lit("EUR")))),
     }).drop("_e")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from listloom.operators.gate import apply_quota, validate_submission
+from listloom.operators.gate import validate_submission
 from listloom.operators.review import queue_rows
-from listloom.operators.store import path_exists, publish_parts, read_current
+from listloom.operators.store import make_folder, publish_parts, read_current
 from listloom.operators.upsert import durable_upsert
-from listloom.session import checkpointed
 
 OPEN_CONFIDENCE = 0.55
 SUBMISSION = ("id long, title string, start_date string, category string, description string, time string, "
@@ -18,48 +21,90 @@ SUBMISSION = ("id long, title string, start_date string, category string, descri
 OUTCOME = SUBMISSION + ", error string, accepted boolean, confidence double, status string"
 
 
-def judge(batch: DataFrame, open_counts: DataFrame, limit: int = 3) -> DataFrame:
-    """Validate a set of submissions and let at most ``limit`` open ones stand per date."""
-    v = validate_submission(batch)
-    good = apply_quota(v.where("error is null"), open_counts, "id", limit)
-    bad = v.where("error is not null").withColumn("accepted", F.lit(False))
-    return good.unionByName(bad).withColumns({
-        "error": F.when(F.col("error").isNull() & ~F.col("accepted"), "too many submissions for this date")
-        .otherwise(F.col("error")),
-        "confidence": F.when(F.col("accepted"), F.lit(OPEN_CONFIDENCE)),
-        "status": F.when(F.col("accepted"), F.lit("open")),
-    })
+def _kinds(rows: DataFrame, kind: str) -> DataFrame:
+    """Validated submissions, or decisions, with the key that their state is kept under."""
+    if kind == "decision":
+        blank = [F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in (SUBMISSION + ", error string").split(", ")) if c not in ("id", "start_date")]
+        return rows.select("id", "start_date", *blank, F.lit(kind).alias("kind"), F.col("start_date").alias("key"))
+    # what is refused as it stands needs no state, so it is spread
+    return validate_submission(rows).withColumns({
+        "kind": F.lit(kind), "key": F.when(F.col("error").isNull(), F.col("start_date")).otherwise(F.concat(F.lit("!"), F.pmod("id", F.lit(64))))})
 
 
-def open_per_date(spark: SparkSession, root: str, before: int) -> DataFrame:
-    """Submissions per date that a batch finds open: accepted in earlier batches, and not decided since.
+class Stand:
+    """The submissions of one date that are accepted and not decided: at most ``limit``, by which their places are counted.
 
-    Each batch leaves its accepted counts behind, and each decision takes from them, so the queue itself
-    is not read again.
+    Takes the rows of a micro-batch as they come, and holds no more of them than there can be places: decisions
+    free the places of ids that stand, then the least ids that arrived take what is free, and at the end
+    decisions on these free them again. An id that does not stand changes nothing, so a decision counts once.
     """
-    shape = "start_date string, n_open long, batch long"
-    found = spark.createDataFrame([], shape)
-    for part, last in (("counts", before - 1), ("decided", before)):
-        if path_exists(spark, f"{root}/{part}"):
-            found = found.unionByName(spark.read.schema(shape).parquet(f"{root}/{part}").where(F.col("batch") <= last))
-    return found.groupBy("start_date").agg(F.sum("n_open").alias("n_open"))
+
+    def __init__(self, standing: Sequence[int], limit: int):
+        self.standing, self.limit = set(standing), limit
+        self.decided: set[int] = set()
+        self.waiting: list[tuple[int, int, dict]] = []  # a heap of (-id, order, row)
+        self.order = 0
+
+    def decide(self, ids: Iterable[int]) -> None:
+        for i in ids:
+            if i in self.standing:
+                self.standing.remove(i)
+            else:
+                self.decided.add(i)
+
+    def arrive(self, row: dict) -> dict | None:
+        """Hold a valid submission; returns one that can no longer get a place."""
+        self.order += 1
+        heapq.heappush(self.waiting, (-row["id"], -self.order, row))
+        return heapq.heappop(self.waiting)[2] if len(self.waiting) > self.limit else None
+
+    def settle(self) -> list[tuple[dict, bool]]:
+        """(submission, accepted) for those still held."""
+        held = sorted(self.waiting, key=lambda w: (-w[0], -w[1]))
+        free = max(0, self.limit - len(self.standing))
+        taken = [row for _, _, row in held[:free]]
+        self.standing = (self.standing | {row["id"] for row in taken}) - self.decided
+        return [(row, n < free) for n, (_, _, row) in enumerate(held)]
+
+
+def _judged(limit: int):
+    columns = [f.split(" ")[0] for f in OUTCOME.split(", ")]
+
+    def outcome(row: dict, accepted: bool) -> dict:
+        refused = row["error"] is None and not accepted
+        return row | {"error": "too many submissions for this date" if refused else row["error"], "accepted": accepted,
+                      "confidence": OPEN_CONFIDENCE if accepted else None, "status": "open" if accepted else None}
+
+    def judged(key, frames, state) -> Iterator[pd.DataFrame]:
+        stand = Stand(state.get[0] if state.exists else (), limit)
+        for frame in frames:
+            rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
+            stand.decide(r["id"] for r in rows if r["kind"] == "decision")
+            done = [outcome(r, False) for r in rows if r["kind"] != "decision" and r["error"] is not None]
+            late = [stand.arrive(r) for r in rows if r["kind"] != "decision" and r["error"] is None]
+            done += [outcome(r, False) for r in late if r]
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if held := [outcome(r, accepted) for r, accepted in stand.settle()]:
+            yield pd.DataFrame(held, columns=columns)
+        if stand.standing:
+            state.update((sorted(stand.standing),))
+        elif state.exists:
+            state.remove()
+
+    return judged
 
 
 def decide(spark: SparkSession, root: str, decided: DataFrame) -> None:
-    """Free the quota of decided submissions (``id``); an id that was decided before changes nothing.
+    """Free the quota of decided submissions (``id``, and ``start_date`` where the caller has it).
 
-    Decisions count from the next batch on: they are kept under its number, so a replay finds the same.
+    Decisions are one append to a folder that the intake reads as its second stream; whatever part of it a broken
+    write left is completed by repeating it, since a decided id has no place any more and a repeat frees none. They
+    count from the next batch on.
     """
-    done, shape = f"{root}/decisions", "id long"
-    ids = decided.select(F.col("id").cast("long").alias("id")).distinct()
-    if path_exists(spark, done):
-        ids = ids.join(spark.read.schema(shape).parquet(done), "id", "left_anti")
-    out = outcomes(spark, root)
-    number = (out.agg(F.max("batch")).first()[0] or 0) + 1
-    freed = checkpointed(out.where("accepted").join(ids, "id").select("id", "start_date"))
-    freed.select("id").write.mode("append").parquet(done)
-    (freed.groupBy("start_date").agg((-F.count("*")).alias("n_open")).withColumn("batch", F.lit(number))
-     .write.mode("append").partitionBy("batch").parquet(f"{root}/decided"))
+    if "start_date" not in decided.columns:
+        decided = decided.select(F.col("id").cast("long").alias("id")).join(outcomes(spark, root).where("accepted").select("id", "start_date"), "id")
+    decided.select(F.col("id").cast("long").alias("id"), "start_date").distinct().write.mode("append").json(f"{root}/decisions")
 
 
 def review_cases(spark: SparkSession, root: str, now: str) -> DataFrame:
@@ -73,20 +118,22 @@ def start_intake(spark: SparkSession, source: str, root: str, limit: int = 3, fi
                  continuous: bool = False) -> StreamingQuery:
     """Judge JSON submissions as they land in ``source``; outcomes go to ``root/outcomes``.
 
-    Both the outcomes and the per-date counts are written under the batch's own number with
-    overwrite, so a replayed batch gives the same files.
+    Submissions and decisions are one stream, keyed by date; the state of a date is the ids that stand there, so a
+    batch costs what it holds, however many came before. Outcomes are written under the batch's own number with
+    overwrite and the state goes with the progress of the stream, so a replayed batch gives the same files.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        judged = judge(batch, open_per_date(s, root, number), limit)
-        target = f"{root}/outcomes/batch={number}"
-        judged.write.mode("overwrite").parquet(target)
-        (s.read.schema(OUTCOME).parquet(target).where("accepted").groupBy("start_date")
-         .agg(F.count("*").alias("n_open")).write.mode("overwrite").parquet(f"{root}/counts/batch={number}"))
-
-    stream = (spark.readStream.schema(SUBMISSION).option("maxFilesPerTrigger", files_per_batch).json(source))
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/progress")
+        batch.write.mode("overwrite").parquet(f"{root}/outcomes/batch={number}")
+
+    make_folder(spark, f"{root}/decisions")
+
+    def read(schema: str, path: str) -> DataFrame:
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+    rows = _kinds(read(SUBMISSION, source), "submission").unionByName(_kinds(read("id long, start_date string", f"{root}/decisions"), "decision"))
+    judged = rows.groupBy("key").applyInPandasWithState(_judged(limit), OUTCOME, "standing array<long>", "append", "NoTimeout")
+    writer = judged.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/progress")
     if not continuous:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -212,6 +212,82 @@ def test_fourth_submission_is_refused_across_batches(spark):
     assert intake.outcomes(spark, root).count() == 4
 
 
+def test_decisions_free_places_once(spark):
+    """Decided twice, for an id that was never accepted, and with the accepted one of the same batch."""
+    root, landing = fresh_path(spark, "t-intake"), fresh_path(spark, "t-landing")
+    sub = lambda ids, day="2026-07-01": spark.createDataFrame([(i, f"T{i}", day, None, "d", None, None, None, None, None) for i in ids], intake.SUBMISSION)
+
+    def run(ids, day="2026-07-01"):
+        sub(ids, day).coalesce(1).write.mode("append").json(landing)
+        intake.start_intake(spark, landing, root, files_per_batch=100).awaitTermination()
+        return {r["id"]: r["accepted"] for r in intake.outcomes(spark, root).collect()}
+
+    assert run([5, 1, 4, 2, 3]) == {1: True, 2: True, 3: True, 4: False, 5: False}
+    ids = spark.createDataFrame([(2,), (4,), (99,)], "id long")
+    intake.decide(spark, root, ids)
+    intake.decide(spark, root, ids)
+    got = run([6, 7])
+    assert got[6] and not got[7]
+    intake.decide(spark, root, spark.createDataFrame([(8, "2026-07-01"), (1, "2026-07-01"), (3, "2026-07-01")], "id long, start_date string"))
+    assert run([8, 9, 10])[8] and run([11, 12, 13]) == got | {8: True, 9: True, 10: False, 11: True, 12: False, 13: False}
+    assert run([14], "bad day")[14] is False and run([15], "2026-08-01")[15]
+
+
+def test_stand_equals_a_plain_walk():
+    rng = random.Random(7)
+    for _ in range(300):
+        limit, stand, standing, unused = rng.randint(0, 4), (), set(), rng.sample(range(40), 40)
+        for _ in range(5):
+            new, unused = unused[:(n := rng.randint(0, 8))], unused[n:]
+            gone = [rng.randrange(40) for _ in range(rng.randint(0, 6))]
+            keeper = intake.Stand(stand, limit)
+            rows, refused = [("s", i) for i in new] + [("d", i) for i in gone], []
+            rng.shuffle(rows)
+            for kind, i in rows:
+                if kind == "d":
+                    keeper.decide([i])
+                elif (late := keeper.arrive({"id": i})) is not None:
+                    refused.append(late["id"])
+                assert len(keeper.waiting) <= limit
+            settled = {row["id"]: ok for row, ok in keeper.settle()} | {i: False for i in refused}
+            free = max(0, limit - len(standing - set(gone)))
+            taken = set(sorted(new)[:free])
+            assert settled == {i: i in taken for i in new}
+            standing = (standing - set(gone)) | (taken - set(gone))
+            stand = sorted(keeper.standing)
+            assert set(stand) == standing
+
+
+def test_json_array_is_read_by_many_tasks(spark):
+    root = fresh_path(spark, "t-array")
+    rows = [{"k": i, "t": f'quote " back \\ [x], {{y}} {i}', "n": {"a": [i, [i]]}} for i in range(20000)]
+    rows[7] = {"k": "text", "t": 3}
+    texts = {"big": json.dumps(rows), "spread": json.dumps(rows[:50], indent=1), "odd": ' \n[1, "a,b]", null, [2,3], {"k": 5}, {} ]\n ', "empty": "[]", "blank": " [ ] ", "one": '[{"k": 1}]', "object": '{"k": [1]}', "cut": json.dumps(rows[:9])[:-30],
+             "bad": '[{"k": 1}, {"k": oops}]', "twice": "[1][2]", "nothing": ""}
+    spark.createDataFrame(list(texts.items()), "name string, value string").repartition(3, "name").write.partitionBy("name").text(root)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        found = files.json_elements(spark, root).withColumn("name", F.regexp_extract("file", "name=([a-z]+)", 1)).select("name", "number", "element").collect()
+        assert spark.read.option("lineSep", ",").text(f"{root}/name=big").rdd.getNumPartitions() > 5
+        typed = files.read_json_arrays(spark, f"{root}/name=big", "k long, t string", text="element").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in sorted(found, key=lambda r: (r["name"], r["number"])):
+        got.setdefault(r["name"], []).append(json.loads(r["element"]))
+    assert got == {name: json.loads(texts[name]) for name in ("big", "spread", "odd", "one")}
+    assert sorted((r["k"], r["t"]) for r in typed if r["k"] is not None) == [(r["k"], r["t"]) for i, r in enumerate(rows) if i != 7]
+    assert [(r["k"], r["t"], json.loads(r["element"])) for r in typed if r["k"] is None] == [(None, "3", rows[7])]
+
+
+def test_one_odd_graph_item_hides_nothing(spark):
+    block = '{"@graph":[1,{"@type":"Event","name":"G2","location":["a"]}]}'
+    page = spark.createDataFrame([(f'<script type="application/ld+json">{block}</script><h1>no</h1>', "http://s/")], "html string, url string")
+    r = html.structured_events(page).first()
+    assert (r["structured"], r["title"], r["venue_name"]) == (True, "G2", None)
+
+
 def test_versions_replay_and_parts(spark):
     root = fresh_path(spark, "t-store")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "source_id string, v int")
