@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from listloom.functions.patterns import least_pattern, value_at
 from listloom.functions.text import SPACE, bind, squeeze
 
 Rules = Sequence[tuple[Sequence[str], str]]
@@ -47,20 +48,10 @@ GENERIC_IMAGE = (r"(?i)/(fallback[-_ ]?logo|placeholder|default[-_ ]?image|no[-_
 
 
 def keyword_category(text: Column, rules: Rules, default: str | None = "other", whole_words: bool = False) -> Column:
-    """Category of the first rule with a keyword inside the lower-cased text."""
-    def first_rule(t: Column) -> Column:
-        out = None
-        for words, category in rules:
-            if whole_words:
-                hit = t.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(w) for w in words)})(?![\p{{L}}\p{{N}}])")
-            else:
-                hit = F.contains(t, F.lit(words[0]))
-                for w in words[1:]:
-                    hit = hit | F.contains(t, F.lit(w))
-            out = F.when(hit, category) if out is None else out.when(hit, category)
-        return out.otherwise(F.lit(default))
-
-    return bind(F.lower(F.coalesce(text, F.lit(""))), first_rule)
+    """Category of the first rule with a keyword inside the lower-cased text, found in one pass for any number of rules."""
+    pairs = [(word, category) for words, category in rules for word in words]
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(value_at(least_pattern([low], [w for w, _ in pairs], whole_words), [c for _, c in pairs]), F.lit(default))
 
 
 def tiered_category(title: Column, description: Column, rules: Rules = LISTING_RULES,
@@ -74,17 +65,12 @@ def tiered_category(title: Column, description: Column, rules: Rules = LISTING_R
 
 
 def ordered_pattern(texts: Sequence[Column], patterns: Sequence[tuple[str, str]]) -> Column:
-    """Value of the first (pattern, value) whose pattern lies inside any of the texts, else null."""
-    low = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
-    table = F.array(*[F.struct(F.lit(p.lower()).alias("p"), F.lit(v).alias("v")) for p, v in patterns])
-
-    def inside(row: Column) -> Column:
-        hit = F.contains(low[0], row["p"])
-        for t in low[1:]:
-            hit = hit | F.contains(t, row["p"])
-        return hit
+    """Value of the first (pattern, value) whose pattern lies inside any of the texts, else null.
 
-    return F.get(F.filter(table, inside), F.lit(0))["v"]
+    All patterns are looked for in one pass over each text, whose cost does not grow with their number.
+    """
+    low = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
+    return value_at(least_pattern(low, [p.lower() for p, _ in patterns]), [v for _, v in patterns])
 
 
 def resolve_venue(venue: Column, address: Column, title: Column, patterns: Sequence[tuple[str, str]],

@@ -8,6 +8,7 @@ from listloom.functions import classify as C
 from listloom.functions import dates as D
 from listloom.functions import scoring as S
 from listloom.functions import text as X
+from listloom.functions.patterns import least_pattern
 from listloom.functions.showtimes import stamps_to_films, version_label
 from listloom.operators.recurring import curated_rows
 from listloom.plans import inputs as I
@@ -236,6 +237,19 @@ def _title_sql(rules, col: str) -> str:
     return out + " END"
 
 
+SYLLABLES = [c + v for c in "bcdfghjklmnprstvwxyz" for v in "aeiou"]
+# 10,000 rules: every pair of syllables, in an order that is not theirs
+MANY = [SYLLABLES[k // 100] + SYLLABLES[k % 100] for k in ((n * 7919) % 10000 for n in range(10000))]
+
+
+@query("fn13_many_patterns", """WITH s AS (SELECT list_transform(range(100), lambda i: substr('bcdfghjklmnprstvwxyz', CAST(i // 5 + 1 AS INT), 1) || substr('aeiou', CAST(i % 5 + 1 AS INT), 1)) AS syl),
+p AS (SELECT n, syl[((n * 7919) % 10000) // 100 + 1] || syl[(n * 7919) % 100 + 1] AS pattern FROM range(10000) r(n), s)
+SELECT doc_id, CAST(min(n) AS INT) AS rule FROM (SELECT doc_id, lower(text) AS t FROM documents) d LEFT JOIN p ON contains(t, pattern) GROUP BY doc_id""")
+def fn13_many(spark, d):
+    """The first of ten thousand ordered patterns inside every whole text."""
+    return table(spark, d, "documents").select("doc_id", least_pattern([F.lower("text")], MANY).alias("rule"))
+
+
 @query("fn13_tiered_category", f"""WITH {I.LISTINGS}, x AS (SELECT id, lower(title) AS n, regexp_replace(lower(description), '\\s+', ' ', 'g') AS t FROM listings)
 SELECT id, coalesce({_title_sql(C.LISTING_RULES, 'n')}, {_desc_sql()}) AS category FROM x""")
 def fn13_tiered(spark, d):

@@ -55,14 +55,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/listloom/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut lineage through reliable storage, so a lost executor never loses the data."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back: cuts lineage like a checkpoint, but computes the last
+    stage once. Also the folder, for ``discard``.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage like a checkpoint, but computes the last stage once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no table still to be read comes from."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from listloom.functions import classify as C
 from listloom.functions import dates as D
 from listloom.functions import text as X
+from listloom.functions.patterns import least_pattern, trie_regex
 
 
 def values(spark, rows, schema, *cols):
@@ -151,3 +152,28 @@ def test_classifier_order_and_word_mode(spark):
     assert one(spark, C.keyword_category(F.lit("Jeudi barre"), rules, whole_words=True)) == "other"
     assert one(spark, C.tiered_category(F.lit("Grande Foire"), F.lit(None).cast("string"))) == "market"
     assert one(spark, C.tiered_category(F.lit("Mystère"), F.lit("une visite\n guidée"))) == "exhibition"
+
+
+def test_many_patterns_equal_the_chain(spark):
+    """Against one test after the other: overlapping and nested patterns, marks with a meaning of their own, whole words."""
+    rng = random.Random(4)
+    letters = "ab é.*(|^$\\[]-x1"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    for size, whole in ((1, False), (3, True), (40, False), (40, True), (400, False), (400, True)):
+        patterns = [word(5) for _ in range(size)] + ["ab", "ab é", "a"]
+        texts = [(i, word(12), word(20) if i % 3 else None) for i in range(150)]
+        edge = r"(?<![^\W_]){}(?![^\W_])"
+        inside = lambda p, t: bool(re.search(edge.format(re.escape(p)), t)) if whole else p in t
+        want = {i: next((n for n, p in enumerate(patterns) if any(inside(p, t) for t in (a, b or ""))), None) for i, a, b in texts}
+        df = spark.createDataFrame(texts, "i int, a string, b string")
+        assert {r[0]: r[1] for r in df.select("i", least_pattern([F.col("a"), F.col("b")], patterns, whole)).collect()} == want, (size, whole)
+    df = spark.createDataFrame([("xyz",), ("",), (None,)], "a string")
+    assert [r[0] for r in df.select(least_pattern([F.col("a")], ["q", "", "x"])).collect()] == [1, 1, 1]
+    assert [r[0] for r in df.select(least_pattern([F.col("a")], ["y", ""])).collect()] == [0, 1, 1]
+    assert [r[0] for r in df.select(least_pattern([F.col("a")], [])).collect()] == [None] * 3
+
+
+def test_trie_grows_with_words_not_alternatives():
+    words = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    assert trie_regex(words).count("|") == 99 and trie_regex(["one", "only", "on"]) == "(?:on(?:e|ly)?)"
+    assert re.fullmatch(trie_regex(words + ["a"]), "a") and not re.fullmatch(trie_regex(words), "a")
