@@ -103,10 +103,6 @@ def commune(address: Column, tokens: Sequence[str], by_code: Mapping[str, str])
     return F.when(code == "", loose).otherwise(F.coalesce(exact, F.try_element_at(codes, code)))
 
 
-def commune_in_text(text: Column, names: Sequence[tuple[str, str]], default: str) -> Column:
-    return F.coalesce(ordered_pattern([text], names), F.lit(default))
-
-
 def venue_from_address(address: Column, overrides: Mapping[str, str] | None = None, cap: int | None = None) -> Column:
     """Part of an address before its postcode and before "number + street word"."""
     a = squeeze(F.coalesce(address, F.lit("")))

@@ -215,10 +215,6 @@ def row_key(source: Column, title: Column, date: Column, venue: Column) -> Colum
                        normalize_title(venue))
 
 
-def exact_key(title: Column, date: Column) -> Column:
-    return F.concat(normalize_title(title), F.lit("|"), date10(date))
-
-
 def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda t: t != "")
 

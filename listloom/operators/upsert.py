@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from listloom.functions.text import row_key, short_key
 from listloom.operators.project import LISTING_COLUMNS
+from listloom.session import stored
 from listloom.windows import first_per_key, range_bucket, side_by_side
 
 TRANSLATIONS = ("title_en", "title_fr", "description_en", "description_fr", "venue_name_en", "venue_name_fr")
@@ -139,21 +140,22 @@ def priority_merge(base: DataFrame, batch: DataFrame, priorities: Mapping[str, i
         F.col("created_at").alias("_created"))
     n = batch.withColumn("_key", key).withColumn("_rank", F.struct((-pri).alias("_p"), conf.alias("_c")))
     n = n.join(owner, F.col("_key") == F.col("_ok"), "left")
-    hits, fresh = n.where("_ok is not null"), n.where("_ok is null")
-    beating = hits.where(F.col("_rank") > F.col("_held"))
-    # record highs: rows above everything earlier under the same key
-    highs = _record_highs(beating, position)
-    winner = first_per_key(beating, ["_key"], [F.col("_rank").desc(), F.col(position).asc()])
-    # a step up in priority inherits the creation time, a step up in confidence alone brings its own
-    own = (highs.where("_own").groupBy(F.col("_key").alias("_hk"))
-           .agg(F.max_by(F.struct(F.col("created_at").alias("at")), position).alias("_h")))
-    handed = winner.join(own, F.col("_key") == F.col("_hk"), "left").withColumn(
-        "created_at", F.when(F.col("_hk").isNotNull(), F.col("_h.at")).otherwise(F.coalesce("_created", "created_at")))
-    kept = b.join(winner.select(F.col("_opos").alias(position)), position, "left_anti")
-    merged = (kept.select(*base.columns).unionByName(handed.select(*base.columns))
-              .unionByName(fresh.select(*base.columns)))
-    counts = (side_by_side(fresh.agg(F.count("*").alias("n_new")), highs.agg(F.count("*").alias("n_updated")),
-                           hits.agg(F.count("*").alias("_hits")))
+    # what decides, without the rows themselves: base and batch are read for it once
+    hits = stored(n.select(position, "_key", "_rank", "_held", "_opos", "_created", "created_at", F.col("_ok").isNull().alias("_fresh")), "merge-hits")
+    # record highs: rows above everything earlier under the same key; the last of them is the winner
+    highs = _record_highs(hits.where(~F.col("_fresh") & (F.col("_rank") > F.col("_held"))), position)
+    last = highs.groupBy("_key").agg(
+        F.max(position).alias(position), F.first("_opos").alias("_opos"), F.first("_created").alias("_created"), F.max_by("created_at", position).alias("_mine"),
+        # a step up in priority inherits the creation time, a step up in confidence alone brings its own
+        F.max_by(F.struct(F.col("created_at").alias("at")), F.when(F.col("_own"), F.col(position))).alias("_h"), F.count("*").alias("_n"))
+    winners = last.select(position, "_opos", F.when(F.col("_h").isNotNull(), F.col("_h.at")).otherwise(F.coalesce("_created", "_mine")).alias("_at"), "_n")
+    fresh = hits.where("_fresh").select(position, F.lit(None).cast(hits.schema["_opos"].dataType).alias("_opos"), F.col("created_at").alias("_at"), F.lit(None).cast("long").alias("_n"))
+    taken = stored(winners.unionByName(fresh), "merge-taken")
+    kept = base.join(taken.where("_opos is not null").select(F.col("_opos").alias(position)), position, "left_anti")
+    added = batch.join(taken.select(position, "_at"), position).withColumn("created_at", F.col("_at"))
+    merged = kept.select(*base.columns).unionByName(added.select(*base.columns))
+    counts = (side_by_side(taken.agg(F.count_if(F.col("_opos").isNull()).alias("n_new"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_updated")),
+                           hits.agg(F.count_if(~F.col("_fresh")).alias("_hits")))
               .select("n_new", "n_updated", (F.col("_hits") - F.col("n_updated")).alias("n_duplicate")))
     return merged, counts
 
@@ -164,7 +166,7 @@ def _record_highs(rows: DataFrame, position: str) -> DataFrame:
     ``_own`` marks those that beat the row held until then on confidence alone. A running maximum in two levels: inside position ranges of a key, then over the ranges' maxima,
     so a key with a large share of the batch is spread over many tasks.
     """
-    t = rows.withColumn("_rb", range_bucket(rows, position))
+    t = rows.withColumn("_rb", range_bucket(position))
     inside = Window.partitionBy("_key", "_rb").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("_pk").orderBy("_prb").rowsBetween(Window.unboundedPreceding, -1)
     tops = (t.groupBy(F.col("_key").alias("_pk"), F.col("_rb").alias("_prb")).agg(F.max("_rank").alias("_top"))

@@ -186,3 +186,8 @@ def ord4(spark, d):
 @query("ord5_day_programme", f"""WITH {FILMS} SELECT title, array_to_string(times, ',') AS times, split_part(times[1], ':', 1)::INT AS hour FROM dd WHERE day = '{I.AS_OF}'""")
 def ord5(spark, d):
     return R.day_programme(_films(spark, d), I.AS_OF).withColumn("times", F.array_join("times", ","))
+
+
+@query("agg1_distinct_sources", "SELECT DISTINCT source AS source_id FROM documents WHERE source IS NOT NULL")
+def agg1_sources(spark, d):
+    return R.distinct_sources(table(spark, d, "documents").withColumnRenamed("source", "source_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listloom.functions.dates import MONTHS_FR
 from listloom.functions.scoring import with_confidence
 from listloom.operators import project as P
 from listloom.operators.dedup import keep_first
@@ -243,3 +244,13 @@ def src10(spark, d):
     grid = body.unionByName(frame).withColumns({"week_start": F.lit("2024-05-27"), "position": F.col("x")})
     films = posts.grid_films(grid)
     return films.select("page", "title", "duration", F.explode("showtimes").alias("day", "times")).select("page", "title", "duration", "day", F.explode("times").alias("time"))
+
+
+@query("src10_week_of", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 > 0 THEN
+  CASE WHEN o_orderkey % 28 > (o_orderkey * 5) % 28 THEN DATE '2024-02-01' ELSE DATE '2024-03-01' END + (o_orderkey % 28)::INT END AS week FROM orders""")
+def src10_week(spark, d):
+    """The first day of the week that a timetable names; the week may start in the month before."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Semaine Du "), (k % 28 + 1).cast("string"), F.lit(" au "), (k * 5 % 28 + 1).cast("string"), F.lit(" mars"))
+    named = F.when(k % 5 > 0, text).otherwise("Programme")
+    return table(spark, d, "orders").select(k.alias("id"), posts.week_of(named, F.lit("2024-06-15").cast("date"), MONTHS_FR).alias("week"))

@@ -162,3 +162,9 @@ def rev4(spark, d):
   QUALIFY row_number() OVER (PARTITION BY status ORDER BY confidence, created_at DESC, id) <= 50""")
 def ord1(spark, d):
     return R.with_snapshot(R.list_queue(I.queue(spark, d), "all", "view", 0.1, 0.6, 50)).select("id", "status", "confidence", "event.title")
+
+
+@query("ups5_duplicate_ids", "SELECT 'c' || (c_custkey % 100) AS id, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+def ups5_duplicates(spark, d):
+    """Ids that more than one row key carries."""
+    return U.duplicate_ids(table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey") % 100).alias("id")))

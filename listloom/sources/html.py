@@ -38,11 +38,6 @@ def attribute_values(html: Column, tag: str, attribute: str) -> Column:
     return F.transform(found, unescape)
 
 
-def meta_content(html: Column, name: str) -> Column:
-    p = rf"(?is)<meta\s[^>]*(?:property|name)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']"
-    return F.nullif(unescape(F.regexp_extract(html, p, 1)), F.lit(""))
-
-
 # --- nested blocks: one pass of the standard parser per page ---------------------------------------
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from listloom.operators.gate import validate_submission
 from listloom.operators.review import queue_rows
-from listloom.operators.store import make_folder, publish_parts, read_current
+from listloom.operators.store import last_commit, make_folder, publish_parts, read_current
 from listloom.operators.upsert import durable_upsert
 
 OPEN_CONFIDENCE = 0.55
@@ -149,21 +149,26 @@ def start_upserts(spark: SparkSession, source: str, schema: str, root: str, tabl
     """Every micro-batch is folded into the stored table of its sources, one version per source.
 
     A batch's number is its version, and publishing a version that is already current does nothing:
-    replays change nothing. Only the parts of the sources in the batch are read and rewritten.
+    replays change nothing. Only the parts of the sources in the batch are read and rewritten. If another writer has
+    committed one of these parts meanwhile, the batch fails with ``Conflict`` and is taken up again by a restart.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        # the number of distinct sources is bounded by the source registry
-        names = [r[0] for r in batch.select("source_id").distinct().orderBy("source_id").collect()]
-        if not names:
-            return
-        stored = read_current(s, root, table, names)
-        if stored is None:
-            stored = batch.limit(0).drop(position).withColumns({
-                "row_key": F.lit(None).cast("string"), "absent_since": F.lit(None).cast("string")})
-        merged = durable_upsert(stored, batch, names, now, position, guard_empty=guard_empty)
-        publish_parts(merged, root, table, "source_id", now, version=number)
+        s, base = batch.sparkSession, last_commit(batch.sparkSession, root)
+        batch = batch.persist()  # planned and read once
+        try:
+            # the number of distinct sources is bounded by the source registry
+            names = [r[0] for r in batch.select("source_id").distinct().orderBy("source_id").collect()]
+            if not names:
+                return
+            stored = read_current(s, root, table, names)
+            if stored is None:
+                stored = batch.limit(0).drop(position).withColumns({
+                    "row_key": F.lit(None).cast("string"), "absent_since": F.lit(None).cast("string")})
+            merged = durable_upsert(stored, batch, names, now, position, guard_empty=guard_empty)
+            publish_parts(merged, root, table, "source_id", now, version=number, base=base)
+        finally:
+            batch.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/progress-{table}")

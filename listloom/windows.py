@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
+#: Positions are cut into ranges of 2 to this power: no range of a key has more rows.
+RANGE_BITS = 24
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -36,29 +37,23 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def range_bucket(df: DataFrame, order_col: str, ranges: int = RANGES) -> Column:
-    """Bucket number of a numeric position, cut at approximate quantiles.
+def range_bucket(order_col: str) -> Column:
+    """Number of the range that a whole-number position lies in.
 
-    Only ``ranges`` numbers reach the driver. The cuts need not be exact: any cut gives the same
-    final result, they only balance the work.
+    Positions are unique within a key, so a range bounds the rows of a window over (key, range) at any input size,
+    and the number is known without a look at the data. Below 2^48 a key has at most 2^24 ranges.
     """
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(order_col, probs, 1000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(bounds, lambda b: b < F.col(order_col)))
+    return F.shiftright(F.col(order_col).cast("long"), RANGE_BITS)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: Column, out: str) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order_col`` order, in two levels.
 
     The key is cut into position ranges: a window runs inside each (key, range), and the totals of
-    the earlier ranges, at most ``RANGES`` rows per key, are added back. No task sees a whole key.
-    ``order_col`` must be numeric and unique within a key.
+    the earlier ranges, one row each, are added back. No task sees a whole key, and nothing runs before the
+    result is asked for. ``order_col`` must hold whole numbers that are unique within a key.
     """
-    tagged = df.withColumn("_rb", range_bucket(df, order_col)).withColumn("_v", F.coalesce(value.cast("long"), F.lit(0)))
+    tagged = df.withColumn("_rb", range_bucket(order_col)).withColumn("_v", F.coalesce(value.cast("long"), F.lit(0)))
     parts = [*keys, "_rb"]
     totals = tagged.groupBy(*parts).agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
