@@ -380,17 +380,17 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return pickle.loads(found[0]) if found else train([], [])
 
 
-def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` from 0 to 1: the highest over all overlapping windows of the whole text.
+def score(docs: DataFrame, network: Network, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` from 0 to 1: the highest over all overlapping windows of the whole text.
 
     A null text is an empty one; empty texts get the lowest score. Rows and other columns stay as they
-    are, but for an older ``score``.
+    are, but for an older one of that name.
     """
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(network)
-    base = docs.drop("score")
-    schema = to_arrow_schema(base.withColumn("score", F.lit(0.0)).schema)
+    base = docs.drop(name)
+    schema = to_arrow_schema(base.withColumn(name, F.lit(0.0)).schema)
 
     def scored(parts):
         for part in parts:
@@ -403,7 +403,7 @@ def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
                     values.append(model.value.scores(held))
                     held, size = [], 0
             values.append(model.value.scores(held))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(values), pa.float64())], schema=pa.schema([*part.schema, schema.field("score")]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(values), pa.float64())], schema=pa.schema([*part.schema, schema.field(name)]))
 
     return base.mapInArrow(scored, from_arrow_schema(schema))
 
@@ -425,5 +425,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def keep_civil(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below ``threshold``; edge cases as in ``toxicity``."""
-    columns = docs.columns
-    return score(docs, fitted(docs, labels, doc_id, text), text).where(F.col("score") < threshold).select(*(F.col(f"`{c}`") for c in columns))
+    own = "score" + "_" * max(map(len, docs.columns))  # a name that no column of the table has
+    return score(docs, fitted(docs, labels, doc_id, text), text, own).where(F.col(own) < threshold).drop(own)

@@ -145,7 +145,9 @@ def test_toxicity_of_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in tox.toxicity(odd, none).collect()} == {0}
     assert tox.toxicity(odd.limit(0), labels).collect() == []
-    assert tox.keep_civil(odd, none).columns == odd.columns and tox.keep_civil(odd, none).count() == odd.count()
+    civil = tox.keep_civil(odd, none)
+    assert civil.columns == odd.columns and civil.count() == odd.count()
+    assert {r[0] for r in civil.select("score").collect()} == {"x"}  # a column of the table, not the network's
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
