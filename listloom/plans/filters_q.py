@@ -76,7 +76,8 @@ def flt7(spark, d):
   AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) FROM pages WHERE NOT contains(url, 'spam'))""")
 def flt8(spark, d):
     p = table(spark, d, "pages").withColumn("host", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)).where(~F.col("host").startswith("spam"))
-    return P.url_filter(p, fragments=("/en/", "/fr/"), deny_last=("25", "676", "414")).select("page_id", "url")
+    allowed = p.where(~F.contains("url", F.lit("spam"))).select("host").distinct()
+    return P.url_filter(p, fragments=("/en/", "/fr/"), deny_last=("25", "676", "414")).join(allowed, "host", "left_semi").select("page_id", "url")
 
 
 @query("flt9_generic_image", """WITH e AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'data:image/png;base64,xx' WHEN 2 THEN 'http://x/img/Fallback-Logo_2.PNG?v=1'
