@@ -32,7 +32,7 @@ def section_records(docs: DataFrame, text: str, year: int, begin: str = "upcomin
                     owner: str = "Event by", dated: str = DATED_LINE, title_cap: int | None = None) -> DataFrame:
     """Records between two marker lines: a dated line opens one, the next longer line is its title.
 
-    Works inside the row with array functions: no shuffle, and a long document is one value anyway.
+    A line that names the owner is the description and never a title: without another one there is no record. Works inside the row with array functions: no shuffle, and a long document is one value anyway.
     """
     # a cheap test first: without an opening line there is nothing to take apart
     d = docs.where(F.col(text).rlike(rf"(?imu)^[\s\p{{Z}}]*{begin}[\s\p{{Z}}]*$")).withColumn("_l", lines_of(F.col(text)))
@@ -48,7 +48,7 @@ def section_records(docs: DataFrame, text: str, year: int, begin: str = "upcomin
         F.slice("_s", at + 2, F.coalesce(F.get("_d", k + 1), F.size("_s")) - at - 1).alias("body")))
     r = d.select(*docs.columns, F.posexplode(parts).alias("record", "_r"))
     body, at = F.col("_r.body"), F.col("_at")
-    r = r.withColumn("_at", F.array_min(_places(body, lambda s: F.length(s) > 3)))
+    r = r.withColumn("_at", F.array_min(_places(body, lambda s: (F.length(s) > 3) & ~s.startswith(owner))))
     credits = F.filter(body, lambda s, i: (i > at) & s.startswith(owner))
     g = lambda i: F.regexp_extract("_r.head", dated, i)
     month = F.coalesce(month_number(g(2), MONTHS_SHORT), F.lit(1))

@@ -34,3 +34,7 @@ def test_hosts_known_only_by_unwanted_urls(same):
 def test_references_cut_short(same, name):
     cut = "'<html lang=\"en\"><nav><a href=\"/x?a=1&copy=2\">y</a></nav><h1>Night &amp; day &amp</h1><p>One &amp</p><p>Two &copy &middot; &quot</p><div class=\"ad\">Bar &amp;&amp</div>'"
     same(name, pages=f"SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN {cut} ELSE html END AS html FROM '{{t}}'")
+
+
+def test_no_line_long_enough_for_a_title(same):
+    same("src8_sections", documents="SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'De.' WHEN 1 THEN 'A' || chr(10) || 'Bcde' ELSE text END AS text FROM '{t}'")
