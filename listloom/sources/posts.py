@@ -14,8 +14,8 @@ from listloom.functions.text import strip
 # How a dated line of a section looks.
 DATED_LINE = r"^[\p{L}\p{N}_]{3},\s*(\d{1,2})\s*([\p{L}\p{N}_]{3})\s*at\s*(\d{2}:\d{2})\s*(UTC|UTC[+-]\d+)"
 POST_DATES = (
-    r"(?iu)\d{1,2}\s*(?:juin|juillet|ao[uû]t|septembre|octobre|novembre|d[eé]cembre|janvier|f[eé]vrier|mars|avril|mai)\s*(?:\d{4})?",
-    r"\d{1,2}/\d{1,2}/\d{4}",
+    r"(?iu)(?<!\d)\d{1,2}\s*(?:juin|juillet|ao[uû]t|septembre|octobre|novembre|d[eé]cembre|janvier|f[eé]vrier|mars|avril|mai)(?!\p{L})\s*(?:\d{4})?",
+    r"(?<!\d)\d{1,2}/\d{1,2}/\d{4}(?!\d)",
 )
 
 

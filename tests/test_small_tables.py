@@ -38,3 +38,8 @@ def test_references_cut_short(same, name):
 
 def test_no_line_long_enough_for_a_title(same):
     same("src8_sections", documents="SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'De.' WHEN 1 THEN 'A' || chr(10) || 'Bcde' ELSE text END AS text FROM '{t}'")
+
+
+def test_no_date_inside_other_words_and_numbers(same):
+    texts = "['Card 4497672581733027 aoution', 'by 12 Marshalls', '1234 mai', 'a 7' || chr(10) || 'junior 112/12/2024']"
+    same("src9_posts", documents=f"SELECT doc_id, ({texts})[doc_id % 4 + 1] AS text FROM '{{t}}'")
