@@ -226,28 +226,14 @@ def _marked(docs: DataFrame, doc_id: str, text: str, words: int, alike_words: in
     return _with_hash(docs, doc_id, text).mapInArrow(marked, f"doc_id {key}, a long, b long, fp long, keys array<long>")
 
 
-def alike_links(marked: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, group: int = GROUP) -> DataFrame:
-    """(u, v): fingerprints of texts that meet and are alike by their whole sets of shingles.
+def _one_each(docs: DataFrame, doc_id: str, text: str, ends: DataFrame) -> DataFrame:
+    """(a, b, text) for (a, b, least): of the copies of a text one row is read."""
+    found = _with_hash(docs, doc_id, text).alias("d").join(ends.alias("e"), F.expr("d.a = e.a and d.b = e.b and d.doc_id <=> e.least"))
+    return stored(found.select("d.a", "d.b", "d.text").dropDuplicates(["a", "b"]), "alike-found")
 
-    Of up to ``group`` different texts that meet, every pair is checked; of more, each is checked with one
-    of them, another one in every band. Pairs that ``links`` joins already are left out.
-    """
-    # copies collapse first
-    own = stored(marked.groupBy("a", "b").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("doc_id").alias("least")), "alike-texts")
-    rows = own.select(F.struct("a", "b", "fp").alias("x"), F.posexplode("keys").alias("band", "key"))
-    turn = F.struct(F.xxhash64("band", "x.a", "x.b"), "x")
-    sized = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(turn).getField("x").alias("hub")).where("n > 1")
-    met = stored(rows.join(sized, ["band", "key"]), "alike-met")
-    small = met.where(F.col("n") <= group).groupBy("band", "key").agg(F.collect_list("x").alias("held")).select(F.explode("held").alias("x"), "held")
-    small = small.select("x", F.explode("held").alias("y")).where("x < y")
-    large = met.where((F.col("n") > group) & (F.col("x") != F.col("hub"))).select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y"))
-    pairs = small.union(large).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) > RADIUS)
-    pairs = stored(pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("a", "b", "fp"))).distinct(), "alike-pairs")
-    ends = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
-    ends = own.select("a", "b", "least").join(ends, ["a", "b"])
-    # of the copies of a text one row is read
-    found = _with_hash(docs, doc_id, text).alias("d").join(ends.alias("e"), F.expr("d.a = e.a and d.b = e.b and d.doc_id <=> e.least")).select("d.a", "d.b", "d.text")
-    found = stored(found.dropDuplicates(["a", "b"]), "alike-found")
+
+def _checked(pairs: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """(u, v): the fingerprints of those pairs whose texts are alike by their whole sets of shingles."""
     both = pairs.join(found.toDF("xa", "xb", "x"), ["xa", "xb"]).select("ya", "yb", "xfp", "yfp", "x").join(found.toDF("ya", "yb", "y"), ["ya", "yb"])
 
     def checked(parts):
@@ -258,12 +244,87 @@ def alike_links(marked: DataFrame, docs: DataFrame, doc_id: str, text: str, word
     return both.select("xfp", "yfp", "x", "y").mapInArrow(checked, "u long, v long")
 
 
-def _placed(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """doc_id, fp, component_id for (doc_id, fp), over ``links`` and further edges between fingerprints."""
+def _hashed(found: DataFrame, words: int) -> DataFrame:
+    """(a, b, hashes): the different hashes of the word shingles of every text."""
+    def hashed(parts):
+        from xxhash import xxh64_intdigest
+
+        for part in parts:
+            sets = [np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in _shingles(t, words)), np.uint64)).view(np.int64).tolist() for t in as_bytes(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sets, pa.list_(pa.int64()))], ["a", "b", "hashes"])
+
+    return found.mapInArrow(hashed, "a long, b long, hashes array<long>")
+
+
+def _across(sets: DataFrame) -> DataFrame:
+    """(x, y), structs of (a, b, fp): from (a, b, fp, component, hashes), all pairs of texts of two components that can be alike.
+
+    With all hashes in order of rarity, two sets that are ALIKE first agree where enough of both is left for the
+    share they need. Hashes of one component only are in no such pair: they come first, and need no row. So
+    what differs within a template, not the template, decides who meets.
+    """
+    part, whole = ALIKE
+    each = sets.select("a", "b", "component", F.explode("hashes").alias("h"))
+    spread = each.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("h", "df")
+    held = each.join(spread, "h").groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("held"))
+    own = sets.select("a", "b", F.struct("a", "b", "fp").alias("x"), "component", F.size("hashes").alias("n")).join(held, ["a", "b"])
+    rows = own.select("x", "component", "n", F.size("held").alias("m"), F.posexplode("held").alias("at", "one")).select(
+        "x", "component", "n", (F.col("m") - F.col("at")).alias("rest"), F.col("one.h").alias("h"))
+    # the greater set needs the share of itself, the lesser one twice what both need of their sum
+    rows = stored(rows.where(F.col("rest") * whole >= F.col("n") * part), "alike-prefix")
+    lesser = rows.where(F.col("rest") * (part + whole) >= F.col("n") * 2 * part).alias("i")
+    met = lesser.join(rows.alias("p"), F.expr(
+        "i.h = p.h and i.component <> p.component and (i.n < p.n or i.n = p.n and i.x < p.x) "
+        f"and least(i.rest, p.rest) * {part + whole} >= (i.n + p.n) * {part}"))
+    return met.select(F.col("i.x").alias("x"), F.col("p.x").alias("y"))
+
+
+def _flat(pairs: DataFrame) -> DataFrame:
+    """Each pair (x, y) of structs once, as (xa, xb, xfp, ya, yb, yfp)."""
+    return stored(pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("a", "b", "fp"))).distinct(), "alike-pairs")
+
+
+def alike_links(marked: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, near: DataFrame, group: int = GROUP) -> DataFrame:
+    """(u, v): edges that connect the fingerprints of all texts that meet and are alike by their whole sets of shingles,
+    and whatever ``near`` connects.
+
+    Of up to ``group`` different texts that meet, every pair is checked. Of more, each is first checked with one of
+    them, another one in every band; groups that then hold several components are gone through once more, by
+    every pair of two components that can be alike. No pair is left out because many texts meet.
+    """
+    # copies collapse first
+    own = stored(marked.groupBy("a", "b").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("doc_id").alias("least")), "alike-texts")
+    rows = own.select(F.struct("a", "b", "fp").alias("x"), F.posexplode("keys").alias("band", "key"))
+    turn = F.struct(F.xxhash64("band", "x.a", "x.b"), "x")
+    sized = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(turn).getField("x").alias("hub")).where("n > 1")
+    met = stored(rows.join(sized, ["band", "key"]), "alike-met")
+    small = met.where(F.col("n") <= group).groupBy("band", "key").agg(F.collect_list("x").alias("held")).select(F.explode("held").alias("x"), "held")
+    small = small.select("x", F.explode("held").alias("y")).where("x < y")
+    large = met.where(F.col("n") > group)
+    hubs = large.where(F.col("x") != F.col("hub")).select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y"))
+    pairs = _flat(small.union(hubs).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) > RADIUS))
+    ends = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
+    found = _one_each(docs, doc_id, text, own.select("a", "b", "least").join(ends, ["a", "b"]))
+    edges = near.union(_checked(pairs, found, words))
+    if large.isEmpty():
+        return edges
+    parts = connected_components(edges)
+    placed = large.select("band", "key", "x", F.col("x.fp").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("band", "key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band", "key")
+    left = stored(placed.join(several, ["band", "key"]).select("x.a", "x.b", "x.fp", "component").distinct(), "alike-open")
+    edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    if left.isEmpty():
+        return edges
+    found = _one_each(docs, doc_id, text, own.select("a", "b", "least").join(left.select("a", "b"), ["a", "b"]))
+    sets = stored(left.join(_hashed(found, words), ["a", "b"]), "alike-sets")
+    return edges.union(_checked(_flat(_across(sets)), found, words))
+
+
+def _placed(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id for (doc_id, fp), over edges between fingerprints."""
     # copies collapse into one fingerprint before anything is paired up
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(distinct.select("fp"))
-    parts = connected_components(edges if more is None else edges.union(more)).withColumnRenamed("node", "fp")
+    parts = connected_components(edges).withColumnRenamed("node", "fp")
     placed = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = placed.join(roots, "component").select("fp", "component_id")
@@ -282,7 +343,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ignored, whatever their names. An empty table gives an empty result.
     """
     marked = stored(fingerprints(docs, doc_id, text, words), "simhash-prints")
-    return _placed(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _placed(marked, links(marked.select("fp").distinct())).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, alike_words: int = 5) -> DataFrame:
@@ -295,7 +356,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     one of them. A null id goes if its component has an id.
     """
     marked = stored(_marked(docs, doc_id, text, words, alike_words), "simhash-prints")
-    found = _placed(marked.select("doc_id", "fp"), alike_links(marked, docs, doc_id, text, alike_words))
+    near = links(marked.select("fp").distinct())
+    found = _placed(marked.select("doc_id", "fp"), alike_links(marked, docs, doc_id, text, alike_words, near))
     own_id = "id" + "_" * max(map(len, docs.columns))  # a name that no column of the table has
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id)).distinct()
     return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(own_id)), "left_anti")

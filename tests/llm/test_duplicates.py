@@ -211,6 +211,40 @@ def test_stage_finds_five_word_similarity(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == plain_kept(list(enumerate(texts)))
 
 
+def test_pairs_in_one_template_are_all_found(spark):
+    """250 pairs alike by over 0.8 share a template that makes all texts meet, though texts of two pairs are not alike."""
+    rng = random.Random(21)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for k in range(250):
+        pair = template + [f"p{k}x{j}" for j in range(28)]
+        for side in "ab":
+            texts.append(" ".join(pair + [f"{side}{k}y{j}" for j in range(22)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == plain_kept(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("group", [1, 4])
+def test_large_groups_lose_no_pair(spark, group):
+    """Chains and templates of few words, with a limit that makes all groups large: components as by brute force."""
+    rng = random.Random(group)
+    texts = []
+    for _ in range(6):
+        template = [f"w{rng.randrange(40)}" for _ in range(rng.randint(30, 90))]
+        for _ in range(12):
+            words = list(template)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(8)}"
+            texts.append(" ".join(words[rng.randint(0, 6):]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = simhash.stored(simhash._marked(docs, "doc_id", "text", 3, 5), "marked")
+    near = simhash.links(marked.select("fp").distinct())
+    edges = simhash.alike_links(marked, docs, "doc_id", "text", 5, near, group)
+    found = simhash._placed(marked.select("doc_id", "fp"), edges).collect()
+    assert {r.doc_id for r in found if r.doc_id == r.component_id} == plain_kept(list(enumerate(texts)))
+
+
 def test_partition_that_ends_with_a_large_group():
     """The last group is above the limit and fills its batch, with or without an empty batch after it."""
     import pyarrow as pa
