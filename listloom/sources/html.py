@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from listloom.functions.dates import dates_in_text
 from listloom.functions.text import has_value, squeeze, strip, strip_tags, unescape, url_date
 
+#: Characters of markup that are taken apart before their rows leave a Python task, whatever the session's batches hold.
+CHUNK_CHARS = 1 << 20
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -38,6 +40,21 @@ def attribute_values(html: Column, tag: str, attribute: str) -> Column:
     return F.transform(found, unescape)
 
 
+def _bounded_batches(pages: DataFrame) -> None:
+    """Bound Arrow batches by bytes, not only by rows; the session's own limit stays where one is set."""
+    conf, key = pages.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, str(2**31 - 1)).rstrip("bB") or 0) >= 2**28:
+        conf.set(key, str(8 << 20))
+
+
+def _in_chunks(batches: Iterator[pd.DataFrame], html: str) -> Iterator[pd.DataFrame]:
+    """The same rows in parts of about CHUNK_CHARS characters of markup, one page at least."""
+    for batch in batches:
+        size = batch[html].str.len().fillna(0).astype("int64").cumsum() // CHUNK_CHARS
+        for _, part in batch.groupby(size.to_numpy(), sort=False):
+            yield part
+
+
 # --- nested blocks: one pass of the standard parser per page ---------------------------------------
 
 @dataclass(frozen=True)
@@ -124,7 +141,7 @@ def extract_fields(pages: DataFrame, fields: Mapping[str, Field], html: str = "h
         return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _in_chunks(batches, html):
             rows = []
             for markup in batch[html]:
                 reader = _Reader(picks)
@@ -133,6 +150,7 @@ def extract_fields(pages: DataFrame, fields: Mapping[str, Field], html: str = "h
             out = pd.DataFrame(rows, columns=list(fields), index=batch.index)
             yield pd.concat([batch[keep], out], axis=1)
 
+    _bounded_batches(pages)
     return pages.select(*keep, html).mapInPandas(run, schema)
 
 
@@ -208,7 +226,7 @@ def element_intervals(pages: DataFrame, html: str = "html") -> DataFrame:
     schema = T.StructType([pages.schema[c] for c in keep]).add("pieces", T.ArrayType(T.StringType())).add("elements", T._parse_datatype_string(_ELEMENTS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _in_chunks(batches, html):
             pieces, elements = [], []
             for markup in batch[html]:
                 reader = _Intervals()
@@ -218,6 +236,7 @@ def element_intervals(pages: DataFrame, html: str = "html") -> DataFrame:
                 elements.append([{"number": n, "tag": t, "classes": c, "first": a, "past": b, "last": z} for n, (t, c, a, b, z) in enumerate(reader.elements)])
             yield pd.concat([batch[keep], pd.DataFrame({"pieces": pieces, "elements": elements}, index=batch.index)], axis=1)
 
+    _bounded_batches(pages)
     return pages.select(*keep, html).mapInPandas(run, schema)
 
 

@@ -188,3 +188,16 @@ def test_references_cost_the_same_wherever_they_stand_in_the_tables(spark):
     got = spark.range(0, 4000, 1, 1).select("id", X.normalize_title(dressed).alias("n")).collect()
     assert time.time() - start < 30
     assert all(r.n == "word " * 20 + f"{r.id} cafe lA 5 fin ij" for r in got)
+
+
+def test_pages_are_taken_apart_in_small_parts(monkeypatch):
+    """Rows leave a task before many pages are held as elements; a null page and one beyond the limit keep their places."""
+    import pandas as pd
+
+    from listloom.sources import html as H
+
+    monkeypatch.setattr(H, "CHUNK_CHARS", 100)
+    batch = pd.DataFrame({"i": range(40), "html": ["<p>x</p>" * 5, None, "", "y" * 250] * 10}, index=range(7, 47))
+    parts = list(H._in_chunks(iter([batch, batch[:0]]), "html"))
+    assert len(parts) >= 15 and max(p["html"].str.len().sum() for p in parts) < 350
+    assert pd.concat(parts)["i"].tolist() == list(range(40))
