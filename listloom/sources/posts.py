@@ -92,6 +92,8 @@ GRID_SKIP = r"^(Mer|Jeu|Ven|Sam|Dim|Lun|Mar)$|^\d{1,2}$|FERMETURE"
 SECTION_MARK = r"(?i)^\s*(?:(?:Summer|Little)?\s*film\s+festival)\s*$"
 PREFIX_MARK = r"(?i)^\s*int\.?\s*[—\-]?\s*\d+\s*ans\s*$"
 DURATION = r"(\d+)[Hh](\d+)"
+#: A film in the kinds of a page's rows (Title, Prefix, Duration, Section mark, x for times): what stands before the first one joins it.
+GRID_FILM = r"(?:^[xS]+)?(?:[TP][xTP]*(?:D[xS]*|S[xSP]*)?|D[xS]*)"
 
 
 def grid_films(rows: DataFrame, page: str = "page", week_start: str = "week_start",
@@ -101,58 +103,58 @@ def grid_films(rows: DataFrame, page: str = "page", week_start: str = "week_star
     Rows between the header and the footer are read from top to bottom. A title row with a duration
     closes a film's title, earlier title rows without one belong to it; a section mark belongs to the
     film before it, and when that film had no duration, the mark ends it. Times right of the title
-    edge go to the day of their column. A page is one window: its rows fit a sheet of paper.
+    edge go to the day of their column. Rows are told apart before they travel; those of a page come together
+    once, as a list, in which the letters of their kinds tell the films: they fit a sheet of paper.
     """
-    w = Window.partitionBy(page).orderBy("y", "position")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     text = F.trim("text")
     footer = F.lit(False)
     for f in GRID_FOOTERS:
         footer = footer | F.contains("text", F.lit(f))
-    r = rows.withColumn("_h", F.max((text == GRID_HEADER).cast("int")).over(upto))
-    r = r.withColumn("_e", F.max((footer & (F.col("_h") == 1)).cast("int")).over(upto))
-    r = r.where((F.col("_h") == 1) & (F.col("_e") == 0) & (text != GRID_HEADER) & ~F.col("text").rlike(GRID_SKIP))
-    kind = F.when(F.col("x") >= title_edge, "time").when(F.col("text").rlike(DURATION), "D") \
+    kind = F.when(text == GRID_HEADER, "H").when(footer, "E").when(text.isNull() | F.col("text").rlike(GRID_SKIP), None) \
+        .when(F.col("x") >= title_edge, "x").when(F.col("text").rlike(DURATION), "D") \
         .when(F.col("text").rlike(SECTION_MARK), "S").when(F.col("text").rlike(PREFIX_MARK), "P").otherwise("T")
-    r = r.withColumn("_k", kind)
-    # what the latest title row other than a mark was, before this row
-    solid = F.when(F.col("_k").isin("D", "T", "P"), F.col("_k"))
-    r = r.withColumn("_prev", F.last(solid, ignorenulls=True).over(before))
-    # marks that belong to a title still open, counted since the latest T or D row
-    r = r.withColumn("_open_mark", ((F.col("_k") == "S") & F.col("_prev").isin("T", "P")).cast("int"))
-    r = r.withColumn("_marks", F.sum("_open_mark").over(upto))
-    at_anchor = F.last(F.when(F.col("_k").isin("T", "D"), F.col("_marks")), ignorenulls=True).over(before)
-    r = r.withColumn("_marked", F.col("_marks") - F.col("_open_mark") > F.coalesce(at_anchor, F.lit(0)))
-    fresh = F.col("_prev").isNull() | (F.col("_prev") == "D")
-    opens = (F.col("_k").isin("T", "P", "D") & fresh) | (F.col("_k").isin("T", "D") & F.col("_marked"))
-    r = r.withColumn("_film", F.greatest(F.sum(opens.cast("int")).over(upto), F.lit(1)))
+    r = rows.withColumn("_k", kind)
 
     own = F.trim(F.regexp_replace("text", r"\s*\d+[Hh]\d+.*$", ""))
-    part = F.when(F.col("_k") == "D", own).when((F.col("_k") == "S") & F.col("_prev").isNull(), F.lit(None)) \
-        .when(F.col("_k") != "time", text)
-    dur = F.when(F.col("_k") == "D", F.concat(F.regexp_extract("text", DURATION, 1), F.lit("h"),
-                                              F.regexp_extract("text", DURATION, 2)))
+    part = F.when(F.col("_k") == "D", own).when(F.col("_k").isin("S", "P", "T"), text)
+    dur = F.when(F.col("_k") == "D", F.lower(F.regexp_extract("text", DURATION, 0)))
     day = F.coalesce(*[F.when((F.col("x") >= lo) & (F.col("x") < hi), i) for i, lo, hi in columns])
     tail = F.regexp_replace("text", r"^.*?\d+[Hh]\d+\s*", "")
-    src = F.when(F.col("_k") == "time", F.col("text")).when(F.col("_k") == "D", tail)
-    col = F.when(F.col("_k") == "time", day).when(F.col("_k") == "D", F.lit(0))
-    date = F.date_format(F.date_add(F.to_date(week_start), F.col("_col")), "yyyy-MM-dd")
-    r = r.withColumns({"_part": part, "_dur": dur, "_src": src, "_col": col}).withColumn("_day", date)
-    r = r.withColumn("_times", F.transform(
-        F.when(F.col("_col").isNotNull(), F.regexp_extract_all("_src", F.lit(r"\d+[Hh]\d+"), 0)),
-        lambda t: F.struct(F.col("_day").alias("day"), F.regexp_replace(t, "[Hh]", ":").alias("time"))))
-    # titles and times of a film come together in one pass; a film's rows fit its page
-    films = r.groupBy(page, "_film").agg(
-        F.array_sort(F.collect_list(F.when(F.coalesce("_part", F.lit("")) != "", F.struct("y", "position", "_part")))).alias("_parts"),
-        F.max("_dur").alias("_dur"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_times")))).alias("_shows"))
-    days = F.array_distinct(F.transform("_shows", lambda t: t["day"]))
+    src = F.when(F.col("_k") == "x", F.col("text")).when(F.col("_k") == "D", tail)
+    col = F.when(F.col("_k") == "x", day).when(F.col("_k") == "D", F.lit(0))
+    date = F.date_add(F.to_date(week_start), F.col("_col"))
+    found = F.when(F.col("_col").isNotNull(), F.regexp_extract_all("_src", F.lit(r"\d+[Hh]\d+"), 0))
+    r = r.withColumns({"_part": F.nullif(part, F.lit("")), "_dur": dur, "_src": src, "_col": col})
+    r = r.withColumns({"_times": F.coalesce(F.transform(found, lambda t: F.struct(date.alias("day"), F.regexp_replace(t, "[Hh]", ":").alias("time"))),
+                                            F.array().cast("array<struct<day:date,time:string>>"))})
+
+    # rows of no kind become null, which the list leaves out: a filter would find the kinds once more
+    row = F.when(F.col("_k").isNotNull(), F.struct("y", "position", "_part", "_k", "_dur", "_times"))
+    pages = r.groupBy(page).agg(F.sort_array(F.collect_list(row)).alias("_r"))
+    begin = F.array_position(F.col("_r._k"), "H").cast("int")
+    pages = pages.where(begin > 0).withColumn("_r", F.slice("_r", begin + 1, F.size("_r")))
+    end = F.array_position(F.col("_r._k"), "E").cast("int")
+    pages = pages.withColumn("_r", F.filter(F.when(end > 0, F.slice("_r", F.lit(1), end - 1)).otherwise(F.col("_r")), lambda x: x["_k"] != "H"))
+    # marks before the first title belong to no film
+    pages = pages.withColumn("_s", F.array_join("_r._k", ""))
+    pages = pages.withColumns({"_n": F.transform(F.regexp_extract_all("_s", F.lit(GRID_FILM), 0), F.length), "_lead": F.length(F.regexp_extract("_s", "^[xS]*", 0))})
+    pages = pages.withColumn("_at", F.aggregate("_n", F.array(F.lit(1)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))))
+
+    def film(n: Column, i: Column) -> Column:
+        lead = F.when(i == 0, F.col("_lead")).otherwise(0)
+        return F.get(F.transform(F.array(F.slice("_r", F.get("_at", i), n)), lambda own: F.struct(
+            F.array_join(F.slice(own["_part"], lead + 1, n - lead), " ").alias("title"), F.array_max(own["_dur"]).alias("dur"),
+            F.flatten(own["_times"]).alias("shows"))), F.lit(0))
+
+    films = pages.select(page, F.posexplode(F.transform("_n", film)).alias("_i", "_f"))
+    films = films.where((F.size("_f.shows") > 0) & (F.col("_f.title") != "")).withColumn("_shows", F.sort_array(F.array_distinct("_f.shows")))
+    days = F.array_distinct("_shows.day")
     shows = F.map_from_entries(F.transform(days, lambda d: F.struct(
-        d.alias("day"), F.transform(F.filter("_shows", lambda t: t["day"] == d), lambda t: t["time"]).alias("times"))))
-    title = F.regexp_replace(F.array_join(F.transform("_parts", lambda p: p["_part"]), " "), r"\s+", " ")
-    return films.where((F.size("_shows") > 0) & (F.size("_parts") > 0)).select(
-        page, F.col("_film").alias("film"), title.alias("title"), F.coalesce("_dur", F.lit("")).alias("duration"), shows.alias("showtimes"),
-        F.array_min(days).alias("start_date"), F.array_max(days).alias("end_date"))
+        d.cast("string").alias("day"), F.filter("_shows", lambda t: t["day"] == d)["time"].alias("times"))))
+    # inline keeps what a reader asks of the map from being asked by making it again
+    return films.select(page, (F.col("_i") + 1).cast("long").alias("film"), F.inline(F.array(F.struct(
+        F.regexp_replace("_f.title", r"\s+", " ").alias("title"), F.coalesce("_f.dur", F.lit("")).alias("duration"), shows.alias("showtimes"),
+        F.array_min(days).cast("string").alias("start_date"), F.array_max(days).cast("string").alias("end_date")))))
 
 
 def week_of(text: Column, as_of: Column, months) -> Column:

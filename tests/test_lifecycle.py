@@ -161,6 +161,44 @@ def test_timetable_page(spark):
         "Tail": ("", {"2026-07-07": ["09:15"]}, "2026-07-07", "2026-07-07")}
 
 
+def _films_of(kinds):
+    """The rows of each film and of its title, one row after the other."""
+    films, titles, last, marked = [[]], [[]], None, False
+    for i, k in enumerate(kinds):
+        if k in "TPD" and last in (None, "D") or k in "TD" and marked:
+            if last is not None:
+                films.append([])
+                titles.append([])
+        films[-1].append(i)
+        if k in "TPD" or k == "S" and last is not None:
+            titles[-1].append(i)
+        marked = marked and k not in "TD" or k == "S" and last in ("T", "P")
+        last = k if k in "TPD" else last
+    return list(zip(films, titles))
+
+
+def test_timetable_kinds_in_any_order(spark):
+    rng = random.Random(5)
+    pages = ["".join(rng.choices("TPDSx", k=rng.randint(0, 14))) for _ in range(300)]
+    words = {"T": "Title", "P": "int. 12 ans", "D": "End 1H30 9H00", "S": "little film festival", "x": "10H15"}
+    rows, want = [], set()
+    for p, kinds in enumerate(pages):
+        rows += [(p, -1.0, 0.0, "VF : early", 0), (p, 0.0, 0.0, " FILMS ", 0), (p, 0.5, 0.0, "Mer", 0), (p, 99.0, 0.0, "TARIF NORMAL", 0), (p, 99.5, 0.0, "Late 1H00 2H00", 0), (p, 50.0, 0.0, None, 0)]
+        rows += [(p, float(i + 1), 300.0 if k == "x" else 0.0, words[k], i) for i, k in enumerate(kinds)]
+        for own, title in _films_of(kinds):
+            shows = {"2026-07-03": ["10:15"]} if any(kinds[i] == "x" for i in own) else {}
+            shows |= {"2026-07-01": ["9:00"]} if any(kinds[i] == "D" for i in own) else {}
+            if shows and title:
+                want.add((p, " ".join(words[kinds[i]].replace(" 1H30 9H00", "") for i in title), "1h30" * any(kinds[i] == "D" for i in own), str(sorted(shows.items()))))
+    df = spark.createDataFrame(rows, "page int, y double, x double, text string, position int").withColumn("week_start", F.lit("2026-07-01")).repartition(3)
+    films = posts.grid_films(df)
+    got = [(r["page"], r["title"], r["duration"], str(sorted(r["showtimes"].items()))) for r in films.collect()]
+    assert set(got) == want and len({(r["page"], r["film"]) for r in films.collect()}) == len(got)
+    # rows are taken apart once, without windows, and showtimes are made once though a reader explodes them
+    plan = films.select("page", F.explode("showtimes"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("map_from_entries") == 1 and plan.count("RLIKE") == 4
+
+
 def test_retention_never_names_a_current_version(spark):
     rows = [("site", f"p{p}", v, f"2024-01-{v:02d}") for p in range(50) for v in range(1, 1 + p % 4 + 1)] + [("other", "p1", 1, "2020-01-01")]
     entries = spark.createDataFrame(rows, "name string, part string, version long, built_at string")
