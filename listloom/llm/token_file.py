@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +23,11 @@ from listloom.session import fresh_path
 SEGMENT = 1 << 20
 #: Chunks of text whose ids a worker keeps.
 KEPT = 600_000
-_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: White space for Arrow and Python, but not for Unicode's property.
+_CONTROL = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: For each control byte, the lengths of the four values it stands for.
 _LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
-#: What Python's split() takes for white space beyond Unicode's property.
-_CONTROL = re.compile("[\x1c-\x1f]")
 #: The steps before the merges that make words of letters independent, and the pattern among them.
 _WORD_LEVEL = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -76,11 +76,13 @@ class _Encoder:
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.kept, self.words = Tokenizer.from_str(model.decode()), {}, {}
         spec = json.loads(model)
         self.bare = Tokenizer(self.tokenizer.model) if (spec["normalizer"], spec["pre_tokenizer"]) == _WORD_LEVEL else None
+        if self.bare:
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = {c: self._ids(self.tokenizer, [c])[0] for c in ".,"}
 
     @staticmethod
@@ -95,30 +97,61 @@ class _Encoder:
     def _ids(tokenizer, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for i in range(0, len(chunks), 50_000) for e in tokenizer.encode_batch_fast(chunks[i:i + 50_000], add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many in one call with a point behind each, which tells them apart again."""
+        words, point, found = [w if w.isascii() else w.encode().decode("latin-1").translate(_VISIBLE) for w in words], self.ends["."], []
+        if len(point) != 4:
+            return self._ids(self.bare, words)
+        lines = [" . ".join(words[i:i + 500]) + " ." for i in range(0, len(words), 500)]
+        for i in range(0, len(lines), 100):
+            for e in self.bare.encode_batch_fast(lines[i:i + 100], add_special_tokens=False):
+                ids, at = array("I", e.ids), 0
+                data = ids.tobytes()
+                for end in (np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(point, "little")) * 4).tolist():
+                    found.append(data[at:end])
+                    at = end + 4
+        return found
+
     def _learn(self, chunks: list[str]) -> None:
-        other, plain = [], []
+        other, plain, stems = [], [], []
         for c in chunks:
             stem = c[:-1] if c[-1] in ".," else c
             # up to U+00FF, composing changes nothing and lower case goes letter by letter
-            if self.bare and stem.isalpha() and max(stem) < "\u0100":
-                plain.append((c, stem.lower()))
+            if self.bare and stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                plain.append(c)
+                stems.append(stem.lower())
             else:
                 other.append(c)
-        self.kept.update(zip(other, self._ids(self.tokenizer, other)))
-        new = list({w for _, w in plain if w not in self.words})
-        self.words.update(zip(new, self._ids(self.bare, [w if w.isascii() else w.encode().decode("latin-1").translate(_VISIBLE) for w in new])))
-        for c, w in plain:
-            self.kept[c] = self.words[w] + self.ends.get(c[-1], b"")
-
-    def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
+        kept, words, ends = self.kept, self.words, self.ends
+        kept.update(zip(other, self._ids(self.tokenizer, other)))
+        new = list(set(stems).difference(words))
+        words.update(zip(new, self._word_ids(new)))
+        for c, w in zip(plain, stems):
+            kept[c] = words[w] + ends[c[-1]] if c[-1] in ends else words[w]
+
+    def __call__(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """Chunks are told apart and numbered by Arrow, so that Python meets each distinct one of a batch once."""
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
         if len(self.words) > KEPT:
             self.words.clear()
-        split = [t.split() if not _CONTROL.search(t) else [c for c in _SPACE.split(t) if c] for t in texts]
-        self._learn(list({c for chunks in split for c in chunks if c not in kept}))
-        return [b"".join(map(kept.__getitem__, chunks)) + end for chunks in split]
+        data = texts.buffers()[2]
+        raw = data.to_pybytes() if data else b""
+        odd = any(c in raw for c in _CONTROL)
+        split = pc.split_pattern_regex(texts, _SPACE) if odd else pc.utf8_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        kept[""] = b""  # before and after white space at the ends of a text
+        self._learn([c for c in chunks if c not in kept])
+        ids = pa.array([kept[c] for c in chunks], pa.large_binary()).take(numbered.indices)
+        if not len(ids):
+            return [end] * len(texts)
+        # one behind the other: a text's ids are those of its chunks
+        at = np.frombuffer(ids.buffers()[1], "<i8")[:len(ids) + 1]
+        bounds = at[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])].tolist()
+        data = memoryview(ids.buffers()[2]) if ids.buffers()[2] else b""
+        return [b"".join((data[a:b], end)) for a, b in zip(bounds, bounds[1:])]
 
 
 def token_ids(docs: DataFrame, model_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +165,7 @@ def token_ids(docs: DataFrame, model_path: str, end_id: int, doc_id: str = "doc_
     def encoded(parts):
         encode, end = _Encoder.of(model.value), int(end_id).to_bytes(4, "little")
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode(part.column("text").to_pylist(), end), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode(part.column("text"), end), pa.binary())], schema=schema)
 
     return rows.mapInArrow(encoded, from_arrow_schema(schema))
 
@@ -143,11 +176,10 @@ def frequency_order(coded: DataFrame) -> np.ndarray:
     def counted(parts):
         total = np.zeros(0, np.int64)
         for part in parts:
-            for ids in part.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(ids, "<u4"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[:len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4"))
+            if len(n) > len(total):
+                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+            total[:len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -176,13 +208,15 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 1, d
     schema = to_arrow_schema(StructType().add("shard", "integer").add("number", "integer").add("first", "long").add("tokens", "long")
                              .add("doc_ids", ArrayType(key)).add("sizes", ArrayType(IntegerType())).add("control", "binary").add("data", "binary"))
 
-    moved = to_arrow_schema(StructType().add("doc_id", key).add("size", "integer").add("control", "binary").add("data", "binary"))
+    moved = to_arrow_schema(StructType().add("doc_id", key).add("places", "binary"))
+    kind = "<u2" if len(order) <= 1 << 16 else "<u4"  # two bytes an id travel where they are enough
 
     def ranked(parts):
         for part in parts:
-            packed = [pack(shared.value[np.frombuffer(ids, "<u4")]) for ids in part.column("ids").to_pylist()]
-            size = pa.array([len(ids) // 4 for ids in part.column("ids").to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], schema=moved)
+            ids = part.column("ids").to_pylist()
+            places = shared.value[np.frombuffer(b"".join(ids), "<u4")].astype(kind)
+            ends = np.cumsum([len(i) // 4 for i in ids]).tolist()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([places[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())], schema=moved)
 
     def segments(parts):
         shard, number, first, keys, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
@@ -193,10 +227,10 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 1, d
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for part in parts:
-            for k, n, control, data in zip(*(c.to_pylist() for c in part.columns)):
+            for k, places in zip(*(c.to_pylist() for c in part.columns)):
                 keys.append(k)
-                held.append(unpack(control, data, n))
-                size += n
+                held.append(np.frombuffer(places, kind))
+                size += len(held[-1])
                 if size >= SEGMENT:
                     yield segment()
                     number, first, keys, held, size = number + 1, first + size, [], [], 0

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -99,6 +100,22 @@ def test_token_file(spark, odd, documents, tmp_path):
     assert read_tokens(spark, f"file://{tmp_path}/empty").collect() == []
 
 
+def test_chunks_are_met_once_a_batch():
+    """Ids of a batch from its distinct chunks, whatever white space parts them, and each learned a single time."""
+    from tokenizers import Tokenizer
+    from listloom.llm.token_file import _Encoder
+    model = read_bytes(P.path("word_bpe_49k.json"))
+    tokenizer, encode, learned = Tokenizer.from_str(model.decode()), _Encoder(model), []
+    learn = encode._learn
+    encode._learn = lambda chunks: (learned.append(chunks), learn(chunks))
+    space = "x".join(chr(i) for i in (*range(0x3100), *range(0xFF00, 0x11000)))
+    for batch in ([space, "", " ", "ﬁn straße ÉCOLE, µ. ª"], [space.replace("\x1c", "").replace("\x1d", "").replace("\x1e", "").replace("\x1f", ""), " a  b\u0085c\u180ed "], ["", ""], []):
+        got = encode(pa.array(batch, pa.string()), b"")
+        assert got == [struct.pack(f"<{len(ids)}I", *ids) for ids in (tokenizer.encode(t, add_special_tokens=False).ids for t in batch)]
+    assert got == [] and len(set(sum(learned, []))) == len(sum(learned, []))
+    assert encode(pa.array(["z", "ones two ones.", "two, Two"])[1:], b"")[0] == struct.pack("<4I", *tokenizer.encode("ones two ones.", add_special_tokens=False).ids)
+
+
 def test_frequent_ids_take_one_byte(spark, documents):
     from listloom.llm.token_file import frequency_order, token_ids
     coded = token_ids(documents, P.path("word_bpe_49k.json"), 1)
