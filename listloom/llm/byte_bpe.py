@@ -117,6 +117,16 @@ def folded(word: Column, ranks: Ranks, pair_maps: str) -> Column:
     return F.when(F.octet_length(word) < 2, ids).otherwise(many)
 
 
+def _decoded(ids: list[bytes | None], pieces: pa.Array) -> list[bytes | None]:
+    """The bytes of each text's ids, taken from ``pieces`` for all texts at once; null stays null."""
+    taken = pieces.take(pa.array(np.frombuffer(b"".join(filter(None, ids)), "<u4")))
+    if not len(taken):
+        return [None if i is None else b"" for i in ids]
+    places = np.cumsum([0, *(len(i or b"") // 4 for i in ids)])
+    at, data = np.frombuffer(taken.buffers()[1], "<i8")[places].tolist(), memoryview(taken.buffers()[2])
+    return [None if i is None else data[a:b].tobytes() for i, a, b in zip(ids, at, at[1:])]
+
+
 class _Table(dict):
     """Ids by word; words that are not in it are merged on the spot."""
 
@@ -265,7 +275,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
     def put_together(parts):
         import regex
 
-        find, pieces, now, table, chunks = regex.compile(pattern).findall, shared_ranks.value.pieces(), None, None, None
+        find, pieces, now, table, chunks = regex.compile(pattern).findall, pa.array(shared_ranks.value.pieces(), pa.large_binary()), None, None, None
         for part in parts:
             numbers = part.column("block").to_numpy()
             bounds = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
@@ -287,7 +297,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
                 for payload in some.column("texts").drop_null().to_pylist():
                     for batch in pa.ipc.open_stream(payload):
                         ids = [chunks.text(t) for t in batch.column("text").to_pylist()]
-                        decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in ids]
+                        decoded = _decoded(ids, pieces)
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("doc_id").cast(schema.field("doc_id").type), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], schema=schema)
 
@@ -323,8 +333,9 @@ def decode(encoded: DataFrame, rank_path: str, ids: str = "ids", name: str = "de
     schema = to_arrow_schema(base.withColumn(name, F.lit(None).cast("binary")).schema)
 
     def back(parts):
+        known = pa.array(pieces.value, pa.large_binary())
         for part in parts:
-            values = [None if i is None else b"".join(map(pieces.value.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in part.column(ids).to_pylist()]
+            values = _decoded(part.column(ids).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.binary())], schema=pa.schema([*part.schema, schema.field(name)]))
 
     return base.mapInArrow(back, from_arrow_schema(schema))

@@ -72,6 +72,13 @@ def test_bpe_of_nothing(odd):
     assert encode(odd.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect() == []
 
 
+def test_ids_of_a_batch_are_decoded_together():
+    from listloom.llm.byte_bpe import _decoded
+    pieces = pa.array([b"a", b"", b"bc", b"\xff"], pa.large_binary())
+    assert _decoded([struct.pack("<3I", 0, 2, 3), None, b"", struct.pack("<2I", 1, 2)], pieces) == [b"abc\xff", None, b"", b"bc"]
+    assert _decoded([], pieces) == [] and _decoded([None, b""], pieces) == [None, b""]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aenrstzéß日", min_size=1, max_size=40))
 def test_queue_of_long_words(tiktoken_encoding, word):
