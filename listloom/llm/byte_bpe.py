@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -28,6 +29,9 @@ _NONE = 2**31 - 1
 _MAPS = 16381
 #: Bytes of text that travel together, compressed.
 _TOGETHER = 2 << 20
+#: Bytes of text that are put together at once.
+_AT_ONCE = 4 << 20
+_KINDS = {"smallint": "<i2", "int": "<i4"}
 
 
 class Ranks:
@@ -127,90 +131,126 @@ def _decoded(ids: list[bytes | None], pieces: pa.Array) -> list[bytes | None]:
     return [None if i is None else data[a:b].tobytes() for i, a, b in zip(ids, at, at[1:])]
 
 
-class _Table(dict):
-    """Ids by word; words that are not in it are merged on the spot."""
+def _joined(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """Values (large binary) one behind the other, cut anew: what stands between each bound and the next."""
+    if not len(values) or not values.buffers()[2]:
+        return pa.array([b""] * (len(bounds) - 1), pa.large_binary())
+    at = np.frombuffer(values.buffers()[1], "<i8")[values.offset:values.offset + len(values) + 1][bounds]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(at.tobytes()), values.buffers()[2]])
 
-    def __init__(self, known: dict[str, bytes], ranks: Ranks):
-        super().__init__(known)
-        self.ranks = ranks
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.ranks.merged(word.encode())
-        return ids
+class _Cut:
+    """Texts as chunks between single spaces and line ends, numbered by Arrow; Python meets each distinct one that is not plain once.
 
+    A space between two characters that are not white space always starts a match of the pattern, so a text
+    can be cut there; at a line end too, where the pattern makes it a match of its own. Letters alone are one
+    word, with a space before them or not, and a mark of punctuation starts another. Texts with other white
+    space are taken apart whole.
+    """
 
-def _of_chunk(chunk: str, find: Callable[[str], list[str]]) -> list[str] | None:
-    """The words of a chunk between single spaces, with the space before it; None if white space touches that space.
-
-    A space between two characters that are not white space always starts a match of the pattern, so a
-    text can be cut there. Letters alone are one word, with a space before them or not, and marks of
-    punctuation start another.
+    def __init__(self, texts: pa.Array, find: Callable[[str], list[str]]):
+        lines = find("a.\nb c\nd") == ["a", ".", "\n", "b", " c", "\n", "d"]
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n") if lines else texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        self.places, lengths = coded.indices.to_numpy(), cut.value_lengths().to_numpy()
+        self.bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        chunks, starts = coded.dictionary, self.bounds[:-1]
+        self.n_chunks = len(chunks)
+        parts = pc.extract_regex(chunks, rf"^(?P<end>{chr(92) + 'n?' if lines else ''})(?P<word>\pL+)(?P<mark>[.,;:!?]?)$")
+        met = np.zeros(len(chunks), bool)
+        met[np.delete(self.places, starts)] = True  # what only starts texts has no space before it
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        self.plain, self.other = np.flatnonzero(plain & met), np.flatnonzero(~plain & met)
+        self.end, word, self.mark = parts.take(pa.array(self.plain)).flatten()
+
+        def apart(chunk: str) -> list[str] | None:
+            """The words of a chunk; None if it cannot stand alone."""
+            after = lines and chunk.startswith("\n")
+            body = chunk[after:]
+            if not body or body[0].isspace() or body[-1].isspace():
+                return None
+            return ["\n", *find(body)] if after else find(" " + body)
+
+        lists = [apart(c) for c in chunks.take(pa.array(self.other)).to_pylist()]
+        alone = np.ones(len(chunks), bool)
+        alone[self.other] = [words is not None for words in lists]
+        firsts = chunks.take(pa.array(self.places[starts])).to_pylist()
+        held = alone[self.places]
+        held[starts] = [n == 1 or bool(f) and not f[-1].isspace() for n, f in zip(lengths.tolist(), firsts)]
+        self.tidy = np.logical_and.reduceat(held, starts) if len(starts) else held
+        heads = [find(f if tidy else texts[i].as_py()) for i, (f, tidy) in enumerate(zip(firsts, self.tidy.tolist()))]
+        lists = [words or [] for words in lists] + heads
+        self.list_bounds = np.cumsum([0, *map(len, lists)])
+        before = pc.if_else(pc.equal(self.end, ""), " ", "")
+        #: of plain chunks, of other ones, and of the starts of texts
+        self.words = pa.concat_arrays([pc.binary_join_element_wise(before, word, ""), pa.array([w for words in lists for w in words], pa.string())])
+
+    def ids(self, known: pa.Array, values: pa.Array, merged: Callable[[bytes], bytes]) -> pa.Array:
+        """Each text's ids (large binary), from ``known`` words with theirs; other words are merged on the spot."""
+        at = pc.index_in(self.words, value_set=known)
+        if at.null_count:
+            absent = self.words.filter(at.is_null()).unique()
+            known = pa.concat_arrays([known, absent])
+            values = pa.concat_arrays([values, pa.array([merged(w.encode()) for w in absent.to_pylist()], pa.large_binary())])
+            at = pc.index_in(self.words, value_set=known)
+        ids, n = values.take(at), len(self.plain)
+        marks = pa.array(["", "\n", *".,;:!?"])
+        mark_ids = pa.array([merged(m.encode()) if m else b"" for m in marks.to_pylist()], pa.large_binary())
+        end, mark = (mark_ids.take(pc.index_in(c, value_set=marks)) for c in (self.end, self.mark))
+        chunk_ids = pa.concat_arrays([pc.binary_join_element_wise(end, ids[:n], mark, pa.scalar(b"", pa.large_binary())),
+                                      _joined(ids[n:], self.list_bounds), pa.array([b""], pa.large_binary())])
+        number = np.zeros(self.n_chunks, np.int64)
+        number[self.plain], number[self.other] = np.arange(n), n + np.arange(len(self.other))
+        places = number[self.places]
+        places[~np.repeat(self.tidy, np.diff(self.bounds))] = len(chunk_ids) - 1
+        places[self.bounds[:-1]] = n + len(self.other) + np.arange(len(self.tidy))
+        return _joined(chunk_ids.take(pa.array(places)), self.bounds)
+
+
+def _in_blocks(words: pa.Table, kind: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """Words (word, blocks, ids) together for each block: its number, how many, bytes, and the compressed
+    lengths of words and of their ids, ids, and letters.
     """
-    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-        return None
-    if chunk.isalpha():
-        return [" " + chunk]
-    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-        return [" " + chunk[:-1], chunk[-1]]
-    return find(" " + chunk)
-
-
-class _Untidy(Exception):
-    """A chunk that cannot stand alone."""
-
-
-class _Chunks(dict):
-    """Ids by chunk, each distinct one taken apart once."""
-
-    def __init__(self, table: _Table, find: Callable[[str], list[str]]):
-        super().__init__()
-        self.table, self.find = table, find
-
-    def __missing__(self, chunk: str) -> bytes:
-        words = _of_chunk(chunk, self.find)
-        if words is None:
-            raise _Untidy
-        ids = self[chunk] = b"".join(map(self.table.__getitem__, words))
-        return ids
-
-    def text(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            if rest and (not first or first[-1].isspace()):
-                raise _Untidy
-            return b"".join([*map(self.table.__getitem__, self.find(first)), *map(self.__getitem__, rest)])
-        except _Untidy:
-            return b"".join(map(self.table.__getitem__, self.find(text)))
-
-
-def _distinct(texts: list[str], find: Callable[[str], list[str]]) -> set[str]:
-    """The distinct words of some texts."""
-    words: set[str] = set()
-    chunks: set[str] = set()
-    for t in texts:
-        first, *rest = t.split(" ")
-        words.update(find(first))
-        chunks.update(rest)
-    untidy = set()
-    for chunk in chunks:
-        found = _of_chunk(chunk, find)
-        if found is None:
-            untidy.add(chunk)
-        else:
-            words.update(found)
-    for t in texts:
-        first, *rest = t.split(" ")
-        if rest and (not first or first[-1].isspace()) or untidy and not untidy.isdisjoint(rest):
-            words.update(find(t))
-    return words
+    words, codec = words.combine_chunks(), pa.Codec("zstd", 3)
+    word, blocks, ids = (words.column(c).chunk(0) for c in ("word", "blocks", "ids"))
+    numbers = blocks.flatten().to_numpy()
+    order = np.argsort(numbers, kind="stable")
+    of = pc.list_parent_indices(blocks).take(pa.array(order))
+    word, ids, numbers = word.take(of).cast(pa.large_binary()), ids.take(of), numbers[order]
+    lengths, counts = (c.to_numpy().astype("<u2") for c in (pc.binary_length(word), ids.value_lengths()))
+    values, letters = ids.flatten().to_numpy().astype(kind), memoryview(word.buffers()[2] or b"")
+    word_at, id_at = (np.concatenate([[0], np.cumsum(c, dtype=np.int64)]) for c in (lengths, counts))
+    cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+    for a, b in zip(cuts, cuts[1:]):
+        data = b"".join((lengths[a:b].tobytes(), counts[a:b].tobytes(), values[id_at[a]:id_at[b]].tobytes(), letters[word_at[a]:word_at[b]]))
+        yield int(numbers[a]), b - a, len(data), codec.compress(data, asbytes=True)
+
+
+def _of_block(n: int, size: int, data: bytes, kind: str, shift: int) -> tuple[pa.Array, pa.Array]:
+    """The words of ``_in_blocks``, and their ids as little-endian bytes (large binary)."""
+    raw = pa.Codec("zstd").decompress(data, size, asbytes=True)
+    lengths, counts = np.frombuffer(raw, "<u2", 2 * n).astype(np.int64).reshape(2, n)
+    values = np.frombuffer(raw, kind, int(counts.sum()), 4 * n)
+    word_at, id_at = (np.concatenate([[0], np.cumsum(c)]) for c in (lengths, counts))
+    letters = raw[4 * n + values.nbytes:]
+    word = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(word_at.astype("<i4").tobytes()), pa.py_buffer(letters)])
+    data = (values.astype("<i4") + shift).astype("<u4").tobytes()
+    return word, pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((id_at * 4).astype("<i8").tobytes()), pa.py_buffer(data)])
 
 
 def _blocks(parts) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Batches of a partition in blocks of about BLOCK bytes, each with a number of its own."""
-    number, held, size = TaskContext.get().partitionId() << 33, [], 0
+    """Batches of a partition in blocks of about BLOCK bytes, each with a number of its own.
+
+    ``part`` is the partition of the input. A task's own number will not do: below a union it counts the other side's tasks too.
+    """
+    number, held, size = None, [], 0
     for part in parts:
+        if not len(part):
+            continue
+        if number is None:
+            number = part.column("part")[0].as_py() << 33
         held.append(part)
-        size += part.nbytes
+        size += part.column("text").nbytes
         if size >= BLOCK:
             yield number, held
             number, held, size = number + 1, [], 0
@@ -233,21 +273,74 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
     small_batches(spark)
     short_plan_texts(spark)
     ranks = Ranks(read_bytes(rank_path))
-    rows = texts(docs, doc_id, text)
+    rows = texts(docs, doc_id, text).withColumn("part", F.spark_partition_id())
     shared_ranks = spark.sparkContext.broadcast(ranks)
     whole, pair_maps = ranks.whole(), ranks.pair_maps()
-    frequent = spark.sparkContext.broadcast(whole | _frequent(rows, ranks, pattern, whole, pair_maps))
+    known_ids = whole | _frequent(rows, ranks, pattern, whole, pair_maps)
+    frequent = spark.sparkContext.broadcast((pa.array(known_ids.keys(), pa.string()), pa.array(known_ids.values(), pa.large_binary())))
+
+    # two bytes an id where they are enough
+    shift, kind = (32768, "smallint") if ranks.size <= 65536 else (0, "int")
+    small = F.transform(folded(F.col("word"), ranks, pair_maps), lambda i: (i - shift).cast(kind))
+    met = _met(rows, frequent, pattern, small, _KINDS[kind])
+    schema = to_arrow_schema(StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary"))
+
+    def put_together(parts):
+        import regex
+
+        find, ranks, now, given, held = regex.compile(pattern).findall, shared_ranks.value, None, [], []
+        pieces = pa.array(ranks.pieces(), pa.large_binary())
+
+        def finished():
+            known, values = (pa.concat_arrays(a) for a in zip(frequent.value, *given))
+            some, size = [], 0
+            for i, batch in enumerate(held):
+                some.append(batch)
+                size += batch.nbytes
+                if size >= _AT_ONCE or i == len(held) - 1:
+                    yield from encoded(some, known, values)
+                    some, size = [], 0
+
+        def encoded(some, known, values):
+            texts = pa.Table.from_batches(some).combine_chunks()
+            ids = _Cut(texts.column("text").chunk(0), find).ids(known, values, ranks.merged)
+            at = np.frombuffer(ids.buffers()[1], "<i8") // 4
+            taken = pieces.take(pa.array(np.frombuffer(ids.buffers()[2] or b"", "<u4")[:at[-1]]))
+            whole = [texts.column("doc_id").chunk(0).cast(schema.field("doc_id").type), pa.array(np.diff(at)), ids, _joined(taken, at)]
+            start = 0
+            for n in map(len, some):
+                yield pa.RecordBatch.from_arrays([c.slice(start, n).cast(f.type) for c, f in zip(whole, schema)], schema=schema)
+                start += n
+
+        for part in parts:
+            for block, n, size, data in zip(*(c.to_pylist() for c in part.columns)):
+                if block != now:
+                    if held:
+                        yield from finished()
+                    now, given, held = block, [], []
+                if n:
+                    given.append(_of_block(n, size, data, _KINDS[kind], shift))
+                else:
+                    held += [b for b in pa.ipc.open_stream(data) if len(b)]
+        if held:
+            yield from finished()
+
+    return met.mapInArrow(put_together, from_arrow_schema(schema))
+
+
+def _met(rows: DataFrame, frequent, pattern: str, ids: Column, kind: str) -> DataFrame:
+    """(block, n, size, data), a block's rows together: its ``n`` words with their ids as in ``_in_blocks``, then, where n is 0, its texts."""
 
     def rare(parts):
         import regex
 
-        find, known = regex.compile(pattern).findall, frequent.value
+        find, known = regex.compile(pattern).findall, frequent.value[0]
         for number, held in _blocks(parts):
-            words = _distinct([t for part in held for t in part.column("text").to_pylist()], find)
-            fresh = [w for w in words if w not in known and (len(w) <= LONG // 4 or len(w.encode()) <= LONG)]
+            words = pa.chunked_array([_Cut(part.column("text"), find).words.unique() for part in held]).unique()
+            fresh = words.filter(pc.and_(pc.invert(pc.is_in(words, value_set=known)), pc.less_equal(pc.binary_length(words), LONG)))
             for i in range(0, len(fresh), 50_000):
                 some = fresh[i:i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some, pa.string())], ["block", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), some], ["block", "word"])
 
     def packed(parts):
         for number, held in _blocks(parts):
@@ -257,51 +350,33 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                         out.write_batch(part.slice(i, rows_each))
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
+                    yield met_rows([(number, 0, 0, sink.getvalue().to_pybytes())])
 
-    # blocks of one word in lists of those of 16384 partitions at most, so that no list grows with the input
-    words = (rows.select("text").mapInArrow(rare, "block long, word string")
-             .groupBy("word", F.shiftright("block", 47).alias("range")).agg(F.collect_list("block").alias("blocks")))
-    # two bytes an id where they are enough
-    shift, kind = (32768, "smallint") if ranks.size <= 65536 else (0, "int")
-    small = F.transform(folded(F.col("word"), ranks, pair_maps), lambda i: (i - shift).cast(kind))
-    known = words.withColumn("ids", small).select(F.explode("blocks").alias("block"), "word", "ids")
-    texts_of = rows.mapInArrow(packed, "block long, texts binary")
-    met = (known.withColumn("texts", F.lit(None).cast("binary"))
-           .unionByName(texts_of.select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "texts"))
-           .repartition("block").sortWithinPartitions("block", F.col("texts").isNotNull()))
-    schema = to_arrow_schema(StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary"))
-
-    def put_together(parts):
-        import regex
+    def met_rows(some):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "n", "size", "data"])
 
-        find, pieces, now, table, chunks = regex.compile(pattern).findall, pa.array(shared_ranks.value.pieces(), pa.large_binary()), None, None, None
+    def in_blocks(parts):
+        held, size = [], 0
         for part in parts:
-            numbers = part.column("block").to_numpy()
-            bounds = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
-            for a, b in zip(bounds, bounds[1:]):
-                if a == b:
-                    continue
-                if numbers[a] != now:
-                    now, table = numbers[a], _Table(frequent.value, shared_ranks.value)
-                    chunks = _Chunks(table, find)
-                some = part.slice(a, b - a)
-                given = some.filter(some.column("word").is_valid())
-                lists = given.column("ids")
-                values = (lists.flatten().to_numpy(zero_copy_only=False).astype("<i4") + shift).astype("<u4").tobytes()
-                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4 if len(given) else []
-                at = 0
-                for w, end in zip(given.column("word").to_pylist(), ends):
-                    table[w] = values[at:end]
-                    at = end
-                for payload in some.column("texts").drop_null().to_pylist():
-                    for batch in pa.ipc.open_stream(payload):
-                        ids = [chunks.text(t) for t in batch.column("text").to_pylist()]
-                        decoded = _decoded(ids, pieces)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column("doc_id").cast(schema.field("doc_id").type), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], schema=schema)
+            held.append(part)
+            size += part.nbytes
+            if size >= BLOCK:
+                yield from gathered(held)
+                held, size = [], 0
+        yield from gathered(held)
+
+    def gathered(held):
+        if any(map(len, held)):
+            found = _in_blocks(pa.Table.from_batches(held), kind)
+            while some := list(islice(found, 100)):
+                yield met_rows(some)
 
-    return met.mapInArrow(put_together, from_arrow_schema(schema))
+    # blocks of one word in lists of those of 16384 partitions at most, so that no list grows with the input
+    words = (rows.mapInArrow(rare, "block long, word string")
+             .groupBy("word", F.shiftright("block", 47).alias("range")).agg(F.collect_list("block").alias("blocks")))
+    fields = "block long, n int, size int, data binary"
+    return (words.select("word", "blocks", ids.alias("ids")).mapInArrow(in_blocks, fields).unionByName(rows.mapInArrow(packed, fields))
+            .repartition("block").sortWithinPartitions("block", F.col("n") == 0))
 
 
 def _frequent(rows: DataFrame, ranks: Ranks, pattern: str, whole: dict[str, bytes], pair_maps: str) -> dict[str, bytes]:

@@ -79,6 +79,46 @@ def test_ids_of_a_batch_are_decoded_together():
     assert _decoded([], pieces) == [] and _decoded([None, b""], pieces) == [None, b""]
 
 
+def test_folded_words_reach_the_block_of_their_texts(spark, documents):
+    """Words whose number of a block is not that of the texts are folded for nothing, and merged again where they stand."""
+    from pyspark.sql import functions as F
+    import regex
+    from listloom.llm.byte_bpe import _met, _of_block, folded
+    from listloom.llm.common import texts
+    ranks = Ranks(read_bytes(P.path("byte_bpe_multi_50k.tiktoken")))
+    some = texts(documents.limit(200).repartition(3)).withColumn("part", F.spark_partition_id())
+    none = spark.sparkContext.broadcast((pa.array([], pa.string()), pa.array([], pa.large_binary())))
+    met = _met(some, none, P.PATTERN, folded(F.col("word"), ranks, ranks.pair_maps()), "<i4").collect()
+    words = {r.block: set() for r in met if r.n == 0}
+    for r in met:
+        if r.n:
+            found, ids = _of_block(r.n, r.size, bytes(r.data), "<i4", 0)
+            words[r.block].update(found.to_pylist())
+            assert ids.to_pylist() == [ranks.merged(w.encode()) for w in found.to_pylist()]
+    held = {r.block: [] for r in met if r.n == 0}
+    for r in met:
+        if r.n == 0:
+            held[r.block] += pa.ipc.open_stream(bytes(r.data)).read_all().column("text").to_pylist()
+    assert len(held) == 3
+    for block, found in held.items():
+        assert words[block] - set("\n.,;:!?") == {w for t in found for w in regex.findall(P.PATTERN, t) if len(w.encode()) <= 256} - set("\n.,;:!?")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" ab\n\n.,!1é日\t\r\x1c\x85'sß", max_size=20), min_size=1, max_size=5))
+def test_cut_texts_have_the_words_of_whole_ones(tiktoken_encoding, some):
+    import regex
+    from listloom.llm.byte_bpe import _Cut
+    ranks = test_queue_of_long_words.__dict__.setdefault("ranks", Ranks(read_bytes(P.path("byte_bpe_multi_50k.tiktoken"))))
+    nothing = pa.array([], pa.string()), pa.array([], pa.large_binary())
+    want = [struct.pack(f"<{len(i)}I", *i) for i in map(tiktoken_encoding.encode_ordinary, some)]
+    assert _Cut(pa.array(some), regex.compile(P.PATTERN).findall).ids(*nothing, ranks.merged).to_pylist() == want
+    # a pattern that takes a line end with the mark before it: texts are not cut there
+    other = regex.compile(r" ?\p{L}+| ?[^\s\p{L}]+[\n]*|\s+(?!\S)|\s+").findall
+    want = [b"".join(ranks.merged(w.encode()) for w in other(t)) for t in some]
+    assert _Cut(pa.array(some), other).ids(*nothing, ranks.merged).to_pylist() == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aenrstzéß日", min_size=1, max_size=40))
 def test_queue_of_long_words(tiktoken_encoding, word):
