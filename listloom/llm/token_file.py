@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,11 @@ from listloom.session import fresh_path
 
 #: Ids of a segment, about: a segment ends with the document that reaches it.
 SEGMENT = 1 << 20
-#: Chunks of text whose ids a worker keeps.
-KEPT = 600_000
+#: Words, and other chunks of text, whose ids a worker keeps.
+KEPT = 1_000_000
 _SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Letters up to U+00FF, where composing changes nothing and lower case goes letter by letter, and marks, which the pattern parts from them.
+_PLAIN = r"^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
 #: White space for Arrow and Python, but not for Unicode's property.
 _CONTROL = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: For each control byte, the lengths of the four values it stands for.
@@ -70,20 +73,20 @@ class _Encoder:
     """Ids of whole texts from ids of the chunks between white space, which the tokenizer never joins.
 
     Where the tokenizer lower-cases words of letters and parts them from punctuation, chunks of plain
-    letters with a point or comma behind them are looked up by their letters: those are far fewer, and the
-    merges alone run on them.
+    letters with marks behind them are looked up by their letters: those are far fewer, and the merges alone
+    run on them.
     """
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.kept, self.words = Tokenizer.from_str(model.decode()), {}, {}
+        self.tokenizer, self.kept = Tokenizer.from_str(model.decode()), {}
         spec = json.loads(model)
         self.bare = Tokenizer(self.tokenizer.model) if (spec["normalizer"], spec["pre_tokenizer"]) == _WORD_LEVEL else None
         if self.bare:
             self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.ends = {c: self._ids(self.tokenizer, [c])[0] for c in ".,"}
+        self.point = self._ids(self.tokenizer, ["."])[0]
 
     @staticmethod
     def of(model: bytes) -> _Encoder:
@@ -99,7 +102,7 @@ class _Encoder:
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, many in one call with a point behind each, which tells them apart again."""
-        words, point, found = [w if w.isascii() else w.encode().decode("latin-1").translate(_VISIBLE) for w in words], self.ends["."], []
+        words, point, found = [w if w.isascii() else w.encode().decode("latin-1").translate(_VISIBLE) for w in words], self.point, []
         if len(point) != 4:
             return self._ids(self.bare, words)
         lines = [" . ".join(words[i:i + 500]) + " ." for i in range(0, len(words), 500)]
@@ -113,38 +116,40 @@ class _Encoder:
         return found
 
     def _learn(self, chunks: list[str]) -> None:
-        other, plain, stems = [], [], []
+        """Ids of words in lower case, which the merges alone give, and of other chunks."""
+        words, other = [], []
         for c in chunks:
-            stem = c[:-1] if c[-1] in ".," else c
-            # up to U+00FF, composing changes nothing and lower case goes letter by letter
-            if self.bare and stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                plain.append(c)
-                stems.append(stem.lower())
-            else:
-                other.append(c)
-        kept, words, ends = self.kept, self.words, self.ends
-        kept.update(zip(other, self._ids(self.tokenizer, other)))
-        new = list(set(stems).difference(words))
-        words.update(zip(new, self._word_ids(new)))
-        for c, w in zip(plain, stems):
-            kept[c] = words[w] + ends[c[-1]] if c[-1] in ends else words[w]
+            (words if self.bare and c.isalpha() and (c.isascii() or max(c) < "\u0100") and c.islower() else other).append(c)
+        self.kept.update(zip(words, self._word_ids(words)))
+        self.kept.update(zip(other, self._ids(self.tokenizer, other)))
+
+    def _chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        """Ids (large binary) of distinct chunks. Words of letters, with marks behind them or not, are told apart by Arrow."""
+        plain = pc.extract_regex(chunks, _PLAIN) if self.bare else pa.nulls(len(chunks), pa.struct([("word", pa.string()), ("mark", pa.string())]))
+        is_plain = plain.is_valid().to_numpy(zero_copy_only=False)
+        word, mark = plain.filter(plain.is_valid()).flatten()
+        word, mark = pc.utf8_lower(word).dictionary_encode(), mark.dictionary_encode()
+        # by NumPy, which makes the strings of a whole array in one go
+        found = [c.to_numpy(zero_copy_only=False).tolist() for c in (word.dictionary, mark.dictionary, chunks.filter(plain.is_null()))]
+        kept, (words, *others) = self.kept, found
+        self._learn([c for c in chain(words, dict.fromkeys(chain(*others))) if c not in kept])
+        word_ids, mark_ids, other = (pa.array([kept[c] for c in some], pa.large_binary()) for some in found)
+        ids = pa.concat_arrays([pc.binary_join_element_wise(word_ids.take(word.indices), mark_ids.take(mark.indices), pa.scalar(b"", pa.large_binary())), other])
+        place = np.empty(len(chunks), np.int64)
+        place[is_plain], place[~is_plain] = np.arange(len(word)), np.arange(len(word), len(chunks))
+        return ids.take(pa.array(place))
 
     def __call__(self, texts: pa.Array, end: bytes) -> list[bytes]:
         """Chunks are told apart and numbered by Arrow, so that Python meets each distinct one of a batch once."""
-        kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
-        if len(self.words) > KEPT:
-            self.words.clear()
+        if len(self.kept) > KEPT:
+            self.kept.clear()
         data = texts.buffers()[2]
         raw = data.to_pybytes() if data else b""
         odd = any(c in raw for c in _CONTROL)
         split = pc.split_pattern_regex(texts, _SPACE) if odd else pc.utf8_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
-        chunks = numbered.dictionary.to_pylist()
-        kept[""] = b""  # before and after white space at the ends of a text
-        self._learn([c for c in chunks if c not in kept])
-        ids = pa.array([kept[c] for c in chunks], pa.large_binary()).take(numbered.indices)
+        self.kept[""] = b""  # before and after white space at the ends of a text
+        ids = self._chunk_ids(numbered.dictionary).take(numbered.indices)
         if not len(ids):
             return [end] * len(texts)
         # one behind the other: a text's ids are those of its chunks

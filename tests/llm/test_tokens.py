@@ -163,6 +163,22 @@ def test_chunks_are_met_once_a_batch():
     assert encode(pa.array(["z", "ones two ones.", "two, Two"])[1:], b"")[0] == struct.pack("<4I", *tokenizer.encode("ones two ones.", add_special_tokens=False).ids)
 
 
+def test_words_are_learned_once_whatever_case_and_marks():
+    """Chunks that differ by case and marks share one word; marks are kept apart, and what composes or folds is left to the tokenizer."""
+    from tokenizers import Tokenizer
+    from listloom.llm.token_file import _Encoder
+    model = read_bytes(P.path("word_bpe_49k.json"))
+    tokenizer, encode, learned = Tokenizer.from_str(model.decode()), _Encoder(model), []
+    learn = encode._learn
+    encode._learn = lambda chunks: (learned.extend(chunks), learn(chunks))
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    batch = [" ".join(w + m for w in ("ones", "Ones", "ONES", "école", "ÉCOLE") for m in ("", "!!", "...", *marks)), "it's it'll' ones's e\u0301! İx K!! ſ. ª, µº <|endoftext|> ones<|endoftext|>."]
+    got = encode(pa.array(batch), b"")
+    assert got == [struct.pack(f"<{len(ids)}I", *ids) for ids in (tokenizer.encode(t, add_special_tokens=False).ids for t in batch)]
+    assert len(set(learned)) == len(learned)
+    assert [c for c in learned if "ones" in c.lower() or "école" in c.lower()] == ["ones", "école", "ones's", "ones<|endoftext|>."]
+
+
 def test_frequent_ids_take_one_byte(spark, documents):
     from listloom.llm.token_file import frequency_order, token_ids
     coded = token_ids(documents, P.path("word_bpe_49k.json"), 1)
