@@ -19,6 +19,8 @@ ROWS, CELLS, SAMPLE = 4096, 1024, 8192
 LEAF, BASE = 64, 1.5
 #: Components beyond this take no part: scores of up to 128 dimensions fit 64 bits with it.
 LARGEST = 1 << 28
+#: Anchors and rows whose scores are made at once.
+ANCHORS, STRIP = 512, 1024
 _FIELDS = "g int, vec_id long, label long, v array<int>, floor double, windows array<struct<place:int,positive_id:long,score:long,low:double>>, tree struct<ids:binary,labels:binary,x:binary,center:binary,radius:binary,first:binary,count:binary,start:binary,end:binary>"
 _NODE = (("center", np.int64), ("radius", np.float64), ("first", np.int64), ("count", np.int64), ("start", np.int64), ("end", np.int64))
 
@@ -129,10 +131,73 @@ class CoverTree:
         return ids, scores
 
 
+    def many(self, q: np.ndarray, own: np.ndarray, label: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, id, score), in order, of what ``best`` finds for each window of many vectors: rows of the same label, or of another one, but not of the own id.
+
+        Vector i has the windows first[i] to first[i + 1], one at least. Vectors go down the tree together, and each leaf
+        is scored for all of them that its bounds may matter to.
+        """
+        found = [tuple(np.zeros(0, np.int64) for _ in range(3))]
+        for a in range(0, len(q), ANCHORS):
+            b = min(a + ANCHORS, len(q))
+            of = slice(first[a], first[b])
+            w, ids, scores = self._together(q[a:b], own[a:b], label[a:b], first[a:b + 1] - first[a], low[of].astype(np.float64), high[of].astype(np.float64), k, same)
+            found.append((w + first[a], ids, scores))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _together(self, q, own, label, first, low, high, k, same):
+        # no partial sum of a score exceeds the product of the norms, so that smaller kinds are exact below their limits
+        most = np.sqrt(max(self.top, 1.0) * max(1.0, float((q.astype(np.float64) ** 2).sum(1).max())))
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**52 else np.int64
+        x, vectors, bound = self.x.astype(kind), q.astype(kind), np.float64 if kind is np.int64 else kind
+        lowest, highest = np.minimum.reduceat(low, first[:-1]), np.maximum.reduceat(high, first[:-1])
+        upper, lower = self.bounds(slice(None), q)
+        alive = (upper >= lowest) & (lower <= highest)
+        for node in np.flatnonzero(self.nodes["count"]).tolist():  # children are numbered after their parent
+            children = slice(at := int(self.nodes["first"][node]), at + int(self.nodes["count"][node]))
+            alive[children] &= alive[node]
+        leaves = np.flatnonzero(self.nodes["count"] == 0)
+        held, fresh, waiting = tuple(np.zeros(0, np.int64) for _ in range(3)), [], 0
+
+        def settle():
+            w, ids, scores = (np.concatenate(c) for c in zip(held, *fresh))
+            order = np.lexsort((ids, -scores, w))
+            w, ids, scores = w[order], ids[order], scores[order]
+            rank = np.arange(len(w)) - np.searchsorted(w, w)
+            last = rank == k - 1
+            low[w[last]] = np.maximum(low[w[last]], scores[last])
+            lowest[:] = np.minimum.reduceat(low, first[:-1])
+            return w[rank < k], ids[rank < k], scores[rank < k]
+
+        for leaf in leaves[np.argsort(-upper[leaves].max(1), kind="stable")].tolist():
+            for start in range(int(self.nodes["start"][leaf]), int(end := self.nodes["end"][leaf]), STRIP):
+                some = np.flatnonzero(alive[leaf] & (upper[leaf] >= lowest))
+                if not len(some):
+                    break
+                scores = vectors[some] @ x[start:min(start + STRIP, end)].T
+                i, j = np.nonzero(scores >= lowest[some].astype(bound)[:, None])
+                a, row, score = some[i], start + j, scores[i, j].astype(np.int64)
+                good = ((self.labels[row] == label[a]) == same) & (self.ids[row] != own[a]) & (score <= highest[a])
+                a, row, score = a[good], row[good], score[good]
+                for n in range(int(np.diff(first).max())):
+                    w = first[a] + n
+                    inside = np.flatnonzero(w < first[a + 1])
+                    inside = inside[(score[inside] >= low[w[inside]]) & (score[inside] <= high[w[inside]])]
+                    fresh.append((w[inside], self.ids[row[inside]], score[inside]))
+                    waiting += len(inside)
+                if waiting > 4096 + len(low) * k:
+                    held, fresh, waiting = settle(), [], 0
+        return settle()
+
+
 def ball_bounds(centre: np.ndarray, radius: np.ndarray, q: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
-    """(highest, lowest) inner product of ``q`` with rows within ``radius`` of ``centre``, all of squared norm ``top`` when augmented."""
-    both = float(q @ q) + top
-    d = np.sqrt(np.maximum(both - 2 * (centre @ q), 0))
+    """(highest, lowest) inner product of ``q`` with rows within ``radius`` of ``centre``, all of squared norm ``top`` when augmented.
+
+    For many vectors ``q`` there is a column for each of them.
+    """
+    both = (q * q).sum(-1) + top
+    radius = radius if q.ndim == 1 else radius[:, None]
+    d = np.sqrt(np.maximum(both - 2 * (centre @ q.T), 0))
     slack = 1e-9 * both + 1e-6 * radius + 1  # rounding of distances; scores are whole numbers
     return (both - np.maximum(d - radius, 0) ** 2) / 2 + slack, (both - (d + radius) ** 2) / 2 - slack
 
@@ -180,7 +245,7 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = quantised(vectors, scale, vec_id, embedding, label)
+    rows = stored(quantised(vectors, scale, vec_id, embedding, label), "whole-numbers")  # read again and again
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
     total, top = rows.agg(F.count("*"), F.max(square)).first()
     sample = rows if total <= SAMPLE else rows.sample(fraction=SAMPLE / total, seed=5)
@@ -237,33 +302,25 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     stock = index.select("g", *(F.lit(None).cast(fields[c]).alias(c) for c in ("vec_id", "label", "v", "floor", "windows")), "tree")
     anchors = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("least")).select("vec_id", "least.label", "least.v")
 
-    def visited(q: np.ndarray, spans: list[tuple[float, float]]) -> list[int]:
-        """The trees of the cells that any of the spans of scores meets."""
-        upper, lower = ball_bounds(shared.value[:, :-1], radius, q.astype(np.float64), top)
-        met = np.zeros(len(radius), bool)
-        for low, high in spans:
-            met |= (upper >= low) & (lower <= high)
-        return [g for c in np.flatnonzero(met) for g in range(offset[c], offset[c] + trees[c])]
-
-    def routed(spans: Callable) -> Callable:
-        """Rows of anchors, one for each tree to visit; ``spans`` gives what is sought, and the columns floor and windows."""
+    def routed(sought: Callable) -> Callable:
+        """Rows of anchors, one for each tree to visit; ``sought`` gives what is sought, and the columns floor and windows."""
 
         def of(parts):
-            for part in parts:
-                at, goal, extra = [], [], []
-                x, own, of = _matrix(part.column("v")), part.column("vec_id").to_numpy(), part.column("label").to_numpy()
-                given = part.column("windows").to_pylist() if "windows" in part.schema.names else [None] * len(part)
-                for i in range(len(part)):
-                    floor, windows, sought = spans(x[i], own[i], of[i], given[i])
-                    many = visited(x[i], sought)
-                    goal += many
-                    at += [i] * len(many)
-                    extra += [(floor, windows)] * len(many)
-                for a in range(0, len(at), 5_000):
-                    i = pa.array(at[a:a + 5_000], pa.int64())
-                    floors, windows = zip(*extra[a:a + 5_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(goal[a:a + 5_000], pa.int32()), *(part.column(c).take(i) for c in ("vec_id", "label", "v")), pa.array(floors, pa.float64()), pa.array(windows, _WINDOWS)],
-                                                     ["g", "vec_id", "label", "v", "floor", "windows"])
+            for whole in parts:
+                for a in range(0, len(whole), ANCHORS):
+                    part = whole.slice(a, ANCHORS)
+                    q = _matrix(part.column("v")).astype(np.int64)
+                    first, low, high, floor, windows = sought(q, part)
+                    upper, lower = ball_bounds(shared.value[:, :-1], radius, q.astype(np.float64), top)
+                    owner = np.repeat(np.arange(len(q)), np.diff(first))
+                    i, c = np.nonzero(np.logical_or.reduceat((upper[:, owner] >= low) & (lower[:, owner] <= high), first[:-1], axis=1).T)
+                    # the trees of the cells that any of the windows of scores meets
+                    many = trees[c]
+                    at, goal = np.repeat(i, many), np.repeat(offset[c] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    for b in range(0, len(at), 5_000):
+                        i = pa.array(at[b:b + 5_000], pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(goal[b:b + 5_000], pa.int32()), *(part.column(n).take(i) for n in ("vec_id", "label", "v")), floor.take(i), windows.take(i)],
+                                                         ["g", "vec_id", "label", "v", "floor", "windows"])
 
         return of
 
@@ -273,56 +330,68 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
         def answered(parts):
             now, tree = None, None
             for part in parts:
-                columns = [part.column(c).to_pylist() for c in ("g", "vec_id", "label", "floor", "windows", "tree")]
-                q = part.column("v").to_pylist()
-                found: list[tuple] = []
-                for i, (g, own, label, floor, windows, row) in enumerate(zip(*columns)):
-                    if row is not None:
-                        now, tree = g, CoverTree.of_row(row, top)
-                    elif g == now:
-                        found += answer(tree, np.array(q[i], np.int64), own, label, floor, windows)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema.replace(" long", "").split(", "))
+                g, stands = part.column("g").to_numpy(), part.column("tree").is_valid().to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | stands[1:] | stands[:-1]) + 1).tolist(), len(g)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a < b and stands[a]:
+                        now, tree = g[a], CoverTree.of_row(part.column("tree")[a].as_py(), top)
+                    elif a < b and g[a] == now:
+                        some = part.slice(a, b - a)
+                        columns = answer(tree, _matrix(some.column("v")).astype(np.int64), some)
+                        if len(columns[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema.replace(" long", "").split(", "))
 
         both = stock.union(asking.withColumn("tree", F.lit(None).cast(fields["tree"])))
         return both.repartitionByRange("g").sortWithinPartitions("g", F.col("tree").isNull()).mapInArrow(answered, schema)
 
-    def positive_spans(q, own, label, _):
-        tree = known.value
-        _, scores = tree.best(q.astype(np.int64), lambda r: (tree.labels[r] == label) & (tree.ids[r] != own), positives, -np.inf, np.inf, {})
-        floor = float(scores[-1]) if len(scores) == positives else -np.inf
-        return floor, None, [(floor, np.inf)]
-
-    def positive_answer(tree, q, own, label, floor, _):
-        ids, scores = tree.best(q, lambda r: (tree.labels[r] == label) & (tree.ids[r] != own), positives, floor, np.inf, {})
-        return [(own, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-
-    def negative_spans(q, own, label, windows):
-        tree, seen, spans = known.value, {}, []
-        for w in windows:
-            low, high = float(-(-share * w["score"] // 100)), float(w["score"])
-            if low > high:  # below zero there is no window
-                w["low"] = np.inf
-                continue
-            _, scores = tree.best(q.astype(np.int64), lambda r: (tree.labels[r] != label) & (tree.ids[r] != own), negatives, low, high, seen)
-            w["low"] = max(low, float(scores[-1])) if len(scores) == negatives else low
-            spans.append((w["low"], high))
-        return None, windows, spans
-
-    def negative_answer(tree, q, own, label, _, windows):
-        seen, found = {}, []
-        for w in (w for w in windows if w["low"] <= w["score"]):
-            ids, scores = tree.best(q, lambda r: (tree.labels[r] != label) & (tree.ids[r] != own), negatives, w["low"], float(w["score"]), seen)
-            found += [(own, w["place"], w["positive_id"], w["score"], i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-        return found
+    def searched(tree: CoverTree, q, part, first, low, high, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tree.many(q, part.column("vec_id").to_numpy(), part.column("label").to_numpy(), first, low, high, positives if same else negatives, same)
+
+    def raised(low: np.ndarray, w: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+        """The least scores that can still matter: where k are found, the k-th."""
+        last = np.arange(len(w)) - np.searchsorted(w, w) == k - 1
+        low = low.copy()
+        low[w[last]] = np.maximum(low[w[last]], scores[last])
+        return low
+
+    def positives_sought(q, part):
+        first, low, high = np.arange(len(q) + 1), np.full(len(q), -np.inf), np.full(len(q), np.inf)
+        w, _, scores = searched(known.value, q, part, first, low, high, True)
+        low = raised(low, w, scores, positives)
+        return first, low, high, pa.array(low), pa.nulls(len(q), _WINDOWS)
+
+    def positives_found(tree, q, part):
+        w, ids, scores = searched(tree, q, part, np.arange(len(q) + 1), part.column("floor").to_numpy(), np.full(len(q), np.inf), True)
+        return part.column("vec_id").to_numpy()[w], ids, scores
+
+    def windows_of(part) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        column = part.column("windows")
+        first = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        flat = column.flatten()
+        return first, {f.name: flat.field(n).to_numpy() for n, f in enumerate(flat.type)}
+
+    def negatives_sought(q, part):
+        first, w = windows_of(part)
+        low, high = (-(-share * w["score"] // 100)).astype(np.float64), w["score"].astype(np.float64)
+        low[low > high] = np.inf  # below zero there is no window
+        at, _, scores = searched(known.value, q, part, first, low, high, False)
+        low = raised(low, at, scores, negatives)
+        rows = pa.StructArray.from_arrays([pa.array(w["place"], pa.int32()), pa.array(w["positive_id"]), pa.array(w["score"]), pa.array(low)], fields=list(_WINDOWS.value_type))
+        return first, low, high, pa.nulls(len(q), pa.float64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows)
+
+    def negatives_found(tree, q, part):
+        first, w = windows_of(part)
+        at, ids, scores = searched(tree, q, part, first, w["low"], w["score"].astype(np.float64), False)
+        own = np.repeat(part.column("vec_id").to_numpy(), np.diff(first))
+        return own[at], w["place"][at], w["positive_id"][at], w["score"][at], ids, scores
 
     asking = f"g int, vec_id long, label long, v array<int>, floor double, windows {fields['windows']}"
     best = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "positive_id")
-    pairs = met(stored(anchors.mapInArrow(routed(positive_spans), asking), "anchors"), positive_answer, "anchor_id long, positive_id long, score long")
+    pairs = met(stored(anchors.mapInArrow(routed(positives_sought), asking), "anchors"), positives_found, "anchor_id long, positive_id long, score long")
     pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= positives)
     windows = pairs.groupBy("anchor_id").agg(F.collect_list(F.struct("place", "positive_id", "score", F.lit(0.0).alias("low"))).alias("windows"))
     seekers = anchors.join(windows, F.col("vec_id") == F.col("anchor_id")).select("vec_id", "label", "v", "windows")
-    found = met(stored(seekers.mapInArrow(routed(negative_spans), asking), "seekers"), negative_answer,
+    found = met(stored(seekers.mapInArrow(routed(negatives_sought), asking), "seekers"), negatives_found,
                 "anchor_id long, place long, positive_id long, positive_score long, negative_id long, negative_score long")
     best = Window.partitionBy("anchor_id", "place").orderBy(F.desc("negative_score"), "negative_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= negatives)

@@ -84,6 +84,28 @@ def test_tree_finds_what_is_there(seed, n, d):
     assert found.tolist() == want and scores.tolist() == [score[i] for i in want]
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 12, 1 << 24])
+def test_many_vectors_find_what_one_finds(monkeypatch, scale):
+    """Vectors together, in strips, in all kinds of numbers: as each alone and each window alone."""
+    monkeypatch.setattr(module, "STRIP", 7)
+    monkeypatch.setattr(module, "ANCHORS", 13)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(-50, 50, (300, 5)), rng.integers(-2, 2, (200, 5))]).astype(np.int32) * scale
+    ids, labels = rng.permutation(len(x)) // 2, rng.integers(0, 3, len(x))
+    tree = CoverTree.build(ids, labels, x, float((x.astype(float) ** 2).sum(1).max()))
+    q, own, label = x[:40].astype(np.int64), ids[:40], labels[:40]
+    first = np.concatenate([[0], np.cumsum(rng.integers(1, 4, 40))])
+    low, high = np.sort(rng.integers(-2000, 2000, (2, first[-1])) * scale * scale, axis=0).astype(float)
+    low[::5], high[::7] = -np.inf, np.inf
+    for same in (True, False):
+        want = []
+        for i in range(40):
+            for w in range(first[i], first[i + 1]):
+                found, scores = tree.best(q[i], lambda r: ((tree.labels[r] == label[i]) == same) & (tree.ids[r] != own[i]), 3, low[w], high[w], {})
+                want += [(w, a, b) for a, b in zip(found.tolist(), scores.tolist())]
+        assert want and list(zip(*(c.tolist() for c in tree.many(q, own, label, first, low, high, 3, same)))) == want
+
+
 def test_descent_leaves_nodes_out():
     rng = np.random.default_rng(3)
     centre = rng.standard_normal((40, 16)) * 4
